@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import formatdup, labels, lookalikes, mixture, pairs, tokens
+from lexiloom.llm import codetext, formatdup, labels, lookalikes, mixture, pairs, tokens
 from lexiloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def _records(s: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(formatdup.candidate_records(table(s, d, "scan_candidates", "cand_id", "suggested_key", "text")))
 
 
+def _fragments(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(s, d, "scan_candidates", "cand_id", "file_path", "kind", "text"), table(s, d, "documents", "doc_id", "lang", "text")
+
+
 def _imports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "import_rows", "imp_id", "target_locale", "translated_value"), table(s, d, "documents", "doc_id", "lang", "text")
 
@@ -37,6 +41,8 @@ def _mixture(s: SparkSession, d: str) -> mixture.Mixture:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: pairs.found(table(s, d, "csv_rows", "row_id", "source_locale", "source_value", "target_locale", "translated_value")),
+        "p2_found": lambda s, d: codetext.found(*_fragments(s, d)),
+        "p2_shares": lambda s, d: codetext.shares(*_fragments(s, d)),
         "p4_found": lambda s, d: labels.relabelled(*_imports(s, d)),
         "p4_languages": lambda s, d: labels.languages(*_imports(s, d)),
         "p5_found": lambda s, d: lookalikes.same_look(_looks(s, d)),
