@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import codetext, formatdup, labels, lookalikes, mixture, pairs, tokens
+from lexiloom.llm import codetext, formatdup, labels, lookalikes, mixture, pairs, spam, tokens
 from lexiloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,8 @@ def queries() -> dict[str, Query]:
         "p7_roundtrip": lambda s, d: tokens.roundtrip(table(s, d, "documents", "doc_id", "text")),
         "p8_mixture": lambda s, d: _mixture(s, d).drawn,
         "p8_shares": lambda s, d: _mixture(s, d).report(),
+        "p9_found": lambda s, d: spam.found(table(s, d, "documents", "doc_id", "text", "lang")),
+        "p9_distances": lambda s, d: spam.distances(spam.page_features(table(s, d, "documents", "doc_id", "text", "lang"))),
     }
 
 
