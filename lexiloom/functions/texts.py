@@ -143,7 +143,7 @@ def skip_reason(text: Column, *, deny: tuple[str, ...] = (), allow: tuple[str, .
 def before_query(text: Column) -> Column:
     """The text before an embedded query; text without one as it is."""
     word = F.regexp_extract(text, "(?i)" + SQL_WORDS, 1)
-    cut = F.regexp_replace(F.substring_index(text, word, 1), r"\s+\z", "")
+    cut = F.regexp_replace(F.call_function("substring_index", text, word, F.lit(1)), r"\s+\z", "")
     return F.when((word != "") & ((word == F.upper(word)) | text.rlike(r"""[=*'"]""")), cut).otherwise(text)
 
 

@@ -1,27 +1,206 @@
-"""The registry of the core's queries: name -> (spark, folder) -> DataFrame, and their SQL equivalents."""
+"""The registry of the core's queries: name -> (spark, folder) -> DataFrame. SQL equivalents are in `oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.operators import rejects
+from lexiloom.functions import keys, placeholders, texts
+from lexiloom.operators import edits, extract, quality, rejects, rename, rollup, sync, translate
+from lexiloom.plans import oracles
+from lexiloom.sources.relations import catalog, references_by_key
 from lexiloom.sources.tables import table
+from lexiloom.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Configuration of the registered queries.
+DYNAMIC_PATTERNS = (("settings.*.label", ("upload", "share", "retry")), ("auth.*", ("title", "error.note")), ("common.save", ()))
+GLOBS = ("settings.**", "*.confirm*.*", "auth.ti?le.*")
 
-def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "csv_lines", "line_id", "file_name", "line_no", "raw"), table(spark, d, "locales", "locale")
+
+def _lines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(s, d, "csv_lines", "line_id", "file_name", "line_no", "raw"), table(s, d, "locales", "locale")
+
+
+def _catalog(s: SparkSession, d: str) -> DataFrame:
+    return catalog(table(s, d, "locale_catalog", "locale", "key", "value", "ord"))
+
+
+def _refs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "refs", "key", "file_path", "line", "col_no", "fallback_literal", "ord")
+
+
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    """Every distinct key of the catalogs, the references and the hand-off rows."""
+    parts = [table(s, d, t, c).select(F.col(c).alias("key")) for t, c in (("locale_catalog", "key"), ("refs", "key"), ("csv_rows", "key"), ("scan_candidates", "suggested_key"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("key is not null").distinct()
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "scan_candidates", "cand_id", "text").where("text is not null")
+
+
+def _fragments(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "scan_candidates", "cand_id", "kind", "text").where(F.col("kind").isin("jsx-expression", "call-expression"))
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "scan_candidates")
+
+
+def _edits(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    start = F.col("l_linenumber") * 10
+    return rows.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).cast("long").alias("id"), start.cast("long").alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.col("l_returnflag").alias("replacement"))
+
+
+def _mappings(s: SparkSession, d: str) -> DataFrame:
+    made = rename.proposals(_refs(s, d), _catalog(s, d)).select(F.col("key").alias("from_key"), F.col("proposed").alias("to_key"))
+    named = _catalog(s, d).select("key").distinct().where(F.col("key").contains("_")).select(F.col("key").alias("from_key"), F.replace("key", F.lit("_"), F.lit("-")).alias("to_key"))
+    return made.unionByName(named).distinct()
+
+
+def _patterns(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(p, list(v)) for p, v in DYNAMIC_PATTERNS], "pattern string, values array<string>")
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, ",")
+
+
+def _by_key(f: Callable[[Column], dict[str, Column]]) -> Query:
+    return lambda s, d: _keys(s, d).select("key", *[c.alias(n) for n, c in f(F.col("key")).items()])
+
+
+def _by_text(f: Callable[[Column], dict[str, Column]], keep: str | None = None) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out = _texts(s, d).select("cand_id", *[c.alias(n) for n, c in f(F.col("text")).items()])
+        return out.where(keep) if keep else out
+
+    return run
+
+
+def _changed_catalog(s: SparkSession, d: str) -> DataFrame:
+    """The catalog as sync would leave it."""
+    return sync.applied(_refs(s, d), _catalog(s, d))
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events", "event_id", "ts", "user_id", "event_type", "value")
+
+
+def _pattern_columns(t: Column) -> dict[str, Column]:
+    p = texts.detected_pattern(t)
+    return {"pattern": p["name"], "category": p["category"], "confidence": p["confidence"]}
 
 
 def queries() -> dict[str, Query]:
     return {
+        # Loading
         "p3_found": lambda s, d: rejects.rejected(*_lines(s, d)),
         "p3_loaded": lambda s, d: rejects.loaded(*_lines(s, d)),
+        # Keys
+        "suspicious_keys": lambda s, d: _by_key(lambda k: {"reason": keys.suspicion(k)})(s, d).where("reason is not null"),
+        "key_format": _by_key(lambda k: {"valid": keys.is_key_format(k)}),
+        "convention_check": _by_key(lambda k: {n.split("-")[0].split("_")[0].removesuffix("Case"): keys.follows(keys.last_segment(k), n) for n in keys.CONVENTIONS}),
+        "normalize_to_key": _by_key(lambda k: {"kebab": keys.normalized_key(k), "snake": keys.normalized_key(k, "snake_case")}),
+        "suggest_fix": lambda s, d: _by_key(lambda k: {"fix": keys.suggested_fix(k, keys.suspicion(k))})(s, d).where("fix is not null"),
+        "value_from_key": _by_key(lambda k: {"value": keys.value_from_key(k)}),
+        "generate_key_snake": _by_text(lambda t: {"made": keys.generated_key(t, "snake")}),
+        "generate_key_kebab": _by_text(lambda t: {"made": keys.generated_key(t, "kebab")}),
+        "generate_key_camel": _by_text(lambda t: {"made": keys.generated_key(t, "camel")}),
+        "text_hash": lambda s, d: _texts(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("cand_id", keys.text_hash(F.col("text")).alias("hash")),
+        "key_digest": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.digest(F.col("text"), F.col("kind"), F.col("context")).alias("digest")),
+        "key_full": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.full_key("app", F.col("file_path"), F.col("context"), F.col("text"), F.col("kind")).alias("made")),
+        "naming_votes": lambda s, d: quality.naming_votes(_catalog(s, d)),
+        "naming_convention": lambda s, d: quality.naming_convention(_catalog(s, d)),
+        # Texts
+        "text_filter": lambda s, d: table(s, d, "scan_candidates", "cand_id", "text").select("cand_id", texts.skip_reason(F.col("text")).alias("reason")),
+        "css_class_list": _by_text(lambda t: {"is_list": texts.is_class_list(t)}),
+        "sql_prefix": lambda s, d: _texts(s, d).select("cand_id", texts.before_query(F.col("text")).alias("prefix"), "text").where("prefix <> text").select("cand_id", "prefix"),
+        "pattern_detect": _by_text(_pattern_columns, "pattern is not null"),
+        "pattern_detect_all": _by_text(lambda t: {"patterns": _joined(texts.detected_patterns(t))}, "patterns <> ''"),
+        "confidence_bucket": lambda s, d: rollup.buckets(_candidates(s, d)),
+        "skip_reason_topk": lambda s, d: rollup.skip_reason_topk(table(s, d, "scan_candidates", "text")),
+        "html_decode": _by_text(lambda t: {"decoded": texts.decoded(F.concat(F.lit("&lt;b&gt;&#65;&#x1F600;"), t, F.lit("&amp;nbsp;&hellip;")))}),
+        "pseudo_localize": lambda s, d: _catalog(s, d).where("locale = 'en'").select("key", texts.pseudo_localized(F.col("value"), F.lit("xx")).alias("pseudo")),
+        # Placeholders
+        "extract_placeholders": lambda s, d: _catalog(s, d).select("locale", "key", _joined(placeholders.extract(F.col("value"))).alias("tokens")),
+        "placeholder_issues": lambda s, d: sync.placeholder_issues(_catalog(s, d)),
+        "csv_placeholder_checks": lambda s, d: translate.import_checks(table(s, d, "csv_rows", "row_id", "source_value", "translated_value")),
+        # Sync
+        "catalog": lambda s, d: _catalog(s, d),
+        "references_by_key": lambda s, d: references_by_key(_refs(s, d)),
+        "missing_keys": lambda s, d: sync.missing_keys(_refs(s, d), _catalog(s, d)),
+        "unused_keys": lambda s, d: sync.unused_keys(_refs(s, d), _catalog(s, d)),
+        "untranslated_keys": lambda s, d: sync.untranslated_keys(_refs(s, d), _catalog(s, d)),
+        "empty_values": lambda s, d: sync.empty_values(_refs(s, d), _catalog(s, d)),
+        "suspicious_refs": lambda s, d: sync.suspicious_refs(_refs(s, d)),
+        "audit_key_value": lambda s, d: sync.key_value_audit(_refs(s, d), _catalog(s, d)),
+        "recover_value": lambda s, d: sync.recovered_values(_refs(s, d), _catalog(s, d)),
+        "expand_dynamic": lambda s, d: sync.expanded_keys(_patterns(s)),
+        "dynamic_coverage": lambda s, d: sync.dynamic_coverage(_patterns(s), _catalog(s, d)),
+        "glob_assumed": lambda s, d: sync.glob_assumed_keys(_catalog(s, d), list(GLOBS)),
+        "key_gaps": lambda s, d: sync.key_gaps(_catalog(s, d)),
+        "seed_targets": lambda s, d: sync.seeded_targets(_catalog(s, d), seed="[TODO]"),
+        "scoped_sync": lambda s, d: sync.missing_keys(sync.scoped(_refs(s, d), _refs(s, d).where("col_no <= 20").select("file_path")), _catalog(s, d)),
+        "applied_catalog": lambda s, d: _changed_catalog(s, d).groupBy("locale").agg(F.count("*").alias("n_keys")),
+        "locale_diff": lambda s, d: sync.locale_diff(_catalog(s, d).where("ord % 3 <> 0"), _catalog(s, d).where("ord % 5 <> 0")),
+        "locale_preview": lambda s, d: sync.locale_preview(_catalog(s, d), _changed_catalog(s, d)),
+        "actionable_items": lambda s, d: rollup.actionable_items(_refs(s, d), _catalog(s, d)),
+        "items_by_kind": lambda s, d: rollup.items_by_kind(rollup.actionable_items(_refs(s, d), _catalog(s, d))),
+        "severity_counts": lambda s, d: rollup.severity_counts(rollup.actionable_items(_refs(s, d), _catalog(s, d))),
+        # Quality
+        "key_equals_value": lambda s, d: _catalog(s, d).select("locale", "key", keys.suspicion_with_value(F.col("key"), F.col("value")).alias("reason")).where("reason is not null"),
+        "duplicate_values": lambda s, d: quality.duplicate_values(_catalog(s, d)),
+        "duplicate_members": lambda s, d: quality.duplicate_members(_catalog(s, d)),
+        "orphaned_namespaces": lambda s, d: quality.orphaned_namespaces(_catalog(s, d)),
+        "inconsistent_prefixes": lambda s, d: quality.inconsistent_prefixes(_catalog(s, d)),
+        "namespace_case_variants": lambda s, d: quality.namespace_case_variants(_keys(s, d)),
+        "locale_consistency": lambda s, d: sync.locale_consistency(_catalog(s, d)),
+        "locale_audit": lambda s, d: quality.audit_totals(_catalog(s, d)),
+        # Translation
+        "translation_plan": lambda s, d: translate.plan(_catalog(s, d)),
+        "plan_totals": lambda s, d: translate.plan_totals(translate.plan(_catalog(s, d))),
+        "reuse_suggestion": lambda s, d: translate.reuse_suggestions(_catalog(s, d)),
+        "plan_chunks": lambda s, d: translate.chunked(translate.plan(_catalog(s, d))),
+        "csv_export": lambda s, d: translate.csv_records(translate.exported(translate.plan(_catalog(s, d)))),
+        "write_actions": lambda s, d: translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value")),
+        "write_totals": lambda s, d: translate.write_totals(translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
+        # Renames and candidates
+        "rename_proposals": lambda s, d: rename.proposals(_refs(s, d).unionByName(_refs(s, d).withColumn("key", F.concat(F.lit("Save The Report "), F.col("col_no").cast("string")))), _catalog(s, d)),
+        "rename_preview": lambda s, d: rename.rename_preview(_mappings(s, d), _catalog(s, d)),
+        "rename_occurrences": lambda s, d: rename.occurrences(_catalog(s, d).where("locale = 'en'").select(F.col("value").alias("from_key")).distinct(), _candidates(s, d)),
+        "renamed_catalog": lambda s, d: rename.renamed(_catalog(s, d), _mappings(s, d)).groupBy("locale", "outcome").agg(F.count("*").alias("n")),
+        "prefix_collisions": lambda s, d: rename.prefix_collisions(catalog(table(s, d, "locale_catalog", "locale", "key", "value", "ord").withColumn("key", F.substring_index("key", ".", 1)).unionByName(table(s, d, "locale_catalog", "locale", "key", "value", "ord")))),
+        "duplicate_status": lambda s, d: rename.duplicate_status(_candidates(s, d)),
+        "candidate_dedupe": lambda s, d: rename.candidate_dedupe(_candidates(s, d)),
+        "allocated_hashes": lambda s, d: rename.allocated_hashes(_candidates(s, d), 5),
+        # Edits
+        "edit_conflicts": lambda s, d: edits.conflicts(_edits(s, d)),
+        "edit_plan": lambda s, d: edits.planned(_edits(s, d)),
+        "rollback_offsets": lambda s, d: edits.rollback_offsets(_edits(s, d)),
+        # Extraction
+        "source_references": lambda s, d: extract.references(_fragments(s, d)),
+        "fallback_literals": lambda s, d: extract.fallback_literals(_fragments(s, d)),
+        "html_fragments": lambda s, d: extract.html_fragments(_texts(s, d)),
+        "html_attributes": lambda s, d: extract.html_attributes(_texts(s, d)),
+        "vue_expr_class": lambda s, d: extract.expressions(_fragments(s, d)),
+        "template_split": lambda s, d: extract.template_parts(_fragments(s, d)),
+        "template_syntax": lambda s, d: extract.template_syntax_issues(table(s, d, "documents", "doc_id", "text")),
+        "interpolations": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")),
+        # Rollups of events, incremental work
+        "cache_hit_rate": lambda s, d: rollup.hit_rates(_events(s, d).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("hit"))),
+        "framework_confidence": lambda s, d: rollup.framework_confidence(_events(s, d).select(F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("framework"), F.round(F.col("value") / 1000, 3).alias("weight"))),
+        "file_fingerprints": lambda s, d: changes.file_fingerprints(_refs(s, d)).select("file_path", F.split_part("fingerprint", F.lit(":"), F.lit(1)).alias("n_references")),
+        "incremental_refs": lambda s, d: changes.incremental(changes.file_fingerprints(_refs(s, d).where("ord % 97 <> 0")), changes.file_fingerprints(_refs(s, d))).groupBy("action").agg(F.count("*").alias("n_files")),
+        "debounce_sessions": lambda s, d: changes.debounced(_events(s, d).select(F.col("event_type").alias("trigger"), "ts")),
+        "circuit_breaker": lambda s, d: changes.breaker(_events(s, d).select(F.col("user_id").alias("stream"), "ts", F.col("event_id").alias("ord"), (F.col("value") < 40).alias("failed"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
