@@ -197,13 +197,6 @@ def page_features(documents: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, SCHEMA)
 
 
-def _by_language(expr: Column, values: dict[str, list[float]], k: int, pooled: list[float]) -> Column:
-    out = F.lit(pooled[k])
-    for lang, v in values.items():
-        out = F.when(F.col("lang") == lang, F.lit(v[k])).otherwise(out)
-    return out
-
-
 def _grouped(df: DataFrame, aggregates: list[Column]) -> dict[str, list]:
     """One row per language (ten at most) and one over all pages."""
     rows = df.groupBy("lang").agg(F.count("*").alias("n"), *aggregates).collect()
@@ -212,47 +205,50 @@ def _grouped(df: DataFrame, aggregates: list[Column]) -> dict[str, list]:
     return out
 
 
+def _with_statistics(pages: DataFrame, names: tuple[str, ...], values: dict[str, list[list[float]]]) -> DataFrame:
+    """`pages` with array columns of its language's statistics: one row for each of the ten languages, hence broadcast."""
+    rows = [(lang, *values.get(lang, values[POOLED])) for lang in LANGUAGES]
+    schema = "lang string, " + ", ".join(f"{n} array<double>" for n in names)
+    table = pages.sparkSession.createDataFrame([(lang, *[[float(x) for x in v] for v in vs]) for lang, *vs in rows], schema)
+    return pages.join(F.broadcast(table), "lang")
+
+
 def distances(pages: DataFrame) -> DataFrame:
     """doc_id, lang, the features, distance (squared) and toward_spam (cosine with the spam direction)."""
-    dims = range(len(FEATURES))
+    size = len(FEATURES)
+    dims = range(size)
     pages = materialize(pages, "page-features")
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
     centre = _grouped(pages, [median(f) for f in FEATURES])
     if any(v is None for v in centre[POOLED]):
         return pages.withColumn("distance", F.lit(0.0)).withColumn("toward_spam", F.lit(0.0))
-    pool = centre.pop(POOLED)
-    off = [F.col(FEATURES[k]) - _by_language(F.col("lang"), centre, k, pool) for k in dims]
-    spread = _grouped(pages, [median(F.abs(off[k])) for k in dims])
+    centred = _with_statistics(pages, ("centre",), {k: [v] for k, v in centre.items()})
+    spread = _grouped(centred, [median(F.abs(F.col(FEATURES[k]) - F.get("centre", F.lit(k)))) for k in dims])
     scale = {lang: [max(1.4826 * x, FLOOR[k]) for k, x in enumerate(v)] for lang, v in spread.items()}
-    scale_pool = scale.pop(POOLED)
-    z = [off[k] / _by_language(F.col("lang"), scale, k, scale_pool) for k in dims]
-    scored = pages.select("doc_id", "lang", *FEATURES, *[z[k].alias(f"z{k}") for k in dims])
-    clipped = [F.greatest(F.lit(-WINSOR), F.least(F.lit(WINSOR), F.col(f"z{k}"))) for k in dims]
+    both = {lang: [centre.get(lang, centre[POOLED]), scale.get(lang, scale[POOLED])] for lang in (*LANGUAGES, POOLED)}
+    z = F.array(*[(F.col(FEATURES[k]) - F.get("centre", F.lit(k))) / F.get("scale", F.lit(k)) for k in dims])
+    scored = _with_statistics(pages, ("centre", "scale"), both).select("doc_id", "lang", *FEATURES, z.alias("z"))
+    clipped = [F.greatest(F.lit(-WINSOR), F.least(F.lit(WINSOR), F.get("z", F.lit(k)))) for k in dims]
     pairs = [(i, j) for i in dims for j in dims if i <= j]
     moments = _grouped(scored, [F.avg(clipped[i] * clipped[j]) for i, j in pairs])
-    inverse, whiten = {}, {}
+    forms: dict[str, list[list[float]]] = {}
     for lang, m in moments.items():
-        s = np.zeros((len(FEATURES),) * 2)
+        s = np.zeros((size, size))
         for (i, j), x in zip(pairs, m, strict=True):
             s[i, j] = s[j, i] = x
-        s += RIDGE * np.eye(len(FEATURES))
+        s += RIDGE * np.eye(size)
         # The scores' units are robust standard deviations, so only the correlations of the scatter are kept.
         d = np.sqrt(np.diag(s))
         values, vectors = np.linalg.eigh(s / np.outer(d, d))
         values = np.maximum(values, RIDGE)
-        inverse[lang] = (vectors / values) @ vectors.T
-        whiten[lang] = (vectors / np.sqrt(values)) @ vectors.T
-    quad, along = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang in sorted(inverse, key=lambda x: x != POOLED):
-        inv, white = inverse[lang], whiten[lang]
-        q = sum((float(inv[i, j]) * F.col(f"z{i}") * F.col(f"z{j}") for i in dims for j in dims), F.lit(0.0))
-        direction = white @ np.ones(len(FEATURES))
-        direction /= np.linalg.norm(direction)
-        weights = white @ direction
-        a = sum((float(weights[i]) * F.col(f"z{i}") for i in dims), F.lit(0.0))
-        here = F.col("lang") == lang if lang != POOLED else F.lit(True)
-        quad, along = F.when(here, q).otherwise(quad), F.when(here, a).otherwise(along)
-    out = scored.select("doc_id", "lang", *FEATURES, quad.alias("distance"), along.alias("along"))
+        white = (vectors / np.sqrt(values)) @ vectors.T
+        direction = white @ np.ones(size)
+        forms[lang] = [((vectors / values) @ vectors.T).ravel().tolist(), (white @ direction / np.linalg.norm(direction)).tolist()]
+    whole = _with_statistics(scored, ("inverse", "direction"), forms)
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    row = lambda i: product(F.slice("inverse", i * size + 1, size), F.col("z"))
+    distance = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda t, i: t + F.get("z", i) * row(i))
+    out = whole.select("doc_id", "lang", *FEATURES, distance.alias("distance"), product(F.col("direction"), F.col("z")).alias("along"))
     return out.select("doc_id", "lang", *FEATURES, "distance", F.when(F.col("distance") > 0, F.col("along") / F.sqrt("distance")).otherwise(0.0).alias("toward_spam"))
 
 
