@@ -121,7 +121,7 @@ ISSUES = f"""iss AS (SELECT key, locale, list_sort(list_filter(list_distinct({to
   list_sort(list_filter(list_distinct({tokens('tv')}), lambda x: NOT list_contains({tokens('sv')}, x))) extra FROM pairs)"""
 GAPS = "gaps AS (SELECT l.locale, k.key FROM (SELECT DISTINCT locale FROM cat) l, (SELECT DISTINCT key FROM cat) k WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.locale = l.locale AND c.key = k.key))"
 PATTERN_ROWS = "pats AS (SELECT 'settings.*.label' pattern, unnest(['upload', 'share', 'retry']) v UNION ALL SELECT 'auth.*', unnest(['title', 'error.note']) UNION ALL SELECT 'common.save', ''), ex AS (SELECT DISTINCT pattern, replace(pattern, '*', v) key FROM pats)"
-EDITS = "ed AS (SELECT l_orderkey file, (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey)::BIGINT id, (l_linenumber * 10)::BIGINT s, (l_linenumber * 10 + l_quantity)::BIGINT e, l_returnflag r FROM lineitem)"
+EDITS = "ed AS (SELECT l_orderkey file, (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey)::BIGINT id, (l_linenumber * 10)::BIGINT s, (l_linenumber * 10 + max(l_quantity))::BIGINT e, max(l_returnflag) r FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 LENT = f"""lent AS (SELECT key, locale, lender reused_from, lent reused FROM (SELECT r.key, r.locale, c.locale lender, c.value lent,
   row_number() OVER (PARTITION BY r.key, r.locale ORDER BY (c.locale = split_part(c.locale, '-', 1))::int, c.locale) rn
   FROM (SELECT k.key, l.locale FROM (SELECT DISTINCT key FROM cat) k, (SELECT DISTINCT locale FROM cat WHERE contains(locale, '-')) l) r

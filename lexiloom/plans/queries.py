@@ -53,8 +53,10 @@ def _candidates(s: SparkSession, d: str) -> DataFrame:
 
 def _edits(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    start = F.col("l_linenumber") * 10
-    return rows.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).cast("long").alias("id"), start.cast("long").alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"), F.col("l_returnflag").alias("replacement"))
+    number = (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).cast("long")
+    start = (F.col("l_linenumber") * 10).cast("long")
+    one = rows.groupBy(F.col("l_orderkey").alias("file"), number.alias("id"), start.alias("start")).agg(F.max("l_quantity").alias("n"), F.max("l_returnflag").alias("replacement"))
+    return one.select("file", "id", "start", (F.col("start") + F.col("n")).cast("long").alias("end"), "replacement")
 
 
 def _mappings(s: SparkSession, d: str) -> DataFrame:
