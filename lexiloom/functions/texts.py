@@ -110,10 +110,12 @@ def utility_signals(text: Column) -> Column:
 def is_class_list(text: Column) -> Column:
     """Whether text reads as a list of style classes: enough of its tokens look like utility classes."""
     tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    n, signals = F.size(tokens), utility_signals(text)
-    arbitrary = text.rlike(r"\[[\d.]+\]")
-    class_like = text.rlike(java(CLASS_LIST)) & F.exists(tokens, lambda t: t.rlike(r"[-/\[]|:\w|\d"))
-    return F.when(class_like & (n >= 3), True).when(class_like & (n == 2), (signals >= 1) | arbitrary).when(n < 2, class_like & ((signals >= 1) | arbitrary)).otherwise((signals >= 1) | arbitrary)
+    like = text.rlike(java(CLASS_LIST)) & F.exists(tokens, lambda t: t.rlike(r"[-/\[]|:\w|\d"))
+    some = (utility_signals(text) >= 1) | text.rlike(r"\[[\d.]+\]")
+    # Bound once: each part is several regular expressions.
+    parts = F.array(F.struct(F.size(tokens).alias("n"), like.alias("like"), some.alias("some")))
+    judged = lambda p: F.when(p["like"] & (p["n"] >= 3), True).when(p["n"] < 2, p["like"] & p["some"]).otherwise(p["some"])
+    return F.get(F.transform(parts, judged), F.lit(0))
 
 
 def is_single_utility(text: Column) -> Column:

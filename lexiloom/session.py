@@ -38,3 +38,13 @@ def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Marks `df` for broadcasting only if it has at most `limit` rows; otherwise returns it as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores, for costly row-wise work on a scan.
+
+    Only an input of fewer splits than cores, hence a small one, is shuffled; larger ones stay where they are read.
+    `df` must be a scan with projections and filters, for which the number of splits is known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
