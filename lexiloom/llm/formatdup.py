@@ -35,7 +35,8 @@ DROPPED = r"(?U)[\p{P}\p{Z}\p{Cc}\s|`´^¨=<>~]++"
 
 
 def _folded(c: Column) -> Column:
-    return F.lower(F.upper(c))
+    # The one letter whose capital form is two letters in ordinary typing.
+    return F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss"))
 
 
 def canonical_key(c: Column) -> Column:

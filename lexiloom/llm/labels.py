@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.whitespace import trim_all
 from lexiloom.llm import bayes, ngrams
 from lexiloom.llm.ngrams import LANGUAGES
+from lexiloom.session import spread
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -228,7 +229,7 @@ def identified(rows: DataFrame, id_col: str, text_col: str, documents: DataFrame
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "seg_no", "n_segments", "lang", "n_sentences", "confidence"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, SCHEMA)
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").transform(spread).mapInArrow(run, SCHEMA)
 
 
 def languages(rows: DataFrame, documents: DataFrame) -> DataFrame:
@@ -260,4 +261,4 @@ def relabelled(rows: DataFrame, documents: DataFrame) -> DataFrame:
                         ids.append(i), segs_no.append(k + 1), langs.append(s[0])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(segs_no, pa.int32()), pa.array(langs, pa.string())], names=["imp_id", "seg_no", "lang"])
 
-    return tagged.where("translated_value is not null").mapInArrow(run, "imp_id long, seg_no int, lang string")
+    return spread(tagged.where("translated_value is not null")).mapInArrow(run, "imp_id long, seg_no int, lang string")

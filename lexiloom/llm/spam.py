@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.ngrams import LANGUAGES
 from lexiloom.storage import materialize
+from lexiloom.session import spread
 
 FEATURES = ("links", "poverty", "entropy", "repetition", "fragments", "function_words")
 WINDOW = 50
@@ -194,7 +195,7 @@ def page_features(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), *[pa.array(m[:, k]) for k in range(len(FEATURES))]], names=["doc_id", "lang", *FEATURES])
 
     kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null")
-    return kept.mapInArrow(run, SCHEMA)
+    return spread(kept).mapInArrow(run, SCHEMA)
 
 
 def _grouped(df: DataFrame, aggregates: list[Column]) -> dict[str, list]:

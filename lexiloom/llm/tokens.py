@@ -22,6 +22,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from lexiloom.session import spread
 
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
@@ -156,7 +157,7 @@ def token_ids(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str =
                 ids = encode_texts(tok, b.column("text").to_pylist(), leaf)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
@@ -171,7 +172,7 @@ def token_counts(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str
                 yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in others], pa.array(n, pa.int64())], names=[*[f.name for f in others], "n_tokens"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "n_tokens long"])
-    return documents.select(*[f.name for f in others], "text").mapInArrow(run, schema)
+    return spread(documents.select(*[f.name for f in others], "text")).mapInArrow(run, schema)
 
 
 def roundtrip(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
@@ -186,4 +187,4 @@ def roundtrip(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str =
                 same = [None if t is None else decode_ids(tok, x) == t for t, x in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "same"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, same boolean")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_tokens long, same boolean")
