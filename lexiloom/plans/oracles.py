@@ -285,6 +285,21 @@ def oracle_sql() -> dict[str, str]:
           WHERE regexp_matches(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''')""",
         "template_syntax": "SELECT doc_id, len(regexp_extract_all(text, '\\{\\{')) n_open, len(regexp_extract_all(text, '\\}\\}')) n_close FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\{\\{')) <> len(regexp_extract_all(text, '\\}\\}'))",
         "interpolations": "SELECT cand_id, (i - 1)::INT pos, v[i].name AS name, v[i].expression AS expression, '{{' || v[i].name || '}}' placeholder FROM (SELECT cand_id, interpolation.variables v, unnest(range(1, len(interpolation.variables) + 1)) i FROM scan_candidates WHERE interpolation IS NOT NULL)",
+        "html_strings": r"SELECT cand_id, regexp_matches(text, '</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|\bt\(') is_html FROM scan_candidates WHERE text IS NOT NULL",
+        "expression_reasons": rf"""WITH {FRAGMENTS} SELECT * FROM (SELECT cand_id, CASE WHEN regexp_matches(t, '^\{{[\s\S]*"[\w-]+"\s*:[\s\S]*\}}$') THEN 'json' WHEN regexp_matches(t, '^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\s') THEN 'sql'
+          WHEN regexp_matches(t, '^[YMDHhmsyd]{{1,4}}(?:[-/:. ][YMDHhmsyd]{{1,4}})+$') THEN 'format' WHEN regexp_matches(t, '^\+?[\d\s().-]{{7,}}$') THEN 'phone' WHEN regexp_matches(t, '^/[^/]+/[gimsuy]*$') THEN 'regex' WHEN regexp_matches(t, '^\$?t\(') THEN 'call' END reason
+          FROM (SELECT cand_id, {trim('text')} t FROM fr)) WHERE reason IS NOT NULL""",
+        "snippets": rf"""WITH {FRAGMENTS} SELECT cand_id, regexp_replace(regexp_replace(text, '[\s{{}}]+', '', 'g'), '[`"]', '''', 'g') snippet, CASE WHEN length(text) > 50 THEN substring(text, 1, 47) || '...' ELSE text END preview FROM fr""",
+        "literal_patterns": by_key(r"""'^' || regexp_replace(key, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') || '$' AS pattern"""),
+        "matched_files": r"SELECT DISTINCT file_path FROM scan_candidates WHERE (regexp_matches(file_path, '^src/([^/]+/)*[^/]*\.(tsx|vue)$') OR regexp_matches(file_path, '^([^/]*/)*[^/]*\.ts$')) AND NOT starts_with(file_path, 'src/legacy/')",
+        "pattern_matches": r"WITH f AS (SELECT DISTINCT file_path p FROM scan_candidates) SELECT 'src/**/*.{tsx,vue}' pattern, 'include' side, count(*) FILTER (WHERE regexp_matches(p, '^src/([^/]+/)*[^/]*\.(tsx|vue)$')) n_files FROM f UNION ALL SELECT '*.ts', 'include', count(*) FILTER (WHERE regexp_matches(p, '^[^/]*\.ts$')) FROM f UNION ALL SELECT 'src/legacy/**', 'exclude', count(*) FILTER (WHERE starts_with(p, 'src/legacy/')) FROM f",
+        "translation_usage": r"""SELECT "call", sum(n)::BIGINT n_matches, count(*) n_rows, min(file_path) first_file FROM (SELECT 't' "call", file_path, len(regexp_extract_all(text, '(?:^|[^\w$.])t\(')) n FROM scan_candidates UNION ALL SELECT 'hook', file_path, len(regexp_extract_all(text, '\buse[A-Z]\w*\(')) FROM scan_candidates
+          UNION ALL SELECT 'toast', file_path, len(regexp_extract_all(text, '\bshowToast\(')) FROM scan_candidates) WHERE n > 0 GROUP BY 1""",
+        "file_extensions": r"SELECT regexp_extract(file_path, '\.([A-Za-z0-9]+)$', 1) extension, count(*) n_files, count(*) / (SELECT count(DISTINCT file_path) FROM refs) share FROM (SELECT DISTINCT file_path FROM refs) GROUP BY 1",
+        "source_language": f"WITH {CATALOG} SELECT locale FROM (SELECT locale, count(*) n FROM cat GROUP BY 1) ORDER BY CASE lower(locale) WHEN 'en' THEN 0 WHEN 'en-us' THEN 1 WHEN 'en-gb' THEN 1 ELSE 2 END, CASE WHEN lower(locale) LIKE 'en%' THEN 0 ELSE -n END, locale LIMIT 1",
+        "rename_proposals": f"""WITH {CATALOG}, r AS (SELECT key FROM refs UNION SELECT 'Save The Report ' || col_no FROM refs), p AS (SELECT key, {suspicion('key')} reason FROM r WHERE key IS NOT NULL),
+          m AS (SELECT key, reason, CASE reason WHEN 'single-word-no-namespace' THEN 'common.' || lower(key) WHEN 'trailing-punctuation' THEN regexp_replace(key, '[:?!]+$', '') ELSE {normalized('key', '-')} END proposed FROM p WHERE reason IS NOT NULL)
+          SELECT key, proposed, reason, CASE WHEN proposed IN (SELECT key FROM cat) THEN 'existing' WHEN key <> min(key) OVER (PARTITION BY proposed) THEN 'repeated' END AS conflict FROM m""",
         "cache_hit_rate": "SELECT event_type kind, count(*) FILTER (WHERE value > 50) n_hits, count(*) FILTER (WHERE value <= 50) n_misses, count(*) FILTER (WHERE value > 50) / count(value) hit_rate FROM events GROUP BY 1",
         "framework_confidence": "SELECT framework, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'uncertain' END AS level FROM (SELECT event_type || user_id framework, least(round(sum(round(value / 1000, 3)), 6), 1.0) confidence FROM events GROUP BY 1)",
         "file_fingerprints": "SELECT file_path, count(*)::VARCHAR n_references FROM refs GROUP BY 1",

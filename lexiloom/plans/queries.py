@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions import keys, placeholders, texts
-from lexiloom.operators import edits, extract, quality, rejects, rename, rollup, sync, translate
+from lexiloom.functions import expressions, keys, placeholders, texts
+from lexiloom.operators import edits, extract, project, quality, rejects, rename, rollup, sync, translate
 from lexiloom.plans import oracles
 from lexiloom.sources.relations import catalog, references_by_key
 from lexiloom.sources.tables import table
@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Configuration of the registered queries.
 DYNAMIC_PATTERNS = (("settings.*.label", ("upload", "share", "retry")), ("auth.*", ("title", "error.note")), ("common.save", ()))
+INCLUDE, EXCLUDE = ("src/**/*.{tsx,vue}", "*.ts"), ("src/legacy/**",)
 GLOBS = ("settings.**", "*.confirm*.*", "auth.ti?le.*")
 
 
@@ -194,6 +195,17 @@ def queries() -> dict[str, Query]:
         "template_split": lambda s, d: extract.template_parts(_fragments(s, d)),
         "template_syntax": lambda s, d: extract.template_syntax_issues(table(s, d, "documents", "doc_id", "text")),
         "interpolations": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")),
+        "attribute_rules": lambda s, d: extract.html_attributes(_texts(s, d)).select("attribute").distinct().select("attribute", expressions.is_translatable_attribute(F.col("attribute")).alias("translatable")),
+        "html_strings": _by_text(lambda t: {"is_html": expressions.is_html(t)}),
+        "expression_reasons": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.expression_reason(F.col("text")).alias("reason")).where("reason is not null"),
+        "snippets": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.snippet(F.col("text")).alias("snippet"), expressions.preview(F.col("text")).alias("preview")),
+        "literal_patterns": _by_key(lambda k: {"pattern": expressions.literal_pattern(k)}),
+        "assumed_patterns": lambda s, d: extract.template_parts(_fragments(s, d)).where("is_param").select("cand_id", "pos", expressions.assumption(F.concat(F.lit("`a..${"), F.col("part"), F.lit("}.b` || 'c'"))).alias("pattern")),
+        "matched_files": lambda s, d: project.matched_files(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
+        "pattern_matches": lambda s, d: project.pattern_matches(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
+        "translation_usage": lambda s, d: project.translation_usage(table(s, d, "scan_candidates", "file_path", "text")),
+        "file_extensions": lambda s, d: project.extensions(_refs(s, d)),
+        "source_language": lambda s, d: project.source_language(_catalog(s, d)),
         # Rollups of events, incremental work
         "cache_hit_rate": lambda s, d: rollup.hit_rates(_events(s, d).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("hit"))),
         "framework_confidence": lambda s, d: rollup.framework_confidence(_events(s, d).select(F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("framework"), F.round(F.col("value") / 1000, 3).alias("weight"))),
