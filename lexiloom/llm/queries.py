@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import codetext, formatdup, labels, lookalikes, mixture, pairs, spam, tokens
+from lexiloom.llm import codetext, formatdup, labels, lookalikes, mixture, oracles, pairs, spam, tokens
 from lexiloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
