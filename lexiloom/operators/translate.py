@@ -83,6 +83,13 @@ def write_actions(catalog: DataFrame, updates: DataFrame, overwrite: bool = Fals
     return joined.select("key", "locale", action.alias("action"))
 
 
+def written(catalog: DataFrame, updates: DataFrame) -> DataFrame:
+    """locale, key, value of the catalog after upserting the updates that aren't blank; of repeated ones the greatest counts."""
+    one = updates.where("key is not null and target_locale is not null").where(~is_blank(F.col("translated_value")))
+    new = one.groupBy(F.col("target_locale").alias("locale"), "key").agg(F.max("translated_value").alias("new"))
+    return catalog.select("locale", "key", "value").join(new, ["locale", "key"], "full_outer").select("locale", "key", F.coalesce("new", "value").alias("value"))
+
+
 def write_totals(actions: DataFrame) -> DataFrame:
     return actions.groupBy("locale").agg(F.count("*").alias("attempted"), F.count_if(F.col("action") == "write").alias("written"), F.count_if(F.col("action") == "skip-empty").alias("empty_skipped"), F.count_if(F.col("action").isin("skip-existing", "unchanged")).alias("skipped"))
 

@@ -119,6 +119,7 @@ UNUSED = f"""un AS (SELECT c.*, c.locale <> 'en' AND {blank('c.value')} AND NOT
 PAIRS = "pairs AS (SELECT t.key, t.locale, s.value sv, t.value tv FROM cat t JOIN src s ON t.key = s.key WHERE t.locale <> 'en')"
 ISSUES = f"""iss AS (SELECT key, locale, list_sort(list_filter(list_distinct({tokens('sv')}), lambda x: NOT list_contains({tokens('tv')}, x))) gone,
   list_sort(list_filter(list_distinct({tokens('tv')}), lambda x: NOT list_contains({tokens('sv')}, x))) extra FROM pairs)"""
+SCOPED = "scoped AS (SELECT * FROM refs WHERE file_path LIKE '%.vue'), "
 GAPS = "gaps AS (SELECT l.locale, k.key FROM (SELECT DISTINCT locale FROM cat) l, (SELECT DISTINCT key FROM cat) k WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.locale = l.locale AND c.key = k.key))"
 PATTERN_ROWS = "pats AS (SELECT 'settings.*.label' pattern, unnest(['upload', 'share', 'retry']) v UNION ALL SELECT 'auth.*', unnest(['title', 'error.note']) UNION ALL SELECT 'common.save', ''), ex AS (SELECT DISTINCT pattern, replace(pattern, '*', v) key FROM pats)"
 EDITS = "ed AS (SELECT l_orderkey file, (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey)::BIGINT id, (l_linenumber * 10)::BIGINT s, (l_linenumber * 10 + max(l_quantity))::BIGINT e, max(l_returnflag) r FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -210,8 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "generate_key_kebab": generated("kebab"),
         "generate_key_camel": generated("camel"),
         "text_hash": """SELECT cand_id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS hash FROM (SELECT cand_id,
-          list_reduce(list_concat([0::BIGINT], list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ascii(c) END::BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) h
-          FROM scan_candidates WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))""",
+          list_reduce(list_concat([0::BIGINT], list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END::BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) h
+          FROM scan_candidates WHERE text IS NOT NULL)""",
         "key_digest": f"SELECT cand_id, {DIGEST} digest FROM scan_candidates WHERE text IS NOT NULL",
         "key_full": f"""SELECT cand_id, concat_ws('.', 'app', nullif(array_to_string(list_slice({scope}, -4, -1), '.'), ''), nullif({slug('context')}, ''), nullif({four}, ''), {DIGEST}) made FROM scan_candidates WHERE text IS NOT NULL""",
         "naming_votes": f"WITH {CATALOG} SELECT locale, " + ", ".join(f"count(*) FILTER (WHERE {naming} = '{f}') n_{f}" for f in ("kebab", "camel", "snake", "neutral")) + " FROM cat GROUP BY locale",
@@ -242,9 +243,9 @@ def oracle_sql() -> dict[str, str]:
         "glob_assumed": f"WITH {CATALOG} SELECT DISTINCT key FROM cat WHERE regexp_matches(key, '^settings\\..*$') OR regexp_matches(key, '^[^.]*\\.confirm[^.]*\\.[^.]*$') OR regexp_matches(key, '^auth\\.ti[^.]le\\.[^.]*$')",
         "key_gaps": f"WITH {CATALOG}, {GAPS} SELECT locale, key FROM gaps",
         "seed_targets": f"WITH {CATALOG}, {GAPS} SELECT locale, key, '[TODO]' AS value FROM gaps WHERE locale <> 'en' AND key IN (SELECT key FROM cat WHERE locale = 'en')",
-        "scoped_sync": f"WITH {missing('scoped', 'scoped AS (SELECT * FROM refs WHERE file_path IN (SELECT file_path FROM refs WHERE col_no <= 20)), ')} SELECT * FROM mk",
-        "locale_diff": f"""WITH {CATALOG}, b AS (SELECT * FROM cat WHERE ord % 3 <> 0), a AS (SELECT * FROM cat WHERE ord % 5 <> 0)
-          SELECT coalesce(a.locale, b.locale) locale, coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.locale = b.locale AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
+        "scoped_sync": f"WITH {missing('scoped', SCOPED)} SELECT * FROM mk",
+        "locale_diff": f"""WITH {CATALOG}, n AS (SELECT target_locale locale, key, max(translated_value) AS value FROM csv_rows WHERE key IS NOT NULL AND target_locale IS NOT NULL AND NOT {blank('translated_value')} GROUP BY ALL)
+          SELECT n.locale, n.key, CASE WHEN c.key IS NULL THEN 'added' ELSE 'updated' END AS change FROM n LEFT JOIN cat c ON c.locale = n.locale AND c.key = n.key WHERE c.value IS DISTINCT FROM n.value""",
         "actionable_items": f"WITH {ITEMS} SELECT * FROM items",
         "items_by_kind": f"WITH {ITEMS} SELECT kind, severity, count(*) n_items, count(DISTINCT key) n_keys FROM items GROUP BY ALL",
         "severity_counts": f"""WITH {ITEMS}, c AS (SELECT count(*) FILTER (WHERE severity = 'error') n_error, count(*) FILTER (WHERE severity = 'warn') n_warn, count(*) FILTER (WHERE severity = 'info') n_info FROM items)
@@ -303,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "cache_hit_rate": "SELECT event_type kind, count(*) FILTER (WHERE value > 50) n_hits, count(*) FILTER (WHERE value <= 50) n_misses, count(*) FILTER (WHERE value > 50) / count(value) hit_rate FROM events GROUP BY 1",
         "framework_confidence": "SELECT framework, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'uncertain' END AS level FROM (SELECT event_type || user_id framework, least(round(sum(round(value / 1000, 3)), 6), 1.0) confidence FROM events GROUP BY 1)",
         "file_fingerprints": "SELECT file_path, count(*)::VARCHAR n_references FROM refs GROUP BY 1",
-        "incremental_refs": "SELECT CASE WHEN n IS NULL THEN 'drop' WHEN n = o THEN 'reuse' ELSE 'parse' END AS action, count(*) n_files FROM (SELECT file_path, count(*) o, nullif(count(*) FILTER (WHERE ord % 97 <> 0), 0) n FROM refs GROUP BY 1) GROUP BY 1",
+        "incremental_refs": "SELECT CASE WHEN n = o THEN 'reuse' ELSE 'parse' END AS action, count(*) n_files FROM (SELECT file_path, count(*) n, count(DISTINCT (key, line, col_no)) o FROM refs GROUP BY 1) GROUP BY 1",
         "debounce_sessions": """SELECT "trigger", min(ts) started, max(ts) + INTERVAL 10 MINUTE ended, count(*) n_events FROM (SELECT *, sum(new) OVER (PARTITION BY "trigger" ORDER BY ts, event_id) s FROM (SELECT event_type "trigger", ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END new FROM events)) GROUP BY "trigger", s""",
         "circuit_breaker": """SELECT stream, count(*) FILTER (WHERE n >= 3) n_openings FROM (SELECT stream, island, count(*) n FROM (SELECT user_id stream, value < 40 failed, sum(CASE WHEN value < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) island FROM events) WHERE failed GROUP BY 1, 2) GROUP BY 1""",
     }

@@ -115,7 +115,7 @@ def queries() -> dict[str, Query]:
         "generate_key_snake": _by_text(lambda t: {"made": keys.generated_key(t, "snake")}),
         "generate_key_kebab": _by_text(lambda t: {"made": keys.generated_key(t, "kebab")}),
         "generate_key_camel": _by_text(lambda t: {"made": keys.generated_key(t, "camel")}),
-        "text_hash": lambda s, d: _texts(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("cand_id", keys.text_hash(F.col("text")).alias("hash")),
+        "text_hash": lambda s, d: _texts(s, d).select("cand_id", keys.text_hash(F.col("text")).alias("hash")),
         "key_digest": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.digest(F.col("text"), F.col("kind"), F.col("context")).alias("digest")),
         "key_full": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.full_key("app", F.col("file_path"), F.col("context"), F.col("text"), F.col("kind")).alias("made")),
         "naming_votes": lambda s, d: quality.naming_votes(_catalog(s, d)),
@@ -149,9 +149,9 @@ def queries() -> dict[str, Query]:
         "glob_assumed": lambda s, d: sync.glob_assumed_keys(_catalog(s, d), list(GLOBS)),
         "key_gaps": lambda s, d: sync.key_gaps(_catalog(s, d)),
         "seed_targets": lambda s, d: sync.seeded_targets(_catalog(s, d), seed="[TODO]"),
-        "scoped_sync": lambda s, d: sync.missing_keys(sync.scoped(_refs(s, d), _refs(s, d).where("col_no <= 20").select("file_path")), _catalog(s, d)),
+        "scoped_sync": lambda s, d: sync.missing_keys(sync.scoped(_refs(s, d), _refs(s, d).where(expressions.path_matches(F.col("file_path"), ["**/*.vue"]))), _catalog(s, d)),
         "applied_catalog": lambda s, d: _changed_catalog(s, d).groupBy("locale").agg(F.count("*").alias("n_keys")),
-        "locale_diff": lambda s, d: sync.locale_diff(_catalog(s, d).where("ord % 3 <> 0"), _catalog(s, d).where("ord % 5 <> 0")),
+        "locale_diff": lambda s, d: sync.locale_diff(_catalog(s, d), translate.written(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
         "locale_preview": lambda s, d: sync.locale_preview(_catalog(s, d), _changed_catalog(s, d)),
         "actionable_items": lambda s, d: rollup.actionable_items(_refs(s, d), _catalog(s, d)),
         "items_by_kind": lambda s, d: rollup.items_by_kind(rollup.actionable_items(_refs(s, d), _catalog(s, d))),
@@ -210,7 +210,7 @@ def queries() -> dict[str, Query]:
         "cache_hit_rate": lambda s, d: rollup.hit_rates(_events(s, d).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("hit"))),
         "framework_confidence": lambda s, d: rollup.framework_confidence(_events(s, d).select(F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("framework"), F.round(F.col("value") / 1000, 3).alias("weight"))),
         "file_fingerprints": lambda s, d: changes.file_fingerprints(_refs(s, d)).select("file_path", F.split_part("fingerprint", F.lit(":"), F.lit(1)).alias("n_references")),
-        "incremental_refs": lambda s, d: changes.incremental(changes.file_fingerprints(_refs(s, d).where("ord % 97 <> 0")), changes.file_fingerprints(_refs(s, d))).groupBy("action").agg(F.count("*").alias("n_files")),
+        "incremental_refs": lambda s, d: changes.incremental(changes.file_fingerprints(_refs(s, d)), changes.file_fingerprints(_refs(s, d).select("file_path", "key", "line", "col_no").distinct())).groupBy("action").agg(F.count("*").alias("n_files")),
         "debounce_sessions": lambda s, d: changes.debounced(_events(s, d).select(F.col("event_type").alias("trigger"), "ts")),
         "circuit_breaker": lambda s, d: changes.breaker(_events(s, d).select(F.col("user_id").alias("stream"), "ts", F.col("event_id").alias("ord"), (F.col("value") < 40).alias("failed"))),
     }
