@@ -96,7 +96,7 @@ def features(text: str | None, label: str | None) -> tuple[str, list[float]] | N
         return None
     # Code is neither sentences nor spam.
     prose = _INLINE.sub(" ", _CODE_BLOCK.sub("\n", text))
-    visible = sum(not c.isspace() for c in prose)
+    visible = sum(map(len, prose.split()))
     if not visible:
         return None
     linked = 0
