@@ -119,9 +119,7 @@ def dynamic_coverage(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = expanded_keys(patterns)
     sizes = wanted.groupBy("pattern").agg(F.count("*").alias("n"))
     have = wanted.join(catalog.select("key", "locale"), "key").groupBy("pattern", "locale").agg(F.count("*").alias("n_have"))
-    locales = catalog.select("locale").distinct()
-    # Patterns are configuration, locales are few: this product is theirs, not the data's.
-    grid = sizes.withColumn("one", F.lit(1)).join(locales.withColumn("one", F.lit(1)), "one").drop("one")
+    grid = sizes.select("pattern", "n", F.explode(every_locale(catalog)).alias("locale"))
     lacking = F.col("n") - F.coalesce("n_have", F.lit(0))
     return grid.join(have, ["pattern", "locale"], "left").where(lacking > 0).select("pattern", "locale", lacking.alias("n_missing"))
 
@@ -130,11 +128,15 @@ def glob_assumed_keys(catalog: DataFrame, patterns: list[str]) -> DataFrame:
     return catalog.where(globs.matches_any(F.col("key"), [globs.key_regex(p) for p in patterns])).select("key").distinct()
 
 
+def every_locale(catalog: DataFrame) -> Column:
+    """All locales as one array, by a scalar subquery; their number is that of the catalog's files."""
+    return catalog.agg(F.array_sort(F.collect_set("locale")).alias("everywhere")).scalar()
+
+
 def key_gaps(catalog: DataFrame) -> DataFrame:
     """locale, key: keys that some locale has and this one lacks. Each key's own locales are set against all locales."""
-    locales = catalog.agg(F.array_sort(F.collect_set("locale")).alias("everywhere"))
     own = catalog.groupBy("key").agg(F.collect_set("locale").alias("own"))
-    return own.join(F.broadcast(locales)).select("key", F.explode(F.array_except("everywhere", "own")).alias("locale")).select("locale", "key")
+    return own.select("key", F.explode(F.array_except(every_locale(catalog), F.col("own"))).alias("locale")).select("locale", "key")
 
 
 def locale_consistency(catalog: DataFrame) -> DataFrame:
@@ -147,8 +149,7 @@ def seeded_targets(catalog: DataFrame, source: str = "en", seed: str = "", overw
     targets = catalog.where(F.col("locale") != source)
     keys_of = of_locale(catalog, source).select("key")
     if overwrite:
-        locales = targets.agg(F.collect_set("locale").alias("ls"))
-        return keys_of.join(F.broadcast(locales)).select(F.explode("ls").alias("locale"), "key", F.lit(seed).alias("value"))
+        return keys_of.select(F.explode(every_locale(targets)).alias("locale"), "key", F.lit(seed).alias("value"))
     return key_gaps(catalog).where(F.col("locale") != source).join(keys_of, "key", "left_semi").select("locale", "key", F.lit(seed).alias("value"))
 
 

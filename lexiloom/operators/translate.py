@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import placeholders
 from lexiloom.functions.whitespace import is_blank, trim_all
-from lexiloom.operators.sync import empty_reason, of_locale
+from lexiloom.operators.sync import empty_reason, every_locale, of_locale
 
 
 def is_meaningful(value: Column) -> Column:
@@ -17,11 +17,10 @@ def is_meaningful(value: Column) -> Column:
 def plan(catalog: DataFrame, source: str = "en", forced: bool = False) -> DataFrame:
     """key, locale, source_value, existing, reused_from, reused, n_placeholders of every task.
 
-    Each source key meets each target locale: the list of locales is one row of bounded size, attached to each key; target
-    values come by an equi-join, loans from the related locales by `reuse_suggestions`.
+    Each source key meets each target locale by exploding the one array of locales; target values come by an equi-join, loans from the related locales by `reuse_suggestions`.
     """
-    locales = catalog.where(F.col("locale") != source).agg(F.collect_set("locale").alias("ls"))
-    wanted = of_locale(catalog, source).where(~is_blank(F.col("value"))).select("key", F.col("value").alias("source_value")).join(F.broadcast(locales)).select("key", "source_value", F.explode("ls").alias("locale"))
+    targets = every_locale(catalog.where(F.col("locale") != source))
+    wanted = of_locale(catalog, source).where(~is_blank(F.col("value"))).select("key", F.col("value").alias("source_value"), F.explode(targets).alias("locale"))
     have = catalog.select("key", "locale", F.col("value").alias("existing"))
     open_tasks = wanted.join(have, ["key", "locale"], "left")
     if not forced:
