@@ -127,7 +127,7 @@ LENT = f"""lent AS (SELECT key, locale, lender reused_from, lent reused FROM (SE
   row_number() OVER (PARTITION BY r.key, r.locale ORDER BY (c.locale = split_part(c.locale, '-', 1))::int, c.locale) rn
   FROM (SELECT k.key, l.locale FROM (SELECT DISTINCT key FROM cat) k, (SELECT DISTINCT locale FROM cat WHERE contains(locale, '-')) l) r
   JOIN cat c ON c.key = r.key AND split_part(c.locale, '-', 1) = split_part(r.locale, '-', 1) AND c.locale <> r.locale WHERE {meaningful('c.value')}) WHERE rn = 1)"""
-PLAN = f"""plan AS (SELECT s.key, l.locale, s.value source_value, t.value existing, lent.reused_from, lent.reused, len({ordered_distinct(tokens('s.value'))}) n_placeholders
+PLAN = f"""plan AS (SELECT s.key, l.locale, s.value source_value, t.value existing, lent.reused_from, lent.reused, len({ordered_distinct(tokens('s.value'))})::INT n_placeholders
   FROM src s CROSS JOIN (SELECT DISTINCT locale FROM cat WHERE locale <> 'en') l LEFT JOIN cat t ON t.key = s.key AND t.locale = l.locale
   LEFT JOIN lent ON lent.key = s.key AND lent.locale = l.locale WHERE NOT {blank('s.value')} AND NOT {meaningful('t.value')})"""
 ACTIONS = f"""act AS (SELECT u.key, u.locale, CASE WHEN {blank('u.new')} THEN 'skip-empty' WHEN c.value = u.new THEN 'unchanged' WHEN {meaningful('c.value')} THEN 'skip-existing' ELSE 'write' END action
@@ -278,13 +278,13 @@ def oracle_sql() -> dict[str, str]:
         "rollback_offsets": f"""WITH {EDITS} SELECT file, id, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY file ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT "offset" FROM ed""",
         "vue_expr_class": f"""WITH {FRAGMENTS} SELECT cand_id, CASE WHEN regexp_matches(e, '(''[^''\\n]*''|"[^"\\n]*"|`[^`]*`)\\s*\\+|\\+\\s*(''|"|`)') THEN 'concat' WHEN regexp_matches(e, '^(''[^''\\n]*''|"[^"\\n]*")$') THEN 'literal'
           WHEN regexp_matches(e, '^`[^`]*`$') THEN 'template' WHEN regexp_matches(e, '\\?[^:]+:') THEN 'conditional' WHEN regexp_matches(e, '\\|\\||\\?\\?|&&') THEN 'logical' ELSE 'dynamic' END "class" FROM (SELECT cand_id, {expr} e FROM fr)""",
-        "html_fragments": f"""SELECT DISTINCT cand_id, line_no, fragment FROM (SELECT cand_id, line_no, {trim('raw')} fragment FROM (SELECT cand_id, i - 1 line_no, unnest(list_distinct(regexp_extract_all(ls[i], '>([^<>{{}}]+)<', 1))) raw
+        "html_fragments": f"""SELECT DISTINCT cand_id, line_no, fragment FROM (SELECT cand_id, line_no, {trim('raw')} fragment FROM (SELECT cand_id, (i - 1)::INT line_no, unnest(list_distinct(regexp_extract_all(ls[i], '>([^<>{{}}]+)<', 1))) raw
           FROM (SELECT cand_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT cand_id, string_split(text, chr(10)) ls FROM scan_candidates WHERE contains(text, '<'))))) WHERE regexp_matches(fragment, '\\pL')""",
         "html_attributes": """SELECT cand_id, split_part(p, '=', 1) attribute, substring(p, strpos(p, '=') + 2, length(p) - strpos(p, '=') - 2) AS value, lower(split_part(p, '=', 1)) IN ('alt', 'aria-label', 'aria-description', 'caption', 'helper-text', 'label', 'placeholder', 'title', 'tooltip') translatable
           FROM (SELECT cand_id, unnest(list_distinct(regexp_extract_all(text, '\\s([A-Za-z][\\w:-]*="[^"<>]*")', 1))) p FROM scan_candidates WHERE contains(text, '="'))""",
         "fallback_literals": rf"""WITH {FRAGMENTS} SELECT cand_id, regexp_extract(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''', 1) AS key, regexp_extract(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''', 2) fallback FROM fr
           WHERE regexp_matches(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''')""",
-        "template_syntax": "SELECT doc_id, len(regexp_extract_all(text, '\\{\\{')) n_open, len(regexp_extract_all(text, '\\}\\}')) n_close FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\{\\{')) <> len(regexp_extract_all(text, '\\}\\}'))",
+        "template_syntax": "SELECT doc_id, len(regexp_extract_all(text, '\\{\\{'))::INT n_open, len(regexp_extract_all(text, '\\}\\}'))::INT n_close FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\{\\{')) <> len(regexp_extract_all(text, '\\}\\}'))",
         "interpolations": "SELECT cand_id, (i - 1)::INT pos, v[i].name AS name, v[i].expression AS expression, '{{' || v[i].name || '}}' placeholder FROM (SELECT cand_id, interpolation.variables v, unnest(range(1, len(interpolation.variables) + 1)) i FROM scan_candidates WHERE interpolation IS NOT NULL)",
         "html_strings": r"SELECT cand_id, regexp_matches(text, '</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|\bt\(') is_html FROM scan_candidates WHERE text IS NOT NULL",
         "expression_reasons": rf"""WITH {FRAGMENTS} SELECT * FROM (SELECT cand_id, CASE WHEN regexp_matches(t, '^\{{[\s\S]*"[\w-]+"\s*:[\s\S]*\}}$') THEN 'json' WHEN regexp_matches(t, '^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\s') THEN 'sql'
