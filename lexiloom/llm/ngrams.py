@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja")
 # Bounds of the labelled sample every model is trained on.
-SAMPLE_DOCUMENTS = 4000
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_DOCUMENTS = 3000
+SAMPLE_PER_LANGUAGE = 300
 LONGEST_SAMPLED = 20_000
 CHUNK_CHARS = 250_000
 
