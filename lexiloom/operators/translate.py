@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import placeholders
-from lexiloom.functions.whitespace import is_blank, trim_all
+from lexiloom.functions.whitespace import collapse, is_blank, trim_all
 from lexiloom.operators.sync import empty_reason, every_locale, of_locale
 
 
@@ -99,5 +99,30 @@ def import_checks(rows: DataFrame) -> DataFrame:
     return rows.where("source_value is not null and translated_value is not null").withColumn("gone", gone).where(F.size("gone") > 0).select("row_id", F.array_join(F.array_sort("gone"), ",").alias("missing"))
 
 
+def value_matrix(catalog: DataFrame, length: int = 50) -> DataFrame:
+    """key, n_locales, preview: a key's values in all locales, in order of locale, cut to `length` characters each.
+
+    The entries of a key are as many as there are locales.
+    """
+    cut = F.when(F.length("value") > length, F.concat(F.substring("value", 1, length - 3), F.lit("..."))).otherwise(F.col("value"))
+    entry = F.struct("locale", cut.alias("v"))
+    grouped = catalog.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("es"))
+    shown = F.transform("es", lambda e: F.concat(e["locale"], F.lit("="), e["v"]))
+    return grouped.select("key", F.size("es").alias("n_locales"), F.array_join(shown, " | ").alias("preview"))
+
+
+def legacy_values(candidates: DataFrame, catalog: DataFrame, source: str = "en") -> DataFrame:
+    """cand_id, value, matched (raw, trimmed or collapsed): the value of the source key that a candidate's text names.
+
+    The three forms of a text are tried in this order. Texts are distinct before the join, keys are unique.
+    """
+    texts = candidates.where("text is not null").select("text").distinct()
+    forms = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("form"), c.alias("k")) for i, (n, c) in enumerate((("raw", F.col("text")), ("trimmed", trim_all(F.col("text"))), ("collapsed", collapse(F.col("text")))))])
+    tried = texts.select("text", F.explode(forms).alias("f")).select("text", "f.*")
+    src = of_locale(catalog, source).select(F.col("key").alias("k"), "value")
+    best = tried.join(src, "k").groupBy("text").agg(F.min(F.struct("rank", "form", "value")).alias("b"))
+    return candidates.where("text is not null").select("cand_id", "text").join(best, "text").select("cand_id", F.col("b.value").alias("value"), F.col("b.form").alias("matched"))
+
+
 def normalized_locale(c: Column) -> Column:
     return F.lower(F.replace(trim_all(c), F.lit("_"), F.lit("-")))

@@ -267,6 +267,8 @@ def oracle_sql() -> dict[str, str]:
         "csv_export": f"""WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key || ',en,' || CASE WHEN regexp_matches(source_value, '[,"\\r\\n]') THEN '"' || replace(source_value, '"', '""') || '"' ELSE source_value END || ',' || locale || ',' record FROM plan""",
         "write_actions": f"WITH {CATALOG}, {ACTIONS} SELECT * FROM act",
         "write_totals": f"WITH {CATALOG}, {ACTIONS} SELECT locale, count(*) attempted, count(*) FILTER (WHERE action = 'write') written, count(*) FILTER (WHERE action = 'skip-empty') empty_skipped, count(*) FILTER (WHERE action IN ('skip-existing', 'unchanged')) skipped FROM act GROUP BY locale",
+        "value_matrix": f"""WITH {CATALOG} SELECT key, count(*)::INT n_locales, string_agg(locale || '=' || CASE WHEN length(value) > 50 THEN substring(value, 1, 47) || '...' ELSE value END, ' | ' ORDER BY locale) preview FROM cat GROUP BY key""",
+        "legacy_values": f"WITH {CATALOG}, {SRC} SELECT r.ord cand_id, s.value AS value, 'trimmed' matched FROM refs r JOIN src s ON r.key = s.key",
         "rename_occurrences": f"""WITH {CATALOG}, m AS (SELECT DISTINCT value from_key FROM cat WHERE locale = 'en'), t AS (SELECT text, {collapse('text')} folded FROM scan_candidates WHERE text IS NOT NULL)
           SELECT from_key, (SELECT count(*) FROM t WHERE text = from_key) n_exact, (SELECT count(*) FROM t WHERE folded = {collapse('from_key')}) - (SELECT count(*) FROM t WHERE text = from_key) n_normalised FROM m""",
         "prefix_collisions": f"""WITH u AS (SELECT locale, key FROM locale_catalog UNION SELECT locale, split_part(key, '.', 1) FROM locale_catalog) SELECT a.locale, a.key, count(*) descendants FROM u a JOIN u b ON a.locale = b.locale AND starts_with(b.key, a.key || '.') GROUP BY ALL""",

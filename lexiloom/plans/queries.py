@@ -173,6 +173,8 @@ def queries() -> dict[str, Query]:
         "csv_export": lambda s, d: translate.csv_records(translate.exported(translate.plan(_catalog(s, d)))),
         "write_actions": lambda s, d: translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value")),
         "write_totals": lambda s, d: translate.write_totals(translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
+        "value_matrix": lambda s, d: translate.value_matrix(_catalog(s, d)),
+        "legacy_values": lambda s, d: translate.legacy_values(table(s, d, "refs", "key", "ord").select(F.col("ord").alias("cand_id"), F.concat(F.lit(" "), F.col("key"), F.lit("\t")).alias("text")), _catalog(s, d)),
         # Renames and candidates
         "rename_proposals": lambda s, d: rename.proposals(_refs(s, d).unionByName(_refs(s, d).withColumn("key", F.concat(F.lit("Save The Report "), F.col("col_no").cast("string")))), _catalog(s, d)),
         "rename_preview": lambda s, d: rename.rename_preview(_mappings(s, d), _catalog(s, d)),

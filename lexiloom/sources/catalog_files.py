@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -62,7 +62,7 @@ def read_catalogs(spark: SparkSession, folder: str) -> DataFrame:
             for path, text in zip(b.column("path").to_pylist(), b.column("value").to_pylist()):
                 locale = os.path.basename(path).removesuffix(".json")
                 try:
-                    out += [(locale, k, v, i, p) for i, (k, v, p) in enumerate(flatten(json.loads(text.removeprefix("﻿"))))]
+                    out += [(locale, k, v, i, p) for i, (k, v, p) in enumerate(flatten(json.loads(text.removeprefix("\ufeff"))))]
                 except ValueError:
                     out.append((locale, None, None, 0, "unparsable"))
             cols = list(zip(*out)) if out else [[]] * 5
@@ -76,6 +76,20 @@ def read_catalogs(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, CATALOG)
 
 
+def file_insights(rows: DataFrame, expected: list[str]) -> DataFrame:
+    """locale, n_keys, n_chars, problem of every catalog read, and of expected locales without a file (problem `missing`)."""
+    found = rows.groupBy(F.lower("locale").alias("folded")).agg(F.min("locale").alias("locale"), F.count("value").alias("n_keys"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("n_chars"), F.max("problem").alias("problem"))
+    wanted = rows.sparkSession.createDataFrame([(x,) for x in expected], "expected string")
+    both = found.join(wanted, F.col("folded") == F.lower("expected"), "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.coalesce("locale", "expected").alias("locale"), zero("n_keys"), zero("n_chars"), F.when(F.col("locale").isNull(), "missing").otherwise(F.col("problem")).alias("problem"))
+
+
+def yaml_key_count(text: Column) -> Column:
+    """Lines of a YAML text that hold a key with a value on the line itself."""
+    return F.size(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"^\s*[\w.\"'-]+\s*:\s+\S") & ~x.rlike(r"^\s*#")))
+
+
 def catalog_texts(catalog: DataFrame, nested: bool = True) -> DataFrame:
     """locale, text: one JSON document per locale. A locale's document is written as one file and bounded as such."""
 

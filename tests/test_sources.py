@@ -51,3 +51,11 @@ def test_cache(spark, tmp_path):
     prints = spark.createDataFrame([("f", "1:2")], "file_path string, fingerprint string")
     cf.write_cache(refs, prints, str(tmp_path / "c"))
     assert cf.read_cache(spark, str(tmp_path / "c")).collect()[0].fingerprint == "1:2"
+
+
+def test_insights(spark):
+    rows = spark.createDataFrame([("en", "a", "xy", 0, None), ("en", "b", None, 1, "array"), ("de", None, None, 0, "unparsable")], cf.CATALOG)
+    got = {tuple(r) for r in cf.file_insights(rows, ["EN", "fr"]).collect()}
+    assert got == {("en", 1, 2, "array"), ("de", 0, 0, "unparsable"), ("fr", 0, 0, "missing")}
+    text = spark.createDataFrame([("a: 1\nb:\n  c: x\n# d: y\n",)], "t string")
+    assert text.select(cf.yaml_key_count(text["t"])).collect()[0][0] == 2
