@@ -30,7 +30,9 @@ def empty_reason(value: Column, markers: tuple[str, ...] = EMPTY_MARKERS) -> Col
 
 def missing_keys(refs: DataFrame, catalog: DataFrame, source: str = "en", assumed: DataFrame | None = None, ignore_empty: bool = False) -> DataFrame:
     """Keys in use that the source catalog lacks, or holds blank unless that is ignored."""
-    used = keyset(refs, assumed).join(references_by_key(refs), "key", "left")
+    used = references_by_key(refs)
+    if assumed is not None:
+        used = used.join(assumed.where("key is not null").select("key").distinct(), "key", "full_outer")
     have = of_locale(catalog, source).select("key", "value")
     joined = used.join(have, "key", "left")
     gone = F.col("value").isNull() if ignore_empty else is_blank(F.col("value"))
