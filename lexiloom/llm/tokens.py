@@ -15,7 +15,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,20 +27,25 @@ from lexiloom.session import spread
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
 TOKENIZER_DIR = "/opt/tokenizers"
+TOKENIZER = "byte_bpe_50k.tiktoken"
+
+
+# Fixed value: the pattern that splits text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @cache
-def tokenizer(folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json"):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def tokenizer(folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
+    """The tokenizer of a rank file. Strings of special tokens in a text are ordinary text."""
+    import tiktoken
 
-    t = Tokenizer.from_file(f"{folder}/{name}")
-    t.encode_special_tokens = True
-    return t
+    with open(f"{folder}/{name}", "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _encode(tok, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return [tok.encode_ordinary(t) for t in texts]
 
 
 def is_cut(text: str, at: int) -> bool:
@@ -122,17 +127,9 @@ def decode_ids(tok, ids: list[int], leaf: int = 2048) -> str:
     return up(0, len(ids)).decode("utf-8", "replace")
 
 
-_tables: dict[int, list[bytes]] = {}
-
-
+@cache
 def _byte_table(tok) -> list[bytes]:
-    if id(tok) not in _tables:
-        # The byte alphabet by its rule: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        back = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-        words = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
-        _tables[id(tok)] = [bytes(back[c] for c in w) if all(c in back for c in w) else w.encode() for w in words]
-    return _tables[id(tok)]
+    return [tok.decode_single_token_bytes(i) for i in range(tok.n_vocab)]
 
 
 def _chunks(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -147,7 +144,7 @@ def _chunks(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatc
         yield b.slice(start)
 
 
-def token_ids(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json", leaf: int = LEAF_CHARS) -> DataFrame:
+def token_ids(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = TOKENIZER, leaf: int = LEAF_CHARS) -> DataFrame:
     """doc_id, ids: no shuffle, one pass over the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +157,7 @@ def token_ids(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str =
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_counts(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
+def token_counts(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """The columns of `documents` other than text, with n_tokens (0 for null and empty texts)."""
     others = [f for f in documents.schema.fields if f.name != "text"]
 
@@ -175,7 +172,7 @@ def token_counts(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str
     return spread(documents.select(*[f.name for f in others], "text")).mapInArrow(run, schema)
 
 
-def roundtrip(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = "byte_bpe_50k.json") -> DataFrame:
+def roundtrip(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, same: whether decoding the ids gives the text back (null for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
