@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import expressions, keys, placeholders, texts
 from lexiloom.operators import edits, extract, project, quality, rejects, rename, rollup, sync, translate
 from lexiloom.plans import oracles
+from lexiloom.session import spread
 from lexiloom.sources.relations import catalog, references_by_key
 from lexiloom.sources.tables import table
 from lexiloom.streaming import changes
@@ -117,17 +118,17 @@ def queries() -> dict[str, Query]:
         "generate_key_camel": _by_text(lambda t: {"made": keys.generated_key(t, "camel")}),
         "text_hash": lambda s, d: _texts(s, d).select("cand_id", keys.text_hash(F.col("text")).alias("hash")),
         "key_digest": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.digest(F.col("text"), F.col("kind"), F.col("context")).alias("digest")),
-        "key_full": lambda s, d: _candidates(s, d).where("text is not null").select("cand_id", keys.full_key("app", F.col("file_path"), F.col("context"), F.col("text"), F.col("kind")).alias("made")),
+        "key_full": lambda s, d: spread(table(s, d, "scan_candidates", "cand_id", "file_path", "context", "text", "kind").where("text is not null")).select("cand_id", keys.full_key("app", F.col("file_path"), F.col("context"), F.col("text"), F.col("kind")).alias("made")),
         "naming_votes": lambda s, d: quality.naming_votes(_catalog(s, d)),
         "naming_convention": lambda s, d: quality.naming_convention(_catalog(s, d)),
         # Texts
-        "text_filter": lambda s, d: table(s, d, "scan_candidates", "cand_id", "text").select("cand_id", texts.skip_reason(F.col("text")).alias("reason")),
+        "text_filter": lambda s, d: spread(table(s, d, "scan_candidates", "cand_id", "text")).select("cand_id", texts.skip_reason(F.col("text")).alias("reason")),
         "css_class_list": _by_text(lambda t: {"is_list": texts.is_class_list(t)}),
         "sql_prefix": lambda s, d: _texts(s, d).select("cand_id", texts.before_query(F.col("text")).alias("prefix"), "text").where("prefix <> text").select("cand_id", "prefix"),
         "pattern_detect": _by_text(_pattern_columns, "pattern is not null"),
         "pattern_detect_all": _by_text(lambda t: {"patterns": _joined(texts.detected_patterns(t))}, "patterns <> ''"),
         "confidence_bucket": lambda s, d: rollup.buckets(_candidates(s, d)),
-        "skip_reason_topk": lambda s, d: rollup.skip_reason_topk(table(s, d, "scan_candidates", "text")),
+        "skip_reason_topk": lambda s, d: rollup.skip_reason_topk(spread(table(s, d, "scan_candidates", "text"))),
         "html_decode": _by_text(lambda t: {"decoded": texts.decoded(F.concat(F.lit("&lt;b&gt;&#65;&#x1F600;"), t, F.lit("&amp;nbsp;&hellip;")))}),
         "pseudo_localize": lambda s, d: _catalog(s, d).where("locale = 'en'").select("key", texts.pseudo_localized(F.col("value"), F.lit("xx")).alias("pseudo")),
         # Placeholders
