@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexiloom.functions.whitespace import trim_all
 
 # Attributes whose value is for people.
 TRANSLATABLE_ATTRIBUTES = ("alt", "aria-label", "aria-description", "caption", "helper-text", "label", "placeholder", "title", "tooltip")
+# Elements without an end tag.
+VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 LITERAL = r"""(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)")"""
 
 
@@ -27,10 +30,38 @@ def fallback_literals(fragments: DataFrame) -> DataFrame:
 
 
 def html_fragments(documents: DataFrame, text_col: str = "text", id_col: str = "cand_id") -> DataFrame:
-    """id, line_no, fragment: text between tags, line by line, with a letter in it and no mustache."""
-    lines = documents.where(F.col(text_col).contains("<")).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    parts = lines.select(id_col, "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r">([^<>{}]+)<"), F.lit(1)))).alias("fragment"))
-    return parts.select(id_col, "line_no", trim_all(F.col("fragment")).alias("fragment")).where(F.col("fragment").rlike(r"\p{L}"))
+    """id, line_no, fragment, line by line: text between tags, after the last tag, and whole untagged lines inside mark-up.
+
+    Of a fragment with a mustache only its quoted literals count; calls of `t` and fragments without a letter outside of
+    braces are left out, and so are script and style blocks. Ids are unique: the lines of a text are ordered by its id.
+    """
+    lines = documents.where(F.col(text_col).contains("<")).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw")).withColumn("line", F.replace("raw", F.lit("=>"), F.lit("=\x01")))
+    count = lambda p: F.regexp_count("line", F.lit(p))
+    opened = count(r"<[A-Za-z][\w.:-]*(?=[\s>/]|$)") - count(rf"(?i)<(?:{VOID})\b[^<>]*(?<!/)>") - count(r"/>")
+    blocks = count(r"(?i)<(?:script|style)(?=[\s>]|$)") - count(r"(?i)</(?:script|style)>")
+    # Whether a line ends inside a tag; null where it holds neither end of one.
+    unfinished = F.when(F.col("line").rlike(r"</?[A-Za-z][^<>]*$"), True).when(F.col("line").contains(">"), False)
+    of_text = Window.partitionBy(id_col).orderBy("line_no")
+    before = of_text.rowsBetween(Window.unboundedPreceding, -1)
+    state = lines.withColumns({"depth": opened - count(r"</[A-Za-z]"), "blocks": blocks, "unfinished": unfinished, "close": F.when(F.col("line").contains("</"), F.col("line_no"))})
+    seen = state.select(
+        id_col, "line_no", "raw", "line",
+        (F.coalesce(F.sum("depth").over(before), F.lit(0)) > 0).alias("inside"),
+        (F.sum("blocks").over(of_text) > 0).alias("blocked"),
+        F.coalesce(F.last("unfinished", ignorenulls=True).over(before), F.lit(False)).alias("in_tag"),
+        F.coalesce(F.max("close").over(Window.partitionBy(id_col)), F.lit(-1)).alias("last_close"),
+    ).where("not blocked")
+    every = lambda p: F.regexp_extract_all("line", F.lit(p), F.lit(1))
+    none = F.array().cast("array<string>")
+    whole = F.when(~F.col("in_tag") & F.col("inside") & (F.col("last_close") > F.col("line_no")) & ~F.col("line").contains("<"), F.array("line")).otherwise(none)
+    rest = F.when(F.col("in_tag"), every(r"^[^<>]*>([^<]+)")).otherwise(none)
+    between = F.regexp_extract_all("raw", F.lit(r">([^<>{}]+)<"), F.lit(1))
+    texts = F.concat(between, every(r"</?[A-Za-z][^<>]*>([^<]+)"), rest, whole)
+    read = F.explode(F.array_distinct(F.transform(texts, lambda t: trim_all(F.replace(t, F.lit("=\x01"), F.lit("=>"))))))
+    parts = seen.select(id_col, "line_no", read.alias("part")).where(~F.col("part").rlike(r"(?:^|[^\w.])\$?t\s*\(") | F.col("part").contains("{{"))
+    quoted = F.filter(F.transform(F.regexp_extract_all("part", F.lit(r"""(['"])([^"']*)\1"""), F.lit(2)), trim_all), lambda q: F.length(q) > 1)
+    kept = parts.select(id_col, "line_no", F.explode(F.when(F.col("part").contains("{{"), quoted).otherwise(F.array("part"))).alias("fragment"))
+    return kept.where(F.regexp_replace("fragment", r"\{[^{}]*\}", "").rlike(r"\p{L}")).distinct()
 
 
 def html_attributes(documents: DataFrame, text_col: str = "text", id_col: str = "cand_id") -> DataFrame:
