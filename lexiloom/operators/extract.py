@@ -93,13 +93,13 @@ def expressions(fragments: DataFrame) -> DataFrame:
 
 
 def template_parts(fragments: DataFrame) -> DataFrame:
-    """cand_id, pos, is_param, part: static and `${}` parts of template literals in order."""
-    body = F.regexp_extract("text", r"`([^`]*)`", 1)
-    rows = fragments.where(F.col("text").rlike(r"`[^`]*\$\{[^`]*`")).select("cand_id", body.alias("body"))
+    """cand_id, template, pos, is_param, part: static and `${}` parts of all template literals of fragments with holes, in order."""
+    bodies = F.regexp_extract_all("text", F.lit(r"`([^`]*)`"), F.lit(1))
+    rows = fragments.where("text is not null").select("cand_id", bodies.alias("bodies")).where(F.exists("bodies", lambda b: b.rlike(r"\$\{"))).select("cand_id", F.posexplode("bodies").alias("template", "body"))
     static = F.split("body", r"\$\{[^{}]*\}", -1)
     params = F.regexp_extract_all("body", F.lit(r"\$\{([^{}]*)\}"), F.lit(1))
     both = F.flatten(F.transform(static, lambda s, i: F.filter(F.array(F.struct((i * 2).alias("pos"), F.lit(False).alias("is_param"), s.alias("part")), F.struct((i * 2 + 1).alias("pos"), F.lit(True).alias("is_param"), F.coalesce(F.get(params, i), F.lit("")).alias("part"))), lambda p: ~p["is_param"] | (i < F.size(params)))))
-    return rows.select("cand_id", F.explode(both).alias("p")).select("cand_id", "p.pos", "p.is_param", "p.part").where("part <> '' or is_param")
+    return rows.select("cand_id", "template", F.explode(both).alias("p")).select("cand_id", "template", "p.pos", "p.is_param", "p.part").where("part <> '' or is_param")
 
 
 def parameter_name(c: Column, index: Column | int = 0) -> Column:

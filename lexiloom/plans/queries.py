@@ -203,7 +203,7 @@ def queries() -> dict[str, Query]:
         "expression_reasons": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.expression_reason(F.col("text")).alias("reason")).where("reason is not null"),
         "snippets": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.snippet(F.col("text")).alias("snippet"), expressions.preview(F.col("text")).alias("preview")),
         "literal_patterns": _by_key(lambda k: {"pattern": expressions.literal_pattern(k)}),
-        "assumed_patterns": lambda s, d: extract.template_parts(_fragments(s, d)).where("is_param").select("cand_id", "pos", expressions.assumption(F.concat(F.lit("`a..${"), F.col("part"), F.lit("}.b` || 'c'"))).alias("pattern")),
+        "assumed_patterns": lambda s, d: extract.template_parts(_fragments(s, d)).where("is_param").select("cand_id", "template", "pos", expressions.assumption(F.concat(F.lit("`a..${"), F.col("part"), F.lit("}.b` || 'c'"))).alias("pattern")),
         "matched_files": lambda s, d: project.matched_files(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
         "pattern_matches": lambda s, d: project.pattern_matches(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
         "translation_usage": lambda s, d: project.translation_usage(table(s, d, "scan_candidates", "file_path", "text")),

@@ -26,3 +26,8 @@ def test_mustaches_calls_and_blocks(spark):
     assert fragments(spark, "<p>{{ ok ? 'Yes please' : \"No\" }} x</p>") == [(0, "No"), (0, "Yes please")]
     assert fragments(spark, "<p>{{ t('a.b') }}</p><p>{$t('a.b')}</p><p>{name}</p><p onClick={() => go()}>Go</p>") == [(0, "Go"), (0, "a.b")]
     assert fragments(spark, "<script>\nconst a = '<b>no</b>';\n</script>\n<b>yes</b>") == [(3, "yes")]
+
+
+def test_every_template_of_a_fragment(spark):
+    rows = extract.template_parts(texts(spark, "f(`plain`, `a ${x} b`) + `${y.z}`", "`no hole`")).collect()
+    assert sorted((r.cand_id, r.template, r.pos, r.is_param, r.part) for r in rows) == [(0, 0, 0, False, "plain"), (0, 1, 0, False, "a "), (0, 1, 1, True, "x"), (0, 1, 2, False, " b"), (0, 2, 1, True, "y.z")]
