@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexiloom.functions import placeholders
 from lexiloom.functions.whitespace import collapse, is_blank, trim_all
 from lexiloom.operators.sync import empty_reason, every_locale, of_locale
+from lexiloom.storage import materialize
 
 
 def is_meaningful(value: Column) -> Column:
@@ -50,12 +52,19 @@ def plan_totals(tasks: DataFrame) -> DataFrame:
 
 
 def chunked(tasks: DataFrame, size: int = 25) -> DataFrame:
-    """locale, chunk, n_tasks: fixed-size batches per locale in order of key, numbered without gathering a locale in a task.
+    """key, locale, chunk (from 0) of every task: fixed-size batches per locale in order of key, one for all if size isn't positive.
 
-    The offset of each range of keys is summed from one count per range.
+    Numbered without gathering a locale in a task: rows are numbered inside ranges of (locale, key), to which the sum of
+    the counts of the ranges before is added. The ranges are written once, so both read the same ones.
     """
-    ranged = tasks.repartitionByRange("locale", "key").sortWithinPartitions("locale", "key").withColumn("part", F.spark_partition_id())
-    return ranged.groupBy("locale", "part").agg(F.count("*").alias("n")).groupBy("locale").agg(F.sum("n").alias("n_tasks")).select("locale", F.ceil(F.col("n_tasks") / size).cast("long").alias("n_chunks"), "n_tasks")
+    ranged = materialize(tasks.select("locale", "key").repartitionByRange("locale", "key").withColumn("part", F.spark_partition_id()), "chunks")
+    counts = ranged.groupBy("locale", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("locale").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("locale", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("locale", "part").orderBy("key")))
+    number = F.col("offset") + F.col("n") - 1
+    chunk = F.floor(number / size).cast("long") if size > 0 else F.lit(0).cast("long")
+    return numbered.join(offsets, ["locale", "part"]).select("key", "locale", chunk.alias("chunk"))
 
 
 def exported(tasks: DataFrame, source: str = "en") -> DataFrame:
