@@ -1,12 +1,14 @@
 """Problem 1: prompt and response pairs whose response can't be used, each with the kind of its defect.
 
-Two models are trained on one bounded sample of pairs: a character n-gram naive Bayes over languages and an end-of-text
-model, the likelihood that a text ends after its last characters. Prompt and response get
+Two models judge a pair: a character n-gram naive Bayes over languages, trained on a bounded sample of pairs, and an
+end-of-text model, the likelihood that a text ends after its last characters, counted over all responses. Prompt and
+response get
 language posteriors; a response in the prompt's language that holds the prompt's own words is a copy, one whose posterior
 speaks against the target is in a wrong language, and one that stops where texts don't stop is truncated.
 
 The kinds are tested in this order, the first that applies counts: empty, refusal, copy, wrong_language, truncated.
-Everything is decided row by row in one Arrow pass; nothing is shuffled.
+Pairs are decided row by row. Of the end-of-text model only counts are shuffled, and the likelihood of each distinct tail
+is joined to the pairs (broadcast where the tails are few).
 
 Defined results
 * null source or null target locale: no defect. Null response: empty.
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import bayes, ngrams
 from lexiloom.llm.ngrams import LANGUAGES
-from lexiloom.session import spread
+from lexiloom.session import broadcast_if_small, spread
+from lexiloom.storage import materialize
 
-# Bound of the sample of pairs both models are trained on.
+# Bound of the sample of pairs the language model is trained on.
 SAMPLE = 40_000
-END_BITS = 19
+# Hashes of contexts are wide enough to be exact; the words of the bitmap only say which contexts can't be an end.
+END_BITS = 63
+END_WORDS = 1 << 18
 END_CONTEXTS = (12, 9, 7, 5, 4, 3)
 END_DOTTED = 7
 END_SEEN = 6
@@ -119,61 +124,79 @@ def is_copy(source: str, shown: str) -> bool:
     return own >= 0.8 * (len(b) - 1) and own >= 0.5 * (len(a) - 1)
 
 
-@dataclass
-class EndModel:
-    ends: dict[int, np.ndarray]
-    seen: dict[int, np.ndarray]
+def end_form(shown: str) -> str:
+    """The text whose end is judged: closing quotes, brackets and the hyphen of a cut word don't hide it.
+
+    A hyphen at the end stands after cut words alone, so endings with it would count as known once cuts are many.
+    """
+    return re.sub(r"\s+", " ", shown.lower()).rstrip(_CLOSING + "-")
+
+
+def end_tail(response: str) -> str:
+    """What the likelihood of a response's end depends on: its last characters, after a blank; empty if it has none."""
+    form = end_form(visible(response))
+    return f" {form}"[-max(END_CONTEXTS) - 1 :] if form else ""
+
+
+def _counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+
+
+def _count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = Counter(end_tail(t) for t in b.column(0).to_pylist())
+        n.pop("", None)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["tail", "n"])
+
 
-    def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """The likelihood that each text ends where it does, from the longest known context; nan when none is known."""
-        out = np.full(len(texts), np.nan)
-        # A cut text may be made to look finished by dots: its end is believed only from a long context.
-        dotted = np.array([t.endswith(("…", "...")) for t in texts], bool)
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tail, n, context_length, h for each context a tail ends with, and whether it may judge the tail."""
+    for b in batches:
+        tails, n = b.column(0).to_pylist(), b.column(1).to_numpy()
         for order in END_CONTEXTS:
-            todo = [i for i, t in enumerate(texts) if np.isnan(out[i]) and len(t) >= order and not (dotted[i] and order < END_DOTTED)]
-            if not todo:
-                continue
-            h = ngrams.hashes(ngrams.codes([t[-order:] for t in (texts[i] for i in todo)])[0], order, END_BITS)
+            at = np.array([i for i, t in enumerate(tails) if len(t) >= order], np.int64)
             # Each piece is ` x \0`: order + 3 positions, the context itself starts at the second one.
-            h = h[1 :: order + 3][: len(todo)]
-            seen, ends = self.seen[order][h].astype(float), self.ends[order][h].astype(float)
-            known = seen >= END_SEEN
-            out[np.array(todo)[known]] = (ends[known] - 1 + 0.1) / (seen[known] - 1 + 0.2)
-        return out
+            h = ngrams.hashes(ngrams.codes([tails[i][-order:] for i in at])[0], order, END_BITS)[1 :: order + 3][: len(at)]
+            # A cut text may be made to look finished by dots: its end is believed only from a long context.
+            judges = [len(tails[i]) > order and not (order < END_DOTTED and tails[i].endswith(("…", "..."))) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([tails[i] for i in at], pa.string()), pa.array(n[at], pa.int64()), pa.array([order] * len(at), pa.int32()), pa.array(h, pa.int64()), pa.array(judges, pa.bool_())], names=["tail", "n", "context_length", "h", "judges"])
 
 
-def end_form(shown: str) -> str:
-    """The text whose end is judged: closing quotes and brackets don't hide it."""
-    return re.sub(r"\s+", " ", shown.lower()).rstrip(_CLOSING)
-
-
-def fit_ends(texts: list[str]) -> EndModel:
-    texts = [t for t in texts if t]
-    ends, seen = {}, {}
-    for order in END_CONTEXTS:
-        s, e = np.zeros(1 << END_BITS, np.int32), np.zeros(1 << END_BITS, np.int32)
-        for _, part in ngrams.chunks(texts):
-            cp, _ = ngrams.codes(part)
-            h = ngrams.hashes(cp, order, END_BITS)
-            s += np.bincount(h[h >= 0], minlength=1 << END_BITS).astype(np.int32)
-            stop = np.flatnonzero(cp == 0) - 1 - order
-            stop = stop[stop >= 0]
-            last = h[stop]
-            e += np.bincount(last[last >= 0], minlength=1 << END_BITS).astype(np.int32)
-        # Counts above what 16 bits hold keep their ratio well enough.
-        big = np.maximum(1, s / 60_000)
-        ends[order], seen[order] = (e / big).astype(np.uint16), (s / big).astype(np.uint16)
-    return EndModel(ends, seen)
-
-
-@dataclass
-class PairModel:
-    languages: bayes.NaiveBayes | None
-    ends: EndModel
-
-
-def train(rows: DataFrame) -> PairModel:
-    """Both models, from about SAMPLE pairs picked by a hash of their id (the whole table where it's smaller).
+def end_likelihoods(rows: DataFrame) -> DataFrame:
+    """tail, likelihood: how likely a text ends after each distinct tail, from the longest context seen often enough.
+
+    Ends and occurrences are counted exactly over all responses, so each judged text is among them and is subtracted.
+    Tails without a known context don't occur.
+    """
+    texts = spread(rows.select("translated_value").where("translated_value is not null"))
+    tails = materialize(texts.mapInArrow(_count_tails, "tail string, n long").groupBy("tail").agg(F.sum("n").alias("n")), "tails")
+    contexts = materialize(tails.mapInArrow(_contexts, "tail string, n long, context_length int, h long, judges boolean"), "contexts")
+    ends = contexts.groupBy("h").agg(F.sum("n").alias("ends"))
+    words = contexts.groupBy(F.expr(f"cast(shiftright(h, 6) & {END_WORDS - 1} as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("word")).toArrow()
+    bitmap = np.zeros(END_WORDS, np.uint64)
+    bitmap[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
+    ending = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for _, part in ngrams.chunks([t for t in (end_form(visible(x)) for x in b.column(0).to_pylist()) if t]):
+                cp, _ = ngrams.codes(part)
+                for order in END_CONTEXTS:
+                    h = ngrams.hashes(cp, order, END_BITS)
+                    h = h[h >= 0]
+                    found.append(h[(ending.value[(h >> 6) & (END_WORDS - 1)] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1])
+            h, n = _counts(found)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+
+    seen = texts.mapInArrow(occurrences, "h long, n long").groupBy("h").agg(F.sum("n").alias("seen")).where(F.col("seen") >= END_SEEN)
+    known = contexts.where("judges").select("tail", "context_length", "h").join(ends.join(seen, "h"), "h")
+    likelihood = (F.col("ends") - 1 + 0.1) / (F.col("seen") - 1 + 0.2)
+    return materialize(known.groupBy("tail").agg(F.max_by(likelihood, "context_length").alias("likelihood")), "likelihoods")
+
+
+def train(rows: DataFrame) -> bayes.NaiveBayes | None:
+    """The language model, from about SAMPLE pairs picked by a hash of their id (the whole table where it's smaller).
 
     Responses carry the language of their target, prompts that of their source. Pairs with the very defects looked for are
     among them; a sentence takes the language most pairs give it, and sentences the first model disagrees with are left out.
@@ -185,11 +208,11 @@ def train(rows: DataFrame) -> PairModel:
     return fit(lines)
 
 
-def fit(lines: list[tuple]) -> PairModel:
+def fit(lines: list[tuple]) -> bayes.NaiveBayes | None:
     lines = sorted(lines, key=lambda r: r[0])
     labelled = [(i, code, text) for i, sl, sv, tl, tv in lines for code, text in ((_code(sl), sv), (_code(tl), tv)) if code in LANGUAGES and text]
     sentences, classes = bayes.agreed(*ngrams.training_sentences(labelled))
-    return PairModel(bayes.fit(sentences, classes) if sentences else None, fit_ends([end_form(visible(r[4])) for r in lines]))
+    return bayes.fit(sentences, classes) if sentences else None
 
 
 def _code(locale: str | None) -> str:
@@ -201,7 +224,8 @@ def _marks(text: str) -> int:
     return len(re.findall(r"[.!?…]+(?=[\s\"'”’»)\]]|\Z)|[。！？]+", text))
 
 
-def defects(model: PairModel, sources: list[str | None], targets: list[str | None], responses: list[str | None]) -> list[str | None]:
+def defects(languages: bayes.NaiveBayes | None, sources: list[str | None], targets: list[str | None], responses: list[str | None], likelihoods: list[float | None]) -> list[str | None]:
+    """The defect of each pair, given the likelihood of each response's end (null: unknown)."""
     n = len(sources)
     out: list[str | None] = [None] * n
     open_rows: list[tuple[int, int, str, str]] = []
@@ -217,12 +241,12 @@ def defects(model: PairModel, sources: list[str | None], targets: list[str | Non
             code = _code(target)
             if code in LANGUAGES:
                 open_rows.append((i, LANGUAGES.index(code), visible(source), shown))
-    if not open_rows or model.languages is None:
+    if not open_rows or languages is None:
         return out
-    prompts = model.languages.log_posteriors([ngrams.clean(r[2]) for r in open_rows])
+    prompts = languages.log_posteriors([ngrams.clean(r[2]) for r in open_rows])
     cleaned = [ngrams.clean(r[3]) for r in open_rows]
-    answers = model.languages.log_posteriors(cleaned)
-    ends = model.ends.likelihoods([end_form(r[3]) for r in open_rows])
+    answers = languages.log_posteriors(cleaned)
+    ends = np.array([likelihoods[r[0]] for r in open_rows], float)
     for k, (i, want, source, shown) in enumerate(open_rows):
         spoken = int(prompts[k].argmax())
         sentence = is_sentence(source)
@@ -259,13 +283,19 @@ def is_truncated(source: str, shown: str, likelihood: float, sentence: bool) ->
 
 def found(rows: DataFrame) -> DataFrame:
     """row_id, defect: one row per defective pair."""
-    fitted = rows.sparkSession.sparkContext.broadcast(train(rows))
+    languages = rows.sparkSession.sparkContext.broadcast(train(rows))
+    likelihoods = broadcast_if_small(end_likelihoods(rows))
+
+    def with_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("tail", pa.array([end_tail(t or "") for t in b.column("translated_value").to_pylist()], pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = defects(fitted.value, *(b.column(c).to_pylist() for c in ("source_value", "target_locale", "translated_value")))
+            kinds = defects(languages.value, *(b.column(c).to_pylist() for c in ("source_value", "target_locale", "translated_value", "likelihood")))
             keep = [i for i, k in enumerate(kinds) if k]
             yield pa.RecordBatch.from_arrays([b.column("row_id").take(pa.array(keep, pa.int64())), pa.array([kinds[i] for i in keep], pa.string())], names=["row_id", "defect"])
 
     kept = rows.select(F.col("row_id").cast("long").alias("row_id"), "source_value", "target_locale", "translated_value")
-    return spread(kept.where("source_value is not null and target_locale is not null")).mapInArrow(run, "row_id long, defect string")
+    pairs = spread(kept.where("source_value is not null and target_locale is not null")).mapInArrow(with_tail, "row_id long, source_value string, target_locale string, translated_value string, tail string")
+    return pairs.join(likelihoods, "tail", "left").mapInArrow(run, "row_id long, defect string")
