@@ -23,10 +23,20 @@ def references(fragments: DataFrame, identifier: str = "t") -> DataFrame:
 
 
 def fallback_literals(fragments: DataFrame) -> DataFrame:
-    """cand_id, key, fallback of calls with a literal second argument (`t('key', 'text')`)."""
-    call = r"(?:^|[^\w$.])t\(\s*'([^'\n]*)'\s*,\s*'((?:[^'\\\n]|\\.)*)'"
-    first = lambda i: F.regexp_extract("text", call, i)
-    return fragments.where("text is not null").where(F.col("text").rlike(call)).select("cand_id", first(1).alias("key"), first(2).alias("fallback"))
+    """cand_id, key, fallback of every call with a literal second argument (`t('key', 'text')`) or a literal after `||` or `??`.
+
+    Either quote may stand around each literal; a call with both has a row for each.
+    """
+    quoted = lambda inner: rf"""(?:'(?:[^'{inner}\n]++|\\.)*+'|"(?:[^"{inner}\n]++|\\.)*+")"""
+    text, key = quoted(r"\\"), r"""(?:'[^'\n]*'|"[^"\n]*")"""
+    call = rf"(?<![\w$.])t\(\s*{key}"
+    argument = F.regexp_extract_all("text", F.lit(rf"({call}\s*,\s*{text})"), F.lit(1))
+    # The alternative may follow a call whose second argument is a literal or, as one flat object or name, anything else.
+    after = F.regexp_extract_all("text", F.lit(rf"({call}\s*(?:,\s*(?:{text}|[^()'\"]*+)\s*)?\)\s*(?:\|\||\?\?)\s*{text})"), F.lit(1))
+    rows = fragments.where("text is not null").select("cand_id", F.explode(F.concat(argument, after)).alias("call"))
+    inner = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
+    parts = rows.select("cand_id", F.regexp_extract("call", rf"({key})", 1).alias("k"), F.regexp_extract("call", rf"({text})\z", 1).alias("f"))
+    return parts.select("cand_id", inner("k").alias("key"), inner("f").alias("fallback"))
 
 
 def html_fragments(documents: DataFrame, text_col: str = "text", id_col: str = "cand_id") -> DataFrame:

@@ -31,3 +31,9 @@ def test_mustaches_calls_and_blocks(spark):
 def test_every_template_of_a_fragment(spark):
     rows = extract.template_parts(texts(spark, "f(`plain`, `a ${x} b`) + `${y.z}`", "`no hole`")).collect()
     assert sorted((r.cand_id, r.template, r.pos, r.is_param, r.part) for r in rows) == [(0, 0, 0, False, "plain"), (0, 1, 0, False, "a "), (0, 1, 1, True, "x"), (0, 1, 2, False, " b"), (0, 2, 1, True, "y.z")]
+
+
+def test_every_fallback_with_either_quote(spark):
+    text = """t('a.b', 'One') + t("c.d", "It's") + x.t('no', 'no'); t('e.f') || "Two, 'quoted'"; t("g.h", { n }) ?? 'It\\'s'; t('i.j', 'Both') || 'Other'; t('k.l')"""
+    got = sorted((r.key, r.fallback) for r in extract.fallback_literals(texts(spark, text)).collect())
+    assert got == [("a.b", "One"), ("c.d", "It's"), ("e.f", "Two, 'quoted'"), ("g.h", "It\\'s"), ("i.j", "Both"), ("i.j", "Other")]
