@@ -60,7 +60,7 @@ def renamed(catalog: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def duplicate_status(candidates: DataFrame) -> DataFrame:
-    """cand_id, status, first_id: the first candidate of each text hash is pending (existing, if its suggested key is in use), later ones duplicates."""
+    """cand_id, status, first_id: the first candidate of each text hash is pending, later ones duplicates; keys in use aren't looked up."""
     rows = candidates.where("text_hash is not null")
     first = rows.groupBy("text_hash").agg(F.min("cand_id").alias("first_id"))
     return rows.join(first, "text_hash").select("cand_id", F.when(F.col("cand_id") == F.col("first_id"), "pending").otherwise("duplicate").alias("status"), "first_id")
