@@ -3,13 +3,14 @@
 Each page gets features of density (links and tags), entropy and variety of words, repetition, and function words, all
 turned so that spam lies upwards. Over all pages of a language the centre is the vector of medians, the scale that of
 median absolute deviations, and the scatter the covariance of winsorised scores; so a share of spam far below a half
-moves none of them. A page is flagged if its squared Mahalanobis distance is beyond `DISTANCE`, and its whitened
-deviation has a cosine above `ANGLE` with the spam direction (all features upwards). An exact check follows: most of its
-words stand outside of sentences, or its sentences repeat the same few words. The features are computed in one Arrow pass and kept without the texts; all statistics are distributed,
-mergeable aggregates whose results have one row per language.
+moves none of them. A page is flagged if its squared Mahalanobis distance is beyond `DISTANCE` and its whitened deviation
+reaches `ALONG` in the spam direction (all features upwards); nothing else decides. The features are computed in one Arrow
+pass and kept without the texts; all statistics are distributed, mergeable aggregates whose results have one row per
+language.
 
 Defined results
-* null, empty and blank texts, and texts of fewer than `MIN_WORDS` words and links: not flagged.
+* null, empty and blank texts, and texts without a word or link: not flagged. Short texts need no least size: their
+  features are drawn towards ordinary text, so that few words are little evidence.
 * null or unknown language: that of the page's function words, else English. Repeated crawls are judged one by one.
 * languages with fewer than `MIN_PAGES` pages share one pooled centre and scatter.
 * an empty table gives an empty result; further columns are ignored. Texts are read whole.
@@ -33,16 +34,18 @@ from lexiloom.session import spread
 
 FEATURES = ("links", "poverty", "entropy", "repetition", "fragments", "function_words")
 WINDOW = 50
-MIN_WORDS = 12
+# Words and characters of ordinary text every page is taken to hold besides its own.
+SHRINK_WORDS = 12
+SHRINK_CHARS = 60
+USUAL_FUNCTION_WORDS = 0.4
 MIN_PAGES = 50
 # Smallest scale of each feature, so that one that's constant in a language doesn't explode.
 FLOOR = (0.08, 0.06, 0.05, 0.10, 0.12, 0.06)
 WINSOR = 3.0
 RIDGE = 0.15
-DISTANCE = 30.0
-ANGLE = 0.22
-# Most of the page is no sentences, or its sentences are made of the same few words.
-FRAGMENTS, POVERTY, REPETITION = 0.42, 0.38, 0.70
+# Squared distance of an outlier, and its least deviation along the spam direction (robust standard deviations).
+DISTANCE = 33.0
+ALONG = 2.0
 POOLED = "*"
 
 # Function words.
@@ -57,32 +60,39 @@ FUNCTION_WORDS = {
     "pl": "i w we z ze na do od o po za nie to jest są się że który która które jak gdy jeśli aby przed przez dla ten ta czy już ich jej jego oraz ale ponieważ tylko bez może można",
     "ru": "и в во с со на к ко от о об по за не что это как так но или если когда чтобы для из у вы вас вам мы нас нам он она они его её их то же ли бы уже ещё только прежде после без",
 }
-_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_FUNCTION_OF: dict[str, list[int]] = {}
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in set(_words.split()):
+        _FUNCTION_OF.setdefault(_w, []).append(_k)
+_FUNCTION_LANGUAGES = tuple(FUNCTION_WORDS)
 _CODE_BLOCK = re.compile(r"```.*?(?:```|\Z)", re.S)
-_INLINE = re.compile(r"`[^`\n]*`|\{\{[^{}]*\}\}")
-_ANCHOR = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]{0,200}\]\([^()\s]{1,500}\)", re.I)
-_LABEL = re.compile(r"<a\b[^>]*>([^<]*)</a>|\[([^\]\n]{0,200})\]\([^()\s]{1,500}\)", re.I)
-_ADDRESS = re.compile(r"(?:https?:)?//\S+|\b(?:[\w-]+\.)+(?:example|com|org|net|info|biz|io|shop|[a-z]{2})(?:/\S*)?\b|<[^<>\n]{1,400}>", re.I)
+_INLINE = re.compile(r"`[^`\n]*+`|\{\{[^{}]*+\}\}")
+# Labels and addresses may be of any length; possessive runs keep the search linear.
+_ANCHOR = re.compile(r"<a\b[^<>]*+>([^<]*+)</a>|\[([^\[\]\n]*+)\]\([^()\s]++\)", re.I)
+_ADDRESS = re.compile(r"(?:https?:)?//\S++|\bwww\.\S++|\b(?:[\w-]++\.)+(?:[a-z]{2,}/\S*+|(?:com|org|net|info|biz|io|shop|[a-z]{2})\b)|<[^<>\n]++>", re.I)
+_DOTTED = re.compile(r"\.[^\W_]")
 _HASHTAG = re.compile(r"#[^\W\d_]\w+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])|(?<=[^\W\d_])(?=\d)")
 _UNIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+|<br>|\s[|•·»>]+\s|[|•·]")
+_STOPS = (".", "!", "?", "…", "。", "！", "？", ":")
 # What may differ between two tellings of one sentence: a name before it, an aside in brackets, a name after it.
-_DRESS = re.compile(r"^\W*[\w-]+:\s|\s*\([^()]{0,60}\)|\s*\[#?[^\[\]]{0,40}\]|\s+–\s+\S+(?=[.!?。]?$)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_DRESS = re.compile(r"^\W*[\w-]+:\s|\s*\([^()]*+\)|\s*\[#?[^\[\]]*+\]|\s+–\s+\S+(?=[.!?。]?$)")
+_DRESSED = re.compile(r"[:(\[–]")
+_WORD = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_KANA = re.compile("[ぁ-ん]")
 
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; text of scripts without blanks in pairs of characters."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        if _CJK.search(w):
-            out += [w[i : i + 2] for i in range(0, len(w), 2)]
-        elif "'" in w or "’" in w:
-            out += re.split("['’]", w)
-        else:
-            out.append(w)
-    return out
+    lower = text.lower()
+    if lower.isascii():
+        return _ASCII_WORD.findall(lower)
+    words = _WORD.findall(lower)
+    if not _CJK.search(lower):
+        return words
+    return [p for w in words for p in ([w[i : i + 2] for i in range(0, len(w), 2)] if _CJK.search(w) else (w,))]
 
 
 def _expected(n: int) -> float:
@@ -90,92 +100,111 @@ def _expected(n: int) -> float:
     return n**0.93
 
 
+def _median(values: list[float]) -> float:
+    ordered = sorted(values)
+    k = len(ordered)
+    return (ordered[(k - 1) // 2] + ordered[k // 2]) / 2
+
+
+def units_of(prose: str) -> tuple[list[tuple[str, bool]], int]:
+    """The parts of a page (text, whether it ends like a sentence), and the characters of links and tags nobody explains."""
+    linked = 0
+    units: list[tuple[str, bool]] = []
+    for line in prose.split("\n"):
+        if not line or line.isspace():
+            continue
+        rest, size, links, labels = line, 0, 0, []
+        marked = "<" in line
+        if marked or "](" in line:
+            for m in _ANCHOR.finditer(line):
+                size += m.end() - m.start()
+                links += 1
+                labels.append(m.group(1) or m.group(2))
+            if links:
+                rest = _ANCHOR.sub(" ", line)
+        if marked or "//" in rest or _DOTTED.search(rest):
+            addresses = _ADDRESS.findall(rest)
+            if addresses:
+                links += len(addresses)
+                size += sum(map(len, addresses))
+                rest = _ADDRESS.sub(" ", rest)
+        bare = rest
+        if "#" in rest:
+            tags = _HASHTAG.findall(rest)
+            if tags:
+                size += sum(map(len, tags))
+                bare = _HASHTAG.sub(" ", rest)
+                rest = _HASHTAG.sub(lambda m: " | " + _CAMEL.sub(" ", m.group()[1:]) + " | ", rest)
+        # A link that comes with a sentence about it is explained.
+        if size and len(_WORD.findall(bare)) < 6 * max(1, links) and len(_CJK.findall(bare)) < 12:
+            linked += size
+        for part in (*_UNIT.split(rest), *labels):
+            part = part.strip() if part else ""
+            if part:
+                units.append((_DRESS.sub("", part) if _DRESSED.search(part) else part, part.endswith(_STOPS)))
+    return units, linked
+
+
 def features(text: str | None, label: str | None) -> tuple[str, list[float]] | None:
-    """The page's language and its features, or None where there's too little to judge."""
+    """The page's language and its features, or None where there's nothing to judge.
+
+    A short page shows little: each feature is drawn towards that of ordinary text by `SHRINK_WORDS` words (links by
+    `SHRINK_CHARS` characters) of it, so that the distance needs no least size.
+    """
     if not text or not text.strip():
         return None
     # Code is neither sentences nor spam.
-    prose = _INLINE.sub(" ", _CODE_BLOCK.sub("\n", text))
+    prose = _CODE_BLOCK.sub("\n", text) if "```" in text else text
+    prose = _INLINE.sub(" ", prose) if "`" in prose or "{{" in prose else prose
     visible = sum(map(len, prose.split()))
     if not visible:
         return None
-    linked = 0
-    explained = 0
-    units: list[tuple[str, bool]] = []
-    for line in prose.split("\n"):
-        if not line.strip():
-            continue
-        anchors = _ANCHOR.findall(line)
-        rest = _ANCHOR.sub(" ", line)
-        addresses = _ADDRESS.findall(rest)
-        rest = _ADDRESS.sub(" ", rest)
-        tags = _HASHTAG.findall(rest)
-        size = sum(map(len, anchors)) + sum(map(len, addresses)) + sum(map(len, tags))
-        own = len(_WORD.findall(_HASHTAG.sub(" ", rest)))
-        # A link that comes with a sentence about it is explained.
-        if size and (own >= 6 * max(1, len(anchors) + len(addresses)) or len(_CJK.findall(rest)) >= 12):
-            explained += size
-        else:
-            linked += size
-        named = " | ".join(a or b for a, b in _LABEL.findall(line))
-        rest = _HASHTAG.sub(lambda m: " | " + _CAMEL.sub(" ", m.group()[1:]) + " | ", rest)
-        for part in (*_UNIT.split(rest), *named.split(" | ")):
-            if part and part.strip():
-                units.append((_DRESS.sub("", part.strip()), part.rstrip().endswith((".", "!", "?", "…", "。", "！", "？", ":"))))
-    best, hits, total = "", 0, 0
+    units, linked = units_of(prose)
     listed = [(words_of(u), stop) for u, stop in units]
-    flat = [w for ws, _ in listed for w in ws]
-    total = len(flat)
-    if total + linked // 12 < MIN_WORDS:
+    counts = Counter(w for ws, _ in listed for w in ws)
+    total = sum(counts.values())
+    if not total and not linked:
         return None
-    counts = Counter(flat)
-    for k, own_words in _FUNCTION.items():
-        n = sum(counts[w] for w in own_words if w in counts)
-        if n > hits:
-            best, hits = k, n
-    cjk = sum(c for w, c in counts.items() if _CJK.search(w))
-    kana = sum(c for w, c in counts.items() if re.search("[ぁ-ん]", w))
+    hits = [0] * len(_FUNCTION_LANGUAGES)
+    for w, c in counts.items():
+        for k in _FUNCTION_OF.get(w, ()):
+            hits[k] += c
+    most = max(hits)
+    best = _FUNCTION_LANGUAGES[hits.index(most)] if most else ""
+    cjk = 0 if prose.isascii() else sum(c for w, c in counts.items() if _CJK.search(w))
     code = (label or "").strip().lower().replace("_", "-").partition("-")[0]
     if cjk * 2 > total:
-        lang, function_share = "ja", 0.5 * kana / max(1, cjk)
+        lang, function_share = "ja", 0.5 * sum(c for w, c in counts.items() if _KANA.search(w)) / cjk
     else:
-        function_share = hits / max(1, total)
+        function_share = most / max(1, total)
         lang = best if function_share >= 0.12 else code if code in LANGUAGES else best or "en"
     # Sentences said twice are no stuffing: each distinct one of five words or more counts once, short units always.
     seen: set[tuple[str, ...]] = set()
-    kept: list[list[str]] = []
+    stream: list[str] = []
     loose = 0
     for ws, stop in listed:
-        if not ws:
-            continue
         if len(ws) >= 5:
             key = tuple(ws)
             if key in seen:
                 continue
             seen.add(key)
-        sentence = len(ws) >= 4 and (stop or len(ws) >= 8) and len(set(ws)) >= 0.6 * len(ws)
-        if not sentence:
+        if len(ws) < 4 or not (stop or len(ws) >= 8) or len(set(ws)) < 0.6 * len(ws):
             loose += len(ws)
-        kept.append(ws)
-    stream = [w for ws in kept for w in ws]
+        stream += ws
     n = len(stream)
-    if n:
-        spans = [stream[i : i + WINDOW] for i in range(0, max(1, n - WINDOW // 2), WINDOW)]
-        poverty = float(np.median([1 - min(1.0, len(set(s)) / _expected(len(s))) for s in spans]))
-        local = []
-        entropies = []
-        for i in range(0, max(1, n - WINDOW), 2 * WINDOW):
-            s = stream[i : i + 2 * WINDOW]
-            pairs = Counter(zip(s, s[1:]))
-            local.append(sum(c for c in pairs.values() if c > 1) / max(1, len(s) - 1))
-            c = Counter(s)
-            h = -sum(x / len(s) * math.log2(x / len(s)) for x in c.values())
-            entropies.append(1 - h / math.log2(max(2, len(s))))
-        repetition, entropy = float(np.median(local)), float(np.median(entropies))
-    else:
-        poverty = repetition = entropy = 1.0
-    links = min(1.0, linked / visible)
-    return lang, [links, poverty, entropy, repetition, loose / max(1, n), -function_share]
+    poverty, local, entropies = [], [], []
+    for i in range(0, max(1, n - WINDOW // 2), WINDOW):
+        s = stream[i : i + WINDOW]
+        poverty.append(1 - min(1.0, len(set(s)) / _expected(max(1, len(s)))))
+    for i in range(0, max(1, n - WINDOW), 2 * WINDOW):
+        s = stream[i : i + 2 * WINDOW]
+        pairs = Counter(zip(s, s[1:]))
+        local.append(sum(c for c in pairs.values() if c > 1) / max(1, len(s) - 1))
+        h = -sum(x / len(s) * math.log2(x / len(s)) for x in Counter(s).values())
+        entropies.append(1 - h / math.log2(max(2, len(s))))
+    weight = n / (n + SHRINK_WORDS)
+    links = linked / (visible + SHRINK_CHARS)
+    return lang, [links, *(weight * _median(v) if n else 0.0 for v in (poverty, entropies, local)), loose / (n + SHRINK_WORDS), USUAL_FUNCTION_WORDS - weight * function_share - (1 - weight) * USUAL_FUNCTION_WORDS]
 
 
 SCHEMA = "doc_id long, lang string, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -199,11 +228,10 @@ def page_features(documents: DataFrame) -> DataFrame:
 
 
 def _grouped(df: DataFrame, aggregates: list[Column]) -> dict[str, list]:
-    """One row per language (ten at most) and one over all pages."""
-    rows = df.groupBy("lang").agg(F.count("*").alias("n"), *aggregates).collect()
-    out = {r["lang"]: list(r)[2:] for r in rows if r["n"] >= MIN_PAGES}
-    out[POOLED] = list(df.agg(*aggregates).collect()[0])
-    return out
+    """One row per language (ten at most) and one over all pages, from one job."""
+    rows = df.rollup("lang").agg(F.count("*").alias("n"), *aggregates).collect()
+    out = {r["lang"] or POOLED: list(r)[2:] for r in rows if r["n"] >= MIN_PAGES or r["lang"] is None}
+    return out if POOLED in out else {POOLED: [None] * len(aggregates)}
 
 
 def _with_statistics(pages: DataFrame, names: tuple[str, ...], values: dict[str, list[list[float]]]) -> DataFrame:
@@ -215,7 +243,7 @@ def _with_statistics(pages: DataFrame, names: tuple[str, ...], values: dict[str,
 
 
 def distances(pages: DataFrame) -> DataFrame:
-    """doc_id, lang, the features, distance (squared) and toward_spam (cosine with the spam direction)."""
+    """doc_id, lang, the features, distance (squared) and toward_spam (the deviation along the spam direction)."""
     size = len(FEATURES)
     dims = range(size)
     pages = materialize(pages, "page-features")
@@ -249,11 +277,9 @@ def distances(pages: DataFrame) -> DataFrame:
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     row = lambda i: product(F.slice("inverse", i * size + 1, size), F.col("z"))
     distance = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0.0), lambda t, i: t + F.get("z", i) * row(i))
-    out = whole.select("doc_id", "lang", *FEATURES, distance.alias("distance"), product(F.col("direction"), F.col("z")).alias("along"))
-    return out.select("doc_id", "lang", *FEATURES, "distance", F.when(F.col("distance") > 0, F.col("along") / F.sqrt("distance")).otherwise(0.0).alias("toward_spam"))
+    return whole.select("doc_id", "lang", *FEATURES, distance.alias("distance"), product(F.col("direction"), F.col("z")).alias("toward_spam"))
 
 
 def found(documents: DataFrame) -> DataFrame:
-    """doc_id of every page that's spam."""
-    telling = (F.col("fragments") >= FRAGMENTS) | (F.col("poverty") >= POVERTY) & (F.col("repetition") >= REPETITION)
-    return distances(page_features(documents)).where((F.col("distance") > DISTANCE) & (F.col("toward_spam") > ANGLE) & telling).select("doc_id")
+    """doc_id of every page that's spam: an outlier in a direction of spam."""
+    return distances(page_features(documents)).where((F.col("distance") > DISTANCE) & (F.col("toward_spam") > ALONG)).select("doc_id")

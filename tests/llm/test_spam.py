@@ -51,3 +51,12 @@ def test_pages(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert spam.found(df).collect() == []
+
+
+def test_links_of_any_length(spark):
+    usual, _, _ = pages()
+    long_links = "\n".join(f"[{'cheap locale pack ' * 120}](https://x.example/{'q' * 2000}{n})" for n in range(12))
+    short = "#LocalePack #BestPlugin #LocalePack #TopTool #BestPlugin #LocalePack #TopTool #BestPlugin"
+    assert spam.units_of(f"[{'a ' * 500}](https://x.example/{'q' * 2000})")[1] > 2900
+    df = spark.createDataFrame([r[:3] for r in usual] + [(5000, long_links, "en"), (5001, short, "en"), (5002, "#One", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in spam.found(df).collect()} == {5000, 5001}
