@@ -17,7 +17,7 @@ SAMPLE_PER_LANGUAGE = 300
 LONGEST_SAMPLED = 20_000
 CHUNK_CHARS = 250_000
 
-_DROPPED = re.compile(r"https?://\S+|\{\{[^{}]*\}\}|\$\{[^{}]*\}|`[^`\n]{0,200}`|<[^<>\n]{1,400}>|&[a-z]+;|%[sd]|\S+@\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]*)+\b|[a-z]*[-_.]?\d[\da-z._-]*")
+_DROPPED = re.compile(r"https?://\S+|\{\{[^{}]*\}\}|\$\{[^{}]*\}|`[^`\n]*+`|<[^<>\n]++>|&[a-z]+;|%[sd]|\S+@\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]*)+\b|[a-z]*[-_.]?\d[\da-z._-]*")
 # No text without one of these holds anything to drop.
 _SUSPECT = re.compile(r"[{$`<&%@\d]|https?:|\.[a-z]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -29,7 +29,11 @@ _ASIDE = re.compile(r"\s*(?:\([^()]{0,60}\)|\[[^\[\]]{0,40}\]|（[^（）]{0,40}
 
 def clean(text: str) -> str:
     """Letters in lower case with single blanks; names of variables, addresses, mark-up and digits are dropped."""
-    text = text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return clean_visible(text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+
+
+def clean_visible(text: str) -> str:
+    """`clean` of a text in compatibility form without invisible characters."""
     text = text.lower()
     return _OTHER.sub(" ", _DROPPED.sub(" ", text) if _SUSPECT.search(text) else text).strip()
 

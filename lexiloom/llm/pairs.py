@@ -1,14 +1,17 @@
 """Problem 1: prompt and response pairs whose response can't be used, each with the kind of its defect.
 
 Two models judge a pair: a character n-gram naive Bayes over languages, trained on a bounded sample of pairs, and an
-end-of-text model, the likelihood that a text ends after its last characters, counted over all responses. Prompt and
-response get
-language posteriors; a response in the prompt's language that holds the prompt's own words is a copy, one whose posterior
-speaks against the target is in a wrong language, and one that stops where texts don't stop is truncated.
+end-of-text model, the likelihood that a response ends after its last characters, counted over all pairs. Prompt and
+response get language posteriors; a response in the prompt's language that holds the prompt's own words is a copy, one
+whose posterior speaks against the target is in a wrong language, and one that stops where texts don't stop is truncated.
+
+An end's likelihood is the share of the responses holding its last characters that end there. Those of contexts of
+growing length are interpolated, each with the shorter one as its prior, so rare and unknown endings take that of what is
+known about them; nothing else decides. A response that ends like a whole text is whole, however short.
 
 The kinds are tested in this order, the first that applies counts: empty, refusal, copy, wrong_language, truncated.
-Pairs are decided row by row. Of the end-of-text model only counts are shuffled, and the likelihood of each distinct tail
-is joined to the pairs (broadcast where the tails are few).
+Pairs are decided row by row in one pass. Only counts of ends and contexts are shuffled, and, where distinct ends are
+many, the ids and ends (no texts) of the pairs still open, salted as some ends are very common.
 
 Defined results
 * null source or null target locale: no defect. Null response: empty.
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +33,20 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import bayes, ngrams
 from lexiloom.llm.ngrams import LANGUAGES
-from lexiloom.session import broadcast_if_small, spread
+from lexiloom.session import MAX_BROADCAST_ROWS, spread
 from lexiloom.storage import materialize
 
 # Bound of the sample of pairs the language model is trained on.
 SAMPLE = 40_000
-# Hashes of contexts are wide enough to be exact; the words of the bitmap only say which contexts can't be an end.
-END_BITS = 63
+# Contexts meet by hashes of 46 bits, which leave 17 for the number of a text in its chunk (`ngrams.CHUNK_CHARS` hold no more).
+# The words of the bitmap only say which contexts can't be an end.
+END_BITS, OWNER_BITS = 46, 17
 END_WORDS = 1 << 18
-END_CONTEXTS = (12, 9, 7, 5, 4, 3)
-END_DOTTED = 7
-END_SEEN = 6
-END_LIKELY = 0.5
+END_CONTEXTS = (1, 3, 5, 8, 12)
+# Weight of the shorter context's likelihood, in texts, and the least likelihood of the end of a whole text.
+END_PRIOR = 4.0
+END_LIKELY = 0.08
+SALTS = 8
 # Natural log of the odds a response must show against its target language.
 WRONG_ODDS = 4.0
 
@@ -63,8 +67,10 @@ REFUSALS = (
     r"\bкак (?:помощник|ассистент)\b|\bизвините,? но я\b|\bя не (?:в состоянии|могу)\b|\b(?:вынужден|должен) отказать|\bмоим правилам\b",
     r"申し訳(?:ございません|ありません)が、(?:この|その)(?:文章|テキスト|依頼|ご依頼|翻訳)|翻訳(?:いたしかね|できかね|できません)|お手伝いできません|アシスタントとして|(?:翻訳|回答)は?お断り",
 )
-_REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS))
-_TAGS = re.compile(r"<[^<>]{0,200}>|&nbsp;")
+# Alternatives that start at a word share one test of that, so that their first letters decide at once.
+_AT_WORDS = [y for x in REFUSALS if x.startswith(r"\b") for y in x.removeprefix(r"\b").split(r"|\b")]
+_REFUSAL = re.compile(r"\b(?:" + "|".join(_AT_WORDS) + ")|" + "|".join(x for x in REFUSALS if not x.startswith(r"\b")))
+_TAGS = re.compile(r"</?[a-zA-Z][^<>]*+>|<!--[^<>]*+-->|&nbsp;")
 _PLACEHOLDER = re.compile(r"\{\{[^{}]*\}\}|%[sd]|\{[^{}]*\}")
 _LABELLED = re.compile(r"^\W*\w[^:;\n]{0,30}\s?[:：][^;|/\n,]+[;|/\n,]\s*\w[^:;\n]{0,30}\s?[:：]")
 _NAME = re.compile(r"^\W*[\w-]+\s*[:—–-]\s")
@@ -73,10 +79,9 @@ _PURE_WORD = re.compile(r"(?<![^\W_])[^\W\d_]+(?![^\W_])")
 _ACCENT = re.compile("[\u0300-\u036f]")
 # The format characters (category Cf) of the basic plane that occur in running text.
 _FORMAT = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
-LONGEST_FILLER = 60
-_COLON = re.compile(r"[:：]")
 _CLOSING = " \t\r\n\"'”’»」』)]）*_"
-_FULL_STOPS = ".!?。！？…"
+_DOTS = re.compile(r"(?:…|\.{2,})[.…]*+$")
+_BLANKS = re.compile(r"\s+")
 
 
 def visible(text: str) -> str:
@@ -87,12 +92,10 @@ def visible(text: str) -> str:
 
 
 def is_filler(shown: str, source: str) -> bool:
-    if len(shown) > LONGEST_FILLER and _WORD.search(shown):
-        return False
-    letters = "".join(c for c in shown.lower() if c.isalnum())
+    letters = "".join(_WORD.findall(shown.lower()))
     if not letters:
         return not shown or any(c.isalpha() for c in _PLACEHOLDER.sub("", source))
-    return letters in FILLERS and letters != "".join(c for c in source.lower() if c.isalnum())
+    return letters in FILLERS and letters != "".join(_WORD.findall(source.lower()))
 
 
 def skeleton(text: str) -> list[str]:
@@ -124,75 +127,79 @@ def is_copy(source: str, shown: str) -> bool:
     return own >= 0.8 * (len(b) - 1) and own >= 0.5 * (len(a) - 1)
 
 
-def end_form(shown: str) -> str:
-    """The text whose end is judged: closing quotes, brackets and the hyphen of a cut word don't hide it.
-
-    A hyphen at the end stands after cut words alone, so endings with it would count as known once cuts are many.
-    """
-    return re.sub(r"\s+", " ", shown.lower()).rstrip(_CLOSING + "-")
-
-
-def end_tail(response: str) -> str:
-    """What the likelihood of a response's end depends on: its last characters, after a blank; empty if it has none."""
-    form = end_form(visible(response))
-    return f" {form}"[-max(END_CONTEXTS) - 1 :] if form else ""
+def end_form(shown: str) -> tuple[str, bool]:
+    """The text whose end is judged, and whether it was dressed: closing signs, a cut word's hyphen and dots are taken off."""
+    form = _BLANKS.sub(" ", shown.lower()).strip().rstrip(_CLOSING)
+    dressed = form.endswith(("-", "…", ".."))
+    while form.endswith(("-", "…", "..")):
+        form = _DOTS.sub("", form).rstrip(_CLOSING + "-")
+    return form, dressed
 
 
-def _counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+def end_tail(form: str) -> str:
+    """What the likelihood of an end depends on: the last characters, after a blank; empty if there are none."""
+    return f" {form}"[-max(END_CONTEXTS) :] if form else ""
 
 
-def _count_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = Counter(end_tail(t) for t in b.column(0).to_pylist())
-        n.pop("", None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["tail", "n"])
+def ends_of(sources: list[str], responses: list[str | None]) -> tuple[list[str], list[bool]]:
+    """The tails of the responses, and whether they're dressed where their prompts aren't."""
+    answers = [end_form(visible(r or "")) for r in responses]
+    # The prompt matters only to the few that are dressed.
+    return [end_tail(a) for a, _ in answers], [d and not end_form(visible(s))[1] for s, (_, d) in zip(sources, answers, strict=True)]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """tail, n, context_length, h for each context a tail ends with, and whether it may judge the tail."""
+    """tail, dressed, n, context_length, h for each context an end has; the shortest one is of no characters."""
     for b in batches:
-        tails, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-        for order in END_CONTEXTS:
+        tails = b.column("tail").to_pylist()
+        for order in (0, *END_CONTEXTS):
             at = np.array([i for i, t in enumerate(tails) if len(t) >= order], np.int64)
             # Each piece is ` x \0`: order + 3 positions, the context itself starts at the second one.
-            h = ngrams.hashes(ngrams.codes([tails[i][-order:] for i in at])[0], order, END_BITS)[1 :: order + 3][: len(at)]
-            # A cut text may be made to look finished by dots: its end is believed only from a long context.
-            judges = [len(tails[i]) > order and not (order < END_DOTTED and tails[i].endswith(("…", "..."))) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array([tails[i] for i in at], pa.string()), pa.array(n[at], pa.int64()), pa.array([order] * len(at), pa.int32()), pa.array(h, pa.int64()), pa.array(judges, pa.bool_())], names=["tail", "n", "context_length", "h", "judges"])
+            h = ngrams.hashes(ngrams.codes([tails[i][-order:] for i in at])[0], order, END_BITS)[1 :: order + 3][: len(at)] if order else np.zeros(len(at), np.int64)
+            own = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([own.column("tail"), own.column("dressed"), own.column("n"), pa.array([order] * len(at), pa.int32()), pa.array(h, pa.int64())], names=["tail", "dressed", "n", "context_length", "h"])
 
 
-def end_likelihoods(rows: DataFrame) -> DataFrame:
-    """tail, likelihood: how likely a text ends after each distinct tail, from the longest context seen often enough.
+def end_likelihoods(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """tail, dressed, likelihood: how likely a response ends after each distinct end of `ends` (tail, dressed).
 
-    Ends and occurrences are counted exactly over all responses, so each judged text is among them and is subtracted.
-    Tails without a known context don't occur.
+    Texts that hold a context and texts that end with it are counted over all responses, so each judged text is among them
+    and is subtracted. An end in a hyphen or dots of its own says nothing about where texts end: it counts as held only.
     """
-    texts = spread(rows.select("translated_value").where("translated_value is not null"))
-    tails = materialize(texts.mapInArrow(_count_tails, "tail string, n long").groupBy("tail").agg(F.sum("n").alias("n")), "tails")
-    contexts = materialize(tails.mapInArrow(_contexts, "tail string, n long, context_length int, h long, judges boolean"), "contexts")
-    ends = contexts.groupBy("h").agg(F.sum("n").alias("ends"))
+    tails = materialize(ends.where("tail != ''").groupBy("tail", "dressed").agg(F.count("*").alias("n")), "tails")
+    contexts = materialize(tails.mapInArrow(_contexts, "tail string, dressed boolean, n long, context_length int, h long"), "contexts")
     words = contexts.groupBy(F.expr(f"cast(shiftright(h, 6) & {END_WORDS - 1} as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("word")).toArrow()
     bitmap = np.zeros(END_WORDS, np.uint64)
     bitmap[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
     ending = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for _, part in ngrams.chunks([t for t in (end_form(visible(x)) for x in b.column(0).to_pylist()) if t]):
-                cp, _ = ngrams.codes(part)
+            forms = [f for f in (end_form(visible(x))[0] for x in b.column(0).to_pylist()) if f]
+            found, counts = [np.zeros(1, np.int64)], [np.array([len(forms)], np.int64)]
+            for _, part in ngrams.chunks(forms):
+                cp, owner = ngrams.codes(part)
+                # Neither the blank before a text nor that after it is one of its characters.
+                inside = (cp != 0) & np.append(cp[1:] != 0, False) & np.r_[False, cp[:-1] != 0]
                 for order in END_CONTEXTS:
                     h = ngrams.hashes(cp, order, END_BITS)
-                    h = h[h >= 0]
-                    found.append(h[(ending.value[(h >> 6) & (END_WORDS - 1)] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1])
-            h, n = _counts(found)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+                    held = np.flatnonzero((h >= 0) & inside[order - 1 :])
+                    x = h[held]
+                    known = (ending.value[(x >> 6) & (END_WORDS - 1)] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    # A text counts once for each of its contexts, however often it repeats itself.
+                    once = np.unique(x[known] << OWNER_BITS | owner[held[known]]) >> OWNER_BITS
+                    values, n = np.unique(once, return_counts=True)
+                    found.append(values), counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (found, counts)], names=["h", "n"])
 
-    seen = texts.mapInArrow(occurrences, "h long, n long").groupBy("h").agg(F.sum("n").alias("seen")).where(F.col("seen") >= END_SEEN)
-    known = contexts.where("judges").select("tail", "context_length", "h").join(ends.join(seen, "h"), "h")
-    likelihood = (F.col("ends") - 1 + 0.1) / (F.col("seen") - 1 + 0.2)
-    return materialize(known.groupBy("tail").agg(F.max_by(likelihood, "context_length").alias("likelihood")), "likelihoods")
+    texts = spread(rows.select("translated_value").where("translated_value is not null"))
+    seen = texts.mapInArrow(holding, "h long, n long").groupBy("h").agg(F.sum("n").alias("seen"))
+    ended = contexts.groupBy("h").agg(F.sum(F.when(F.col("dressed"), 0).otherwise(F.col("n"))).alias("ends"))
+    known = contexts.select("tail", "dressed", "context_length", "h").join(ended.join(seen, "h"), "h")
+    counted = known.groupBy("tail", "dressed").agg(F.sort_array(F.collect_list(F.struct("context_length", "ends", "seen"))).alias("c"))
+    own = (~F.col("dressed")).cast("int")
+    grown = F.aggregate("c", F.lit(0.0), lambda p, x: (x["ends"] - own + END_PRIOR * p) / (x["seen"] - 1 + END_PRIOR))
+    return materialize(counted.select("tail", "dressed", grown.alias("likelihood")), "likelihoods")
 
 
 def train(rows: DataFrame) -> bayes.NaiveBayes | None:
@@ -219,19 +226,14 @@ def _code(locale: str | None) -> str:
     return (locale or "").strip().lower().replace("_", "-").partition("-")[0]
 
 
-def _marks(text: str) -> int:
-    """Ends of sentences: runs of full stops before a blank or the end (anywhere in Japanese)."""
-    return len(re.findall(r"[.!?…]+(?=[\s\"'”’»)\]]|\Z)|[。！？]+", text))
-
-
-def defects(languages: bayes.NaiveBayes | None, sources: list[str | None], targets: list[str | None], responses: list[str | None], likelihoods: list[float | None]) -> list[str | None]:
-    """The defect of each pair, given the likelihood of each response's end (null: unknown)."""
-    n = len(sources)
-    out: list[str | None] = [None] * n
-    open_rows: list[tuple[int, int, str, str]] = []
-    for i, (source, target, response) in enumerate(zip(sources, targets, responses, strict=True)):
-        if source is None or target is None:
-            continue
+def defects(languages: bayes.NaiveBayes | None, locales: list[str | None], sources: list[str], targets: list[str], responses: list[str | None]) -> tuple[list[str | None], list[bool]]:
+    """The defect of each pair as far as its end doesn't matter, and whether its end is still to be judged."""
+    out: list[str | None] = [None] * len(sources)
+    open_end = [False] * len(sources)
+    open_rows: list[tuple[int, int, int, str]] = []
+    # Prompts recur, one for each target language.
+    numbers: dict[tuple[str, str], int] = {}
+    for i, (locale, source, target, response) in enumerate(zip(locales, sources, targets, responses, strict=True)):
         shown = visible(response or "")
         if is_filler(shown, source):
             out[i] = "empty"
@@ -240,62 +242,50 @@ def defects(languages: bayes.NaiveBayes | None, sources: list[str | None], targe
         else:
             code = _code(target)
             if code in LANGUAGES:
-                open_rows.append((i, LANGUAGES.index(code), visible(source), shown))
+                open_rows.append((i, LANGUAGES.index(code), numbers.setdefault((source, _code(locale)), len(numbers)), shown))
     if not open_rows or languages is None:
-        return out
-    prompts = languages.log_posteriors([ngrams.clean(r[2]) for r in open_rows])
-    cleaned = [ngrams.clean(r[3]) for r in open_rows]
+        return out, open_end
+    prompts = [visible(source) for source, _ in numbers]
+    posteriors = languages.log_posteriors([ngrams.clean_visible(p) for p in prompts])
+    # A prompt is in its labelled language unless its posterior speaks against it.
+    spoken = posteriors.argmax(axis=1).tolist()
+    for k, (_, label) in enumerate(numbers):
+        if label in LANGUAGES and posteriors[k][spoken[k]] - posteriors[k][LANGUAGES.index(label)] <= WRONG_ODDS:
+            spoken[k] = LANGUAGES.index(label)
+    sentence = [is_sentence(p) for p in prompts]
+    open_rows = [r for r in open_rows if sentence[r[2]]]
+    cleaned = [ngrams.clean_visible(r[3]) for r in open_rows]
     answers = languages.log_posteriors(cleaned)
-    ends = np.array([likelihoods[r[0]] for r in open_rows], float)
-    for k, (i, want, source, shown) in enumerate(open_rows):
-        spoken = int(prompts[k].argmax())
-        sentence = is_sentence(source)
-        against = float(answers[k].max() - answers[k][want])
-        if sentence and want != spoken and is_copy(source, shown):
+    best = answers.max(axis=1, initial=-np.inf)
+    for k, (i, want, number, shown) in enumerate(open_rows):
+        against = float(best[k] - answers[k][want])
+        if want != spoken[number] and is_copy(prompts[number], shown):
             out[i] = "copy"
-        elif sentence and against > WRONG_ODDS and (cleaned[k].count(" ") >= 2 or not cleaned[k].isascii() or against > 2 * WRONG_ODDS):
+        elif against > WRONG_ODDS and (cleaned[k].count(" ") >= 2 or not cleaned[k].isascii() or against > 2 * WRONG_ODDS):
             out[i] = "wrong_language"
-        elif is_truncated(source, shown, ends[k], sentence):
-            out[i] = "truncated"
-    return out
-
-
-def is_truncated(source: str, shown: str, likelihood: float, sentence: bool) -> bool:
-    asked, given = source.rstrip(_CLOSING), shown.rstrip(_CLOSING)
-    if _LABELLED.search(source):
-        # The values stay as they are: the last one given must be a whole value of the prompt.
-        if len(_COLON.findall(shown)) < len(_COLON.findall(source)):
-            return True
-        values = {" ".join(skeleton(v)) for v in re.findall(r"[:：]([^:：;|/\n,]*)(?=[;|/\n,]|$)", source)}
-        last = " ".join(skeleton(_COLON.split(given)[-1]))
-        return last not in values and any(v.startswith(last) for v in values)
-    if not sentence:
-        return False
-    if given.endswith(("…", "...")):
-        # A response may end in dots only where its own text is known to.
-        return not (likelihood > END_LIKELY)
-    if given.endswith(tuple(_FULL_STOPS)):
-        return _marks(shown) < _marks(source.rstrip(_CLOSING + _FULL_STOPS) + ".") and len(shown) < 0.6 * len(source)
-    if np.isnan(likelihood):
-        return asked.endswith(tuple(_FULL_STOPS))
-    return bool(likelihood < END_LIKELY)
+        else:
+            open_end[i] = True
+    return out, open_end
 
 
 def found(rows: DataFrame) -> DataFrame:
     """row_id, defect: one row per defective pair."""
     languages = rows.sparkSession.sparkContext.broadcast(train(rows))
-    likelihoods = broadcast_if_small(end_likelihoods(rows))
-
-    def with_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("tail", pa.array([end_tail(t or "") for t in b.column("translated_value").to_pylist()], pa.string()))
+    kept = rows.select(F.col("row_id").cast("long").alias("row_id"), "source_locale", "source_value", "target_locale", "translated_value").where("source_value is not null and target_locale is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = defects(languages.value, *(b.column(c).to_pylist() for c in ("source_value", "target_locale", "translated_value", "likelihood")))
-            keep = [i for i, k in enumerate(kinds) if k]
-            yield pa.RecordBatch.from_arrays([b.column("row_id").take(pa.array(keep, pa.int64())), pa.array([kinds[i] for i in keep], pa.string())], names=["row_id", "defect"])
-
-    kept = rows.select(F.col("row_id").cast("long").alias("row_id"), "source_value", "target_locale", "translated_value")
-    pairs = spread(kept.where("source_value is not null and target_locale is not null")).mapInArrow(with_tail, "row_id long, source_value string, target_locale string, translated_value string, tail string")
-    return pairs.join(likelihoods, "tail", "left").mapInArrow(run, "row_id long, defect string")
+            locales, sources, targets, responses = (b.column(c).to_pylist() for c in ("source_locale", "source_value", "target_locale", "translated_value"))
+            kinds, open_end = defects(languages.value, locales, sources, targets, responses)
+            tails, dressed = ends_of(sources, responses)
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(kinds, pa.string()), pa.array(open_end, pa.bool_()), pa.array(tails, pa.string()), pa.array(dressed, pa.bool_())], names=["row_id", "defect", "open_end", "tail", "dressed"])
+
+    judged = materialize(spread(kept).mapInArrow(judge, "row_id long, defect string, open_end boolean, tail string, dressed boolean"), "judged")
+    unlikely = end_likelihoods(kept, judged).where(F.col("likelihood") < END_LIKELY).select("tail", "dressed")
+    pending = judged.where("open_end").select("row_id", "tail", "dressed")
+    if unlikely.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        cut = pending.join(F.broadcast(unlikely), ["tail", "dressed"], "left_semi")
+    else:
+        salted = unlikely.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cut = pending.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, ["tail", "dressed", "salt"], "left_semi")
+    return judged.where("defect is not null").select("row_id", "defect").unionByName(cut.select("row_id", F.lit("truncated").alias("defect")))

@@ -5,32 +5,35 @@ import random
 from lexiloom.llm import pairs
 
 
-def likelihood(texts, t):
-    """Counted in the plainest form."""
-    for order in pairs.END_CONTEXTS:
-        if len(t) < order or order < pairs.END_DOTTED and t.endswith(("…", "...")):
-            continue
-        context, padded = t[-order:], [f" {x} " for x in texts]
-        seen = sum(p[i : i + order] == context for p in padded for i in range(len(p)))
-        if seen >= pairs.END_SEEN:
-            return (sum(p[:-1].endswith(context) for p in padded) - 0.9) / (seen - 0.8)
-    return None
+def likelihoods(texts):
+    """(tail, dressed) -> likelihood, counted in the plainest form."""
+    out = {}
+    for form, dressed in texts:
+        p, text = 0.0, f" {form}"
+        for order in (0, *pairs.END_CONTEXTS):
+            if order <= len(text):
+                context = text[len(text) - order :]
+                held = sum(context in f" {f}" for f, _ in texts)
+                ends = sum(f" {f}".endswith(context) and not d for f, d in texts)
+                p = (ends - (not dressed) + pairs.END_PRIOR * p) / (held - 1 + pairs.END_PRIOR)
+        out[pairs.end_tail(form), dressed] = p
+    return out
 
 
 def test_ends_are_counted_over_all_rows(spark, monkeypatch):
     monkeypatch.setattr(pairs, "SAMPLE", 5)
     monkeypatch.setattr(pairs, "END_WORDS", 4)
     rng = random.Random(3)
-    words = ["save", "the", "report", "now.", "Ärger", "...", "キー", "a"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(300)] + ["", None, "?"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, translated_value string").repartition(5)
-    got = {r.tail: r.likelihood for r in pairs.end_likelihoods(df).collect()}
-    forms = [f for f in (pairs.end_form(pairs.visible(t)) for t in texts if t) if f]
-    for t in texts:
-        form = pairs.end_form(pairs.visible(t or ""))
-        want, have = likelihood(forms, form) if form else None, got.get(pairs.end_tail(t or ""))
-        assert (want is None) == (have is None) and (want is None or abs(want - have) < 1e-12), t
-    assert len(got) > 50
+    words = ["save", "the", "report", "now.", "Ärger", "...", "キー", "a", "よ。", "a.b", "?!", "no-", "…"]
+    rows = [tuple(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(2)) for _ in range(200)] + [("a", ""), ("a", None), ("a", "?"), ("a", "c."), ("a", "z" * 30)]
+    df = spark.createDataFrame([(i, s, "de", t) for i, (s, t) in enumerate(rows)], "row_id long, source_value string, target_locale string, translated_value string").repartition(5)
+    tails, dressed = pairs.ends_of(*map(list, zip(*rows)))
+    assert {True, False} == set(dressed)
+    got = {(r.tail, r.dressed): r.likelihood for r in pairs.end_likelihoods(df, spark.createDataFrame(list(zip(tails, dressed)), "tail string, dressed boolean")).collect()}
+    forms = [pairs.end_form(pairs.visible(t or ""))[0] for _, t in rows]
+    want = likelihoods([(f, d) for f, d in zip(forms, dressed) if f])
+    assert set(got) == set(want) == {x for x in zip(tails, dressed) if x[0]} and len(got) > 50
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
 def test_verdict_does_not_depend_on_the_sample(spark, monkeypatch):
@@ -52,4 +55,22 @@ def test_many_cuts_with_a_hyphen_stay_cuts(spark):
     whole = [(i, "en", a, "de", b) for i, (a, b) in enumerate(zip(lines("en"), lines("de")))]
     cut = [(1000 + i, "en", a, "de", b[: b.rindex(" ") + 3] + "-") for i, (a, b) in enumerate(zip(lines("en"), lines("de"))) if b.endswith("Version.")]
     df = spark.createDataFrame(whole + cut, "row_id long, source_locale string, source_value string, target_locale string, translated_value string")
-    assert len(cut) > pairs.END_SEEN and {r.row_id for r in pairs.found(df).collect() if r.defect == "truncated"} == {r[0] for r in cut}
+    assert {r.row_id for r in pairs.found(df).collect() if r.defect == "truncated"} == {r[0] for r in cut}
+
+
+def test_short_but_whole(spark):
+    from tests.llm.samples import lines
+
+    en, de = lines("en"), lines("de")
+    whole = [(i, "en", f"{en[i % 60]} {en[(i + 3) % 60]}", "de", f"{de[i % 60]} {de[(i + 3) % 60]}") for i in range(240)]
+    short = [(1000 + i, "en", f"{en[i]} {en[i + 2]} {en[i + 3]}", "de", de[i]) for i in range(3)]
+    cut = [(2000 + i, "en", f"{en[i]} {en[i + 2]}", "de", de[i][:-11] + end) for i, end in enumerate(["", " …", '"', "...", "-"])]
+    df = spark.createDataFrame(whole + short + cut, "row_id long, source_locale string, source_value string, target_locale string, translated_value string")
+    got = {r.row_id for r in pairs.found(df).collect() if r.defect == "truncated"}
+    assert got == {r[0] for r in cut}
+    # The shuffled way gives the same.
+    pairs.MAX_BROADCAST_ROWS, old = 0, pairs.MAX_BROADCAST_ROWS
+    try:
+        assert {r.row_id for r in pairs.found(df).collect() if r.defect == "truncated"} == got
+    finally:
+        pairs.MAX_BROADCAST_ROWS = old
