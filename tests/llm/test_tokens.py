@@ -68,3 +68,26 @@ def test_empty_mixture(spark):
     m = mixture.Mixture(corpus(spark).where("false"), weights)
     assert m.drawn.collect() == [] and m.report().collect()[0].actual_share == 0.0
     assert mixture.Mixture(corpus(spark), weights.where("false")).drawn.collect() == []
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "GROUPS", 50)
+    rows = [(i, f"s{i % 2000}", "word " * (1 + i % 7)) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = spark.createDataFrame([(f"s{k}", 1.0 + k % 3, 5) for k in range(2000)], "source string, target_share double, max_repeats int")
+    m = mixture.Mixture(docs, weights, shards=5)
+    drawn = m.drawn.collect()
+    assert len({(r.doc_id, r.repeat) for r in drawn}) == len(drawn) and {r.shard for r in drawn} == set(range(5))
+    report = m.report().collect()
+    assert len(report) == 2000 and max(r.repeats_used for r in report) == 5
+    size = sum(r.drawn_tokens for r in report)
+    # Documents are whole, so a source misses its quota by half of its longest one at most.
+    assert all(abs(r.drawn_tokens - r.asked_share * size) <= 8 for r in report)
+
+
+def test_huge_counts_are_split_exactly():
+    import numpy as np
+
+    counts = np.array([5 * 10**9, 3, 10**10])
+    parts = mixture._split(counts, 4, np.random.default_rng(1))
+    assert (sum(parts) == counts).all() and all((p >= 0).all() for p in parts) and max(p.sum() for p in parts) - min(p.sum() for p in parts) <= 1
