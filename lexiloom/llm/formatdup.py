@@ -1,8 +1,8 @@
 """Problem 6: records that are the same but for formatting, collapsed by a range-partitioned external sort.
 
-Each record gets a canonical key (JVM expressions only). The canonical records are range-partitioned by key and id,
-sorted inside their partitions (Spark's external sort, which spills), and one scan over each sorted partition compares
-neighbouring full keys. As the id is part of the range key, a group that holds a third of all rows is spread over
+Each record gets a canonical key (JVM expressions only). The canonical records are range-partitioned by a digest of the key
+and the id, sorted inside their partitions by digest and key (Spark's external sort, which spills), and one scan over each
+sorted partition compares neighbouring full keys. As the id is part of the range key, a group that holds a third of all rows is spread over
 several partitions; the runs at partition borders are stitched with one summary per partition, whose number is known
 and bounded, so no group is ever gathered in one task.
 
@@ -109,7 +109,9 @@ RUNS = "tab_name string, id long, head long, part int, leading boolean, first_ke
 
 def members(records: DataFrame) -> DataFrame:
     """tab_name, id, head: each canonical record with the smallest id of its group."""
-    ranged = records.repartitionByRange("tab_name", "canon", "id").sortWithinPartitions("tab_name", "canon", "id")
+    # Records are made canonical once; what the driver sees of them are sampled bounds of a fixed size.
+    keyed = materialize(records.withColumn("digest", F.unhex(F.md5(F.concat_ws("\x1c", "tab_name", "canon")))), "format-records")
+    ranged = keyed.repartitionByRange("digest", "id").sortWithinPartitions("digest", "tab_name", "canon", "id").select("tab_name", "id", "canon")
     runs = materialize(ranged.mapInArrow(_scan, RUNS), "format-runs")
     borders = runs.where("tab_name is null").select("part", "head", "leading", F.sha2("first_key", 256).alias("first_key"), F.sha2("last_key", 256).alias("last_key"))
     # One row per partition of the sort: bounded by the number of shuffle partitions, whatever the data.
