@@ -1,7 +1,8 @@
 """Problem 5: one consistent form for texts that look the same but differ in their characters.
 
 DuckDB runs inside each Arrow partition; the mapping is embedded SQL made of `nfc_normalize`, `translate`, `replace` and
-`regexp_replace`. The pairs are found on fixed-size digests: only groups that hold at least two spellings are kept, their
+regular expressions. It has two steps: a look, in which every shape has one code point, for comparing; and from the look
+alone a readable text, whose words of Cyrillic, Greek or Katakana letters get back all their letters of that script. The pairs are found on fixed-size digests: only groups that hold at least two spellings are kept, their
 distinct spellings are joined with each other (never their rows), and rows are attached to the pairs of spellings last.
 
 What looks the same: width forms, ligatures, composed or decomposed accents, invisible characters, kinds of blank or
@@ -61,6 +62,23 @@ def shapes() -> dict[str, str]:
     return out
 
 
+@cache
+def scripts() -> list[tuple[str, str, str]]:
+    """By script: a pattern of its letters that no other script shares, and the shared shapes with the script's own letters.
+
+    Where several letters of a script have one shape, the first stands for it.
+    """
+    out = []
+    for low, high, source in ((0x400, 0x530, CYRILLIC), (0x370, 0x400, GREEK), (0x30A1, 0x30FB, KANA)):
+        own = {}
+        for a, b in shapes().items():
+            if a in source[0] or low <= ord(a) < high and len(b) == 1:
+                own.setdefault(b, a)
+        letters = [chr(c) for c in range(low, high) if unicodedata.category(chr(c))[0] == "L" and chr(c) not in shapes()]
+        out.append((f"[{''.join(letters)}]", "".join(own), "".join(own.values())))
+    return out
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -75,13 +93,26 @@ def _mapped(e: str, images: dict[str, str]) -> str:
 
 
 @cache
-def consistent_sql(column: str = "text") -> str:
-    """The embedded SQL expression; ASCII text passes through untouched."""
+def look_sql(column: str = "text") -> str:
+    """The embedded SQL of the form that equal looks share; ASCII text passes through untouched."""
     e = _mapped(f"regexp_replace(nfc_normalize({column}), '{INVISIBLE}', '', 'g')", widths())
     e = _mapped(e, shapes())
     return f"CASE WHEN {column} IS NULL OR NOT regexp_matches({column}, '[^\\x00-\\x7F]') THEN {column} ELSE {e} END"
 
 
+@cache
+def consistent_sql(look: str = "look") -> str:
+    """The embedded SQL of the readable form of a look: words with letters of one script get all their letters from it.
+
+    It depends on the look alone, and has that look itself, so readable forms are equal just where looks are.
+    """
+    word = "w"
+    for pattern, shared, own in reversed(scripts()):
+        word = f"CASE WHEN regexp_matches(w, {_quoted(pattern)}) THEN translate(w, {_quoted(shared)}, {_quoted(own)}) ELSE {word} END"
+    words = f"regexp_extract_all({look}, '[\\pL\\pM]+|[^\\pL\\pM]+')"
+    return f"CASE WHEN {look} IS NULL OR NOT regexp_matches({look}, '[^\\x00-\\x7F]') THEN {look} ELSE nfc_normalize(array_to_string(list_transform({words}, lambda w: {word}), '')) END"
+
+
 def _duck():
     import duckdb
 
@@ -93,7 +124,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _duck()
     for b in batches:
         con.register("part", pa.Table.from_batches([b]))
-        out = con.sql(f"SELECT tab_name, id, {consistent_sql()} AS text FROM part").to_arrow_table()
+        out = con.sql(f"SELECT tab_name, id, {consistent_sql()} AS text FROM (SELECT tab_name, id, {look_sql()} AS look FROM part)").to_arrow_table()
         yield from out.cast(pa.schema([("tab_name", pa.string()), ("id", pa.int64()), ("text", pa.string())])).to_batches()
         con.unregister("part")
 
@@ -102,7 +133,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _duck()
     query = f"""
         SELECT tab_name, id, unhex(md5(look)) AS look, unhex(md5(text)) AS spelling
-        FROM (SELECT tab_name, id, text, {consistent_sql()} AS look FROM part)
+        FROM (SELECT tab_name, id, text, {look_sql()} AS look FROM part)
         WHERE regexp_matches(look, '[\\pL\\pN]')"""
     kinds = pa.schema([("tab_name", pa.string()), ("id", pa.int64()), ("look", pa.binary()), ("spelling", pa.binary())])
     for b in batches:
@@ -128,23 +159,36 @@ def consistent(rows: DataFrame) -> DataFrame:
 def same_look(rows: DataFrame) -> DataFrame:
     """tab_name, id_a, id_b: the pairs of rows of one table that differ as code points but look the same.
 
-    The result is as large as the pairs asked for; what is shuffled before is one digest row per text, then only the
-    rows of groups with several spellings, salted where the spellings of one look are many.
+    The result is as large as the pairs asked for. What is shuffled before is one row of marks per look, then the digests
+    once; only rows of looks with several spellings go on. Looks and spellings of more than a thousandth of all rows (and
+    `SALT_ROWS`) are a thousand at most; these alone are broadcast, and their rows and pairs are spread over salts.
     """
     kept = rows.select("tab_name", "id", "text").where("text is not null")
     digests = materialize(kept.mapInArrow(_digest, "tab_name string, id long, look binary, spelling binary"), "looks")
+    most = max(SALT_ROWS, digests.count() // 1000)
     mark = F.xxhash64("spelling")
-    mixed = digests.groupBy("tab_name", "look").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("tab_name", "look")
-    several = materialize(digests.join(mixed, ["tab_name", "look"], "left_semi"), "looks-mixed")
-    spellings = several.groupBy("tab_name", "look", "spelling").agg(F.count("*").alias("n"))
-    a = spellings.select("tab_name", "look", F.col("spelling").alias("spelling_a"), F.col("n").alias("n_a"))
-    b = spellings.select("tab_name", "look", F.col("spelling").alias("spelling_b"))
-    pairs = a.join(b, ["tab_name", "look"]).where("spelling_a < spelling_b")
-    # A common spelling may have very many rows: its pairs are replicated over salts, its rows spread over them.
-    salts = F.ceil(F.col("n_a") / SALT_ROWS).cast("int")
-    salted = pairs.select("tab_name", "spelling_a", "spelling_b", salts.alias("salts"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    width = spellings.select("tab_name", "spelling", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    left = several.join(width, ["tab_name", "spelling"]).select("tab_name", F.col("spelling").alias("spelling_a"), F.col("id").alias("one"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
-    right = several.select("tab_name", F.col("spelling").alias("spelling_b"), F.col("id").alias("two"))
-    found = salted.join(left, ["tab_name", "spelling_a", "salt"]).join(right, ["tab_name", "spelling_b"])
-    return found.select("tab_name", F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"))
+    looks = digests.groupBy("tab_name", "look").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    several = _salted(digests, materialize(looks.select("tab_name", "look", "n"), "looks-mixed"), "look", most)
+    several = materialize(several.select("tab_name", "id", "look", "spelling"), "looks-mixed-rows")
+    spellings = materialize(several.groupBy("tab_name", "look", "spelling").agg(F.count("*").alias("n")), "spellings")
+    side = lambda x: spellings.select("tab_name", "look", F.col("spelling").alias(f"spelling_{x}"), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), ["tab_name", "look"]).where("spelling_a < spelling_b").select("tab_name", "spelling_a", "n_a", "spelling_b", "n_b")
+    ends = several.select("tab_name", "spelling", "id")
+    for x in ("a", "b"):
+        hot = F.greatest(F.ceil(F.col(f"n_{x}") / most).cast("int"), F.lit(1))
+        pairs = pairs.withColumn("salts", hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        own = _with_salts(ends, spellings.select("tab_name", "spelling", "n"), "spelling", most).select("tab_name", F.col("spelling").alias(f"spelling_{x}"), "salt", F.col("id").alias(f"row_{x}"))
+        pairs = pairs.join(own, ["tab_name", f"spelling_{x}", "salt"]).drop("salt", "salts")
+    return pairs.select("tab_name", F.least("row_a", "row_b").alias("id_a"), F.greatest("row_a", "row_b").alias("id_b"))
+
+
+def _with_salts(rows: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """`rows` with a salt: 0, but for the keys of more than `most` rows, of which there are so few that they're broadcast."""
+    hot = counts.where(F.col("n") > most).select("tab_name", key, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    return rows.join(F.broadcast(hot), ["tab_name", key], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+
+
+def _salted(rows: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows whose key is in `counts` (tab_name, key, n); keys of many rows are spread over salts."""
+    wanted = counts.select("tab_name", key, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / most).cast("int"), F.lit(1)) - 1)).alias("salt"))
+    return _with_salts(rows, counts, key, most).join(wanted, ["tab_name", key, "salt"], "left_semi")

@@ -76,9 +76,17 @@ def test_same_look(spark):
 
 def test_hot_spelling_is_salted(spark, monkeypatch):
     monkeypatch.setattr(lookalikes, "SALT_ROWS", 10)
-    rows = [(i, "Loading") for i in range(1, 95)] + [(200, "Lоading"), (201, "Loading​")]
+    rows = [(i, "Loading") for i in range(1, 95)] + [(i, "Lоading") for i in range(200, 230)] + [(300, "Loading​")]
     got = [tuple(r) for r in lookalikes.same_look(frame(spark, rows)).select("id_a", "id_b").collect()]
-    assert sorted(got) == sorted([(i, j) for i in range(1, 95) for j in (200, 201)] + [(200, 201)])
+    assert sorted(got) == sorted([(i, j) for i in range(1, 95) for j in (*range(200, 230), 300)] + [(j, 300) for j in range(200, 230)])
+
+
+def test_readable_forms(spark):
+    stay = ["エラーが発生しました", "Вход в систему", "Отмена, ёлка", "工業の力", "Αθήνα", "naïve café", "日本一"]
+    pairs = [("Oтмeнa", "Отмена"), ("Sаvе", "Save"), ("工ラ一", "エラー"), ("ｶﾞｲﾄﾞ", "ガイド"), ("Aθήvα", "Αθήνα")]
+    rows = list(enumerate([*stay, *[a for a, _ in pairs]]))
+    got = {r.id: r.text for r in lookalikes.consistent(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [*stay, *[b for _, b in pairs]]
 
 
 def test_empty(spark):
