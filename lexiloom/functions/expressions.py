@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiloom.functions import globs
+from lexiloom.functions.texts import first_match, java
 from lexiloom.functions.whitespace import trim_all
 
 # Attributes that never hold text for people, that always do, and endings that tell of such text.
@@ -14,6 +15,23 @@ ALLOWED_ATTRIBUTES = ("alt", "title", "placeholder", "label", "aria-label", "ari
 TEXT_ENDINGS = ("label", "text", "title", "message", "description", "placeholder", "tooltip", "hint", "caption")
 
 
+# Fixed values: (reason, whether the text is taken untrimmed, pattern) in order of priority.
+EXPRESSION_PATTERNS = (
+    ("json-like-string", True, r'^\s*\{[\s\S]*"[\w-]+"[\s\S]*:[\s\S]*\}\s*$'),
+    ("sql-like-string", True, r"!\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|ORDER\s+BY|GROUP\s+BY)\b"),
+    ("format-specifiers", False, r"^[%$]?[sdif](\s+[%$]?[sdif])*$"),
+    ("phone-number", False, r"^[+]?\d{1,3}[\s.-]?\(?\d{1,4}\)?[\s.-]?\d{1,4}[\s.-]?\d{1,9}$"),
+    ("regex-pattern", False, r"^/.*/[gimsuvy]*$"),
+    ("i18n-call-pattern", False, r"""^(t|i18n|translate|\$t)\s*\(\s*['"`]"""),
+)
+# Fixed values: (reason, pattern) in order of priority.
+TEMPLATE_PATTERNS = (
+    ("json-like-content", r"^\s*[\[{][\s\S]*[\]}]\s*$"),
+    ("code-like-content", r"\b(const|let|var|function|return|if|else|for|while)\b"),
+    ("url-template", "!^(https?://|mailto:|tel:|ftp:)"),
+)
+
+
 def is_translatable_attribute(name: Column) -> Column:
     """Deny list, then allow list, then the ending of the name."""
     n = F.lower(name)
@@ -70,16 +88,17 @@ def preview(text: Column, length: int = 50) -> Column:
 
 
 def expression_reason(text: Column) -> Column:
-    """Why the text of an inline expression isn't for people: json, sql, format, phone, regex or call; else null."""
+    """Why the text of an inline expression isn't for people, or null."""
     t = trim_all(text)
-    return (
-        F.when(t.rlike(r'^\{[\s\S]*"[\w-]+"\s*:[\s\S]*\}\z'), "json")
-        .when(t.rlike(r"^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\s"), "sql")
-        .when(t.rlike(r"^[YMDHhmsyd]{1,4}(?:[-/:. ][YMDHhmsyd]{1,4})+\z"), "format")
-        .when(t.rlike(r"^\+?[\d\s().-]{7,}\z"), "phone")
-        .when(t.rlike(r"^/[^/]+/[gimsuy]*\z"), "regex")
-        .when(t.rlike(r"^\$?t\("), "call")
-    )
+    out = F.lit(None).cast("string")
+    for reason, whole, pattern in reversed(EXPRESSION_PATTERNS):
+        out = F.when((text if whole else t).rlike(java(pattern)), reason).otherwise(out)
+    return out
+
+
+def template_reason(text: Column) -> Column:
+    """Why the text of a template isn't for people, or null."""
+    return first_match(text, TEMPLATE_PATTERNS)
 
 
 def path_matches(path: Column, patterns: list[str]) -> Column:

@@ -122,8 +122,10 @@ def generated_key(text: Column, style: str = "snake", length: int = 50) -> Colum
 
 
 def text_hash(text: Column) -> Column:
-    """The rolling 31-multiplier hash in 32 signed bits, its absolute value in base 36 (code points up to U+FFFF)."""
-    codes = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
+    """The rolling 31-multiplier hash over UTF-16 units in 32 signed bits, its absolute value in base 36."""
+    points = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
+    pair = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000) % 1024)
+    codes = F.when(F.exists(points, lambda c: c > 0xFFFF), F.flatten(F.transform(points, lambda c: F.when(c > 0xFFFF, pair(c)).otherwise(F.array(c))))).otherwise(points)
     mask = F.lit(0xFFFFFFFF)
     folded = F.aggregate(F.when(text == "", F.array(F.lit(0).cast("long"))).otherwise(codes), F.lit(0).cast("long"), lambda a, c: ((a * 31) + c).bitwiseAND(mask))
     signed = F.when(folded >= 2**31, F.lit(2**32) - folded).otherwise(folded)

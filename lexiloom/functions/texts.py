@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiloom.functions.whitespace import trim_all
+from lexiloom.functions.whitespace import SPACE, trim_all
 
 # Fixed values: (reason, pattern) in order of priority; `!` before a pattern marks case-insensitive ones.
 FILTER_RULES_BEFORE_CLASSES = (
@@ -37,6 +39,7 @@ FILTER_RULES_LAST = (
     ("all-caps-constant", "^[A-Z][A-Z0-9_]*_[A-Z0-9_]*$"),
     ("css-transition", r"!^\w+\s+[\d.]+s?\s*(ease|linear|ease-in|ease-out)?$"),
 )
+# Words, signals and prefixes of style classes.
 CSS_VALUES = (
     "bold normal italic center left right justify top bottom baseline middle flex grid block inline none hidden visible absolute relative "
     "fixed sticky transparent inherit initial unset auto wrap nowrap uppercase lowercase capitalize underline overline pointer default "
@@ -54,6 +57,14 @@ UTILITY_PREFIXES = (
     "bottom left inset overflow cursor pointer select resize sr object break whitespace truncate animate transition duration ease delay "
     "scale rotate translate skew origin col row order justify items content self place float clear"
 ).split()
+# Attributes whose values aren't text, and values that aren't text in an attribute.
+OPAQUE_ATTRIBUTES = ("class", "classname", "style", "d", "viewbox")
+HTML_TYPES = "text submit checkbox hidden number radio range button password email tel date time file search url color reset image".split()
+CSS_KEYWORD = "!^(auto|inherit|initial|unset|none|block|flex|grid|inline|bold|normal|center|left|right|baseline)$"
+INPUT_TYPE = "!^(text|email|password|number|tel|url|date|time|hidden|submit|button|checkbox|radio|file|range|color|search)$"
+ICON = r"!^[a-z][\w-]*:[a-z][\w-]*$"
+RELATIVE_PATH = r"^/[\w\-./]+(\?[\w=&]*)?$"
+# Words of queries.
 SQL_WORDS = r"\b(SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN|ORDER\s+BY|GROUP\s+BY|CREATE|DROP|ALTER|TRUNCATE)\b"
 # Fixed values: (name, category, confidence, pattern) in order of priority.
 PATTERNS = (
@@ -87,6 +98,7 @@ ENTITIES = (
     ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
     ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"),
 )
+# Letters of pseudo-localised text.
 ACCENTS = ("aeiouAEIOU", "áéíóúÁÉÍÓÚ")
 
 
@@ -122,11 +134,29 @@ def is_single_utility(text: Column) -> Column:
     return ~text.contains(" ") & text.rlike(rf"(?i)^({'|'.join(UTILITY_PREFIXES)})[-]?\d*[a-z0-9./\[\]-]*\z") & (text.rlike(r"\d") | text.rlike(rf"^({'|'.join(UTILITY_PREFIXES)})"))
 
 
-def skip_reason(text: Column, *, deny: tuple[str, ...] = (), allow: tuple[str, ...] = (), skip_hex: bool = False) -> Column:
-    """Why a text isn't extracted, or null if it is. Null and empty texts are `empty`."""
+def _attribute_reason(t: Column, attribute: Column) -> Column:
+    """The rules that know where a text stands; null where none of them applies."""
+    a = F.lower(attribute)
+    of = lambda *names: a.isin(*names)
+    like = lambda p: t.rlike(java(p))
+    hit = of(*OPAQUE_ATTRIBUTES) | a.isNotNull() & like(CSS_KEYWORD) | of("type", "inputmode") & like(INPUT_TYPE) | of("icon", "iconname", "icon-name") & like(ICON) | of("href", "to", "action", "src") & like(RELATIVE_PATH)
+    return F.when(F.coalesce(hit, F.lit(False)), "non_sentence")
+
+
+def skip_reason(text: Column, *, attribute: Column | None = None, deny: tuple[str, ...] = (), allow: tuple[str, ...] = (), skip_hex: bool = False) -> Column:
+    """Why a text isn't extracted, or null if it is. Null and empty texts are `empty`.
+
+    `attribute` names the attribute a text is the value of, where it is one. Deny and allow patterns disregard case; those
+    that aren't regular expressions are left out.
+    """
+    deny, allow = compiled(deny), compiled(allow)
     t = trim_all(text)
-    last = first_match(t, FILTER_RULES_LAST, F.when(is_single_utility(t), "single-token-tailwind").when(~t.rlike(r"\p{L}"), "no-letters"))
+    placed = None if attribute is None else _attribute_reason(t, attribute)
+    end = F.when(is_single_utility(t), "single-token-tailwind").when(~t.rlike(r"\p{L}"), "no-letters")
+    last = first_match(t, FILTER_RULES_LAST, end if placed is None else end.otherwise(placed))
     last = F.when(F.lower(t).isin(*CSS_VALUES), "css-value-keyword").otherwise(last)
+    if attribute is not None:
+        last = F.when((F.lower(attribute) == "type") & F.lower(t).isin(*HTML_TYPES), "html-type-keyword").otherwise(last)
     if skip_hex:
         last = F.when(t.rlike(r"^#(?:[0-9a-fA-F]{3}|[0-9a-fA-F]{4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})\z"), "hex-color").otherwise(last)
     last = F.when(t.rlike(r"^([^\p{L}\d\s])\1+\z"), "repeated-symbols").otherwise(last)
@@ -142,17 +172,35 @@ def skip_reason(text: Column, *, deny: tuple[str, ...] = (), allow: tuple[str, .
     return F.when(text.isNull() | (text == ""), "empty").otherwise(out)
 
 
+def compiled(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """The patterns that are regular expressions, without regard to case."""
+    out = []
+    for p in patterns:
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        out.append("(?i)" + p)
+    return tuple(out)
+
+
 def before_query(text: Column) -> Column:
     """The text before an embedded query; text without one as it is."""
     word = F.regexp_extract(text, "(?i)" + SQL_WORDS, 1)
-    cut = F.regexp_replace(F.call_function("substring_index", text, word, F.lit(1)), r"\s+\z", "")
+    cut = F.regexp_replace(F.regexp_extract(text, "(?is)^(.*?)" + SQL_WORDS, 1), rf"{SPACE}++\z", "")
     return F.when((word != "") & ((word == F.upper(word)) | text.rlike(r"""[=*'"]""")), cut).otherwise(text)
 
 
-def detected_pattern(text: Column, least: float = 0.8) -> Column:
+def pattern_set(*, enabled: tuple[str, ...] | None = None, disabled: tuple[str, ...] = (), skipped_categories: tuple[str, ...] = (), custom: tuple[tuple[str, str, float, str], ...] = ()) -> tuple[tuple[str, str, float, str], ...]:
+    """The patterns in force: built-in ones by name and category, then custom ones that are regular expressions."""
+    kept = [p for p in PATTERNS if (enabled is None or p[0] in enabled) and p[0] not in disabled and p[1] not in skipped_categories]
+    return (*kept, *[p for p in custom if p[1] not in skipped_categories and compiled((p[3].removeprefix("!"),))])
+
+
+def detected_pattern(text: Column, least: float = 0.8, patterns: tuple[tuple[str, str, float, str], ...] = PATTERNS) -> Column:
     """The first pattern (name, category, confidence) of non-translatable text that is sure enough."""
     out = F.lit(None).cast("struct<name:string,category:string,confidence:double>")
-    for name, category, confidence, pattern in reversed(PATTERNS):
+    for name, category, confidence, pattern in reversed(patterns):
         if confidence >= least:
             out = F.when(text.rlike(java(pattern)), F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out

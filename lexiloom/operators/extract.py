@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.functions.expressions import format_placeholder
 from lexiloom.functions.whitespace import trim_all
 
 # Attributes whose value is for people.
 TRANSLATABLE_ATTRIBUTES = ("alt", "aria-label", "aria-description", "caption", "helper-text", "label", "placeholder", "title", "tooltip")
 # Elements without an end tag.
 VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+# A quoted part, which an open quote extends to the end, and a run without `+` outside of such parts.
+QUOTED_PART = r"""'(?:[^'\\]|\\.)*(?:'|\\?$)|"(?:[^"\\]|\\.)*(?:"|\\?$)|`(?:[^`\\]|\\.)*(?:`|\\?$)"""
+OPERAND = rf"""(?:{QUOTED_PART}|[^+'"`])+"""
 LITERAL = r"""(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)")"""
 
 
 def references(fragments: DataFrame, identifier: str = "t") -> DataFrame:
-    """cand_id, key, pos: literal arguments of calls of the identifier (`t('key')`), in order of their place."""
-    call = rf"(?:^|[^\w$.])\${{0,1}}{identifier}\(\s*(['\"][^'\"\n]*['\"])"
-    rows = fragments.where("text is not null").select("cand_id", F.posexplode(F.regexp_extract_all("text", F.lit(call), F.lit(1))).alias("pos", "quoted"))
+    """cand_id, key, pos: literal arguments of calls of the identifier itself (`t('key')`), in order of their place.
+
+    Comments and other literals are passed over, so calls told in them don't count. For dynamic keys, templates and the
+    places of calls see `calls.scanned`.
+    """
+    literal = r"""(?:'[^'\\\n]*'|"[^"\\\n]*")"""
+    call = rf"(?<![\w$.]){identifier}\(\s*({literal})"
+    other = r"""//[^\n]*|/\*.*?\*/|<!--.*?-->|'(?:[^'\\\n]|\\.)*+'|"(?:[^"\\\n]|\\.)*+\""""
+    found = F.regexp_extract_all("text", F.lit(rf"(?s)(?:{other}|{call})"), F.lit(1))
+    rows = fragments.where(F.col("text").contains(f"{identifier}(")).select("cand_id", F.posexplode(F.filter(found, lambda x: x != "")).alias("pos", "quoted"))
     return rows.select("cand_id", F.expr("substring(quoted, 2, length(quoted) - 2)").alias("key"), "pos")
 
 
@@ -89,7 +100,7 @@ def expression_class(c: Column) -> Column:
     literal = r"""^(?:'[^'\n]*'|"[^"\n]*")\z"""
     return (
         F.when(e.isNull(), None)
-        .when(e.rlike(r"""(?:'[^'\n]*'|"[^"\n]*"|`[^`]*`)\s*\+|\+\s*(?:'|"|`)"""), "concat")
+        .when(is_concatenation(e), "concat")
         .when(e.rlike(literal), "literal")
         .when(e.rlike(r"^`[^`]*`\z"), "template")
         .when(e.rlike(r"\?[^:]+:"), "conditional")
@@ -102,10 +113,15 @@ def expressions(fragments: DataFrame) -> DataFrame:
     return fragments.where("text is not null").select("cand_id", expression_class(F.col("text")).alias("class"))
 
 
+def templates(fragments: DataFrame) -> DataFrame:
+    """cand_id, template, body of all template literals of fragments any of whose templates has a hole."""
+    bodies = F.regexp_extract_all("text", F.lit(r"`([^`]*)`"), F.lit(1))
+    return fragments.where("text is not null").select("cand_id", bodies.alias("bodies")).where(F.exists("bodies", lambda b: b.rlike(r"\$\{"))).select("cand_id", F.posexplode("bodies").alias("template", "body"))
+
+
 def template_parts(fragments: DataFrame) -> DataFrame:
     """cand_id, template, pos, is_param, part: static and `${}` parts of all template literals of fragments with holes, in order."""
-    bodies = F.regexp_extract_all("text", F.lit(r"`([^`]*)`"), F.lit(1))
-    rows = fragments.where("text is not null").select("cand_id", bodies.alias("bodies")).where(F.exists("bodies", lambda b: b.rlike(r"\$\{"))).select("cand_id", F.posexplode("bodies").alias("template", "body"))
+    rows = templates(fragments)
     static = F.split("body", r"\$\{[^{}]*\}", -1)
     params = F.regexp_extract_all("body", F.lit(r"\$\{([^{}]*)\}"), F.lit(1))
     both = F.flatten(F.transform(static, lambda s, i: F.filter(F.array(F.struct((i * 2).alias("pos"), F.lit(False).alias("is_param"), s.alias("part")), F.struct((i * 2 + 1).alias("pos"), F.lit(True).alias("is_param"), F.coalesce(F.get(params, i), F.lit("")).alias("part"))), lambda p: ~p["is_param"] | (i < F.size(params)))))
@@ -115,8 +131,50 @@ def template_parts(fragments: DataFrame) -> DataFrame:
 def parameter_name(c: Column, index: Column | int = 0) -> Column:
     """An identifier itself, the last property of a path, the method of a call, else `argN`."""
     e = trim_all(c)
-    last = F.regexp_extract(e, r"([A-Za-z_$][\w$]*)(?:\(\s*\))?\z", 1)
-    return F.when(e.rlike(r"^[A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*(?:\(\s*\))?\z"), last).otherwise(F.concat(F.lit("arg"), F.lit(index).cast("string")))
+    prop, method = (F.regexp_extract(e, p, 1) for p in (r"\.([A-Za-z_$][\w$]*)\z", r"\.([A-Za-z_$][\w$]*)\s*\("))
+    number = index if isinstance(index, Column) else F.lit(index)
+    return F.when(e.rlike(r"^[A-Za-z_$][\w$]*\z"), e).when(prop != "", prop).when(method != "", method).otherwise(F.concat(F.lit("arg"), number.cast("string")))
+
+
+def operands(expression: Column) -> Column:
+    """The operands of `+` outside of quotes, trimmed; blank ones are left out. An open quote reaches to the end."""
+    parts = F.regexp_extract_all(expression, F.lit(OPERAND), F.lit(0))
+    return F.filter(F.transform(parts, trim_all), lambda p: p != "")
+
+
+def is_concatenation(expression: Column) -> Column:
+    """Whether a `+` stands outside of quotes."""
+    return F.regexp_replace(expression, QUOTED_PART, "").contains("+")
+
+
+def _static_text(part: Column) -> Column:
+    """The text of an operand that is a literal or a template without holes; null for any other."""
+    for_quotes = F.regexp_extract(part, r"""^(?:'(.+)'|"(.+)"|`([^`]*)`)\z""", 0)
+    return F.when((for_quotes != "") & ~(part.startswith("`") & part.contains("${")), part.substr(F.lit(2), F.length(part) - 2))
+
+
+def concatenations(fragments: DataFrame, style: str = "i18next") -> DataFrame:
+    """cand_id, line_no, n_parts, n_dynamic, n_transitions, shape, class, merged of every line with a `+` outside of quotes.
+
+    `shape` tells how literal and other operands alternate: static-prefix, dynamic-prefix, sandwich or interleaved. In
+    `merged` the others are placeholders named after them; brackets that open right before one are dropped. Lines of other
+    operands only are pure-dynamic and have no merged text.
+    """
+    lines = fragments.where("text is not null").select("cand_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = lines.where(F.col("line").contains("+")).where(is_concatenation(F.col("line"))).select("cand_id", "line_no", operands(F.col("line")).alias("parts"))
+    told = split.withColumn("texts", F.transform("parts", _static_text))
+    static = lambda i: F.get("texts", i).isNotNull()
+    number = lambda i: F.size(F.filter(F.slice("texts", F.lit(1), i), lambda x: x.isNull()))
+    quoted_next = lambda i: F.get("parts", i + 1).rlike("^['\"`]")
+    opener = lambda x, i: F.when((i + 1 < F.size("parts")) & ~F.coalesce(quoted_next(i), F.lit(True)), F.regexp_replace(x, r"[(\[{<]+\z", "")).otherwise(x)
+    piece = lambda p, i: F.when(static(i), opener(F.get("texts", i), i)).otherwise(format_placeholder(parameter_name(p, number(i)), style))
+    changes = F.size(F.filter(F.transform("parts", lambda p, i: (i > 0) & (static(i) != static(i - 1))), lambda x: x))
+    dynamic = F.size(F.filter("texts", lambda x: x.isNull()))
+    counted = told.select("cand_id", "line_no", F.size("parts").alias("n_parts"), dynamic.alias("n_dynamic"), changes.alias("n_transitions"), static(F.lit(0)).alias("first"), static(F.size("parts") - 1).alias("last"), F.array_join(F.transform("parts", piece), "").alias("merged"))
+    counted = counted.where("n_parts > 0")
+    shape = F.when((F.col("n_transitions") <= 1) & F.col("first"), "static-prefix").when(F.col("n_transitions") <= 1, "dynamic-prefix").when((F.col("n_transitions") == 2) & F.col("first") & F.col("last"), "sandwich").otherwise("interleaved")
+    kind = F.when(F.col("n_dynamic") == F.col("n_parts"), "pure-dynamic").when(F.col("n_dynamic") > 0, "mixed").otherwise("static")
+    return counted.select("cand_id", "line_no", "n_parts", "n_dynamic", "n_transitions", shape.alias("shape"), kind.alias("class"), F.when(kind != "pure-dynamic", F.col("merged")).alias("merged"))
 
 
 def template_syntax_issues(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

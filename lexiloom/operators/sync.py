@@ -107,7 +107,11 @@ def recovered_values(refs: DataFrame, catalog: DataFrame, source: str = "en") ->
 
 
 def expanded_keys(patterns: DataFrame) -> DataFrame:
-    """pattern, key: every `*` replaced by each value; a pattern without `*` is itself. Patterns: pattern, values (array)."""
+    """pattern, key: every `*` replaced by each value; a pattern without `*` is itself. Patterns: pattern, values (array).
+
+    A pattern without any value gives nothing, whether it has a `*` or not.
+    """
+    patterns = patterns.where(F.size("values") > 0)
     whole = patterns.where(~F.col("pattern").contains("*")).select("pattern", F.col("pattern").alias("key"))
     wild = patterns.where(F.col("pattern").contains("*")).select("pattern", F.explode("values").alias("v")).select("pattern", F.replace("pattern", F.lit("*"), F.col("v")).alias("key"))
     return whole.unionByName(wild).distinct()

@@ -8,6 +8,7 @@ from lexiloom.functions.whitespace import SPACE
 from lexiloom.operators.quality import ABBREVIATIONS
 from lexiloom.operators.rejects import SPREADSHEET_ERRORS
 from lexiloom.operators.sync import EMPTY_MARKERS
+from lexiloom.plans import oracles_source
 
 
 def q(x: str) -> str:
@@ -88,7 +89,7 @@ def meaningful(x: str) -> str:
     return f"({x} IS NOT NULL AND ({empty_reason(x)}) IS NULL)"
 
 
-def skip_reason() -> str:
+def skip_reason(rows: str = "(SELECT cand_id, text, NULL::VARCHAR attribute FROM scan_candidates)") -> str:
     t = trim("text")
     n = "len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> ''))"
     signals = " + ".join(f"regexp_matches(t, {q(p)})::int" for p in texts.UTILITY_SIGNALS)
@@ -102,9 +103,11 @@ def skip_reason() -> str:
     return f"""SELECT cand_id, text, t, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(text) = 1 THEN 'single-character'
       {rules(texts.FILTER_RULES_BEFORE_CLASSES)} WHEN {listed} THEN 'non_sentence' {rules(texts.FILTER_RULES_AFTER_CLASSES)}
       WHEN length(t) > 1 AND t = repeat(left(t, 1), length(t)) AND regexp_matches(left(t, 1), '[^\\pL\\d\\s]') THEN 'repeated-symbols'
-      WHEN lower(t) IN {any_of(texts.CSS_VALUES)} THEN 'css-value-keyword' {rules(texts.FILTER_RULES_LAST)}
-      WHEN {single} THEN 'single-token-tailwind' WHEN NOT regexp_matches(t, '\\pL') THEN 'no-letters' END reason, {listed} is_list
-      FROM (SELECT cand_id, text, {t} t FROM scan_candidates)"""
+      WHEN lower(attribute) = 'type' AND lower(t) IN {any_of(texts.HTML_TYPES)} THEN 'html-type-keyword' WHEN lower(t) IN {any_of(texts.CSS_VALUES)} THEN 'css-value-keyword' {rules(texts.FILTER_RULES_LAST)}
+      WHEN {single} THEN 'single-token-tailwind' WHEN NOT regexp_matches(t, '\\pL') THEN 'no-letters'
+      WHEN lower(attribute) IN {any_of(texts.OPAQUE_ATTRIBUTES)} OR attribute IS NOT NULL AND {matches('t', texts.CSS_KEYWORD)} OR lower(attribute) IN ('type', 'inputmode') AND {matches('t', texts.INPUT_TYPE)}
+        OR lower(attribute) IN ('icon', 'iconname', 'icon-name') AND {matches('t', texts.ICON)} OR lower(attribute) IN ('href', 'to', 'action', 'src') AND {matches('t', texts.RELATIVE_PATH)} THEN 'non_sentence' END reason, {listed} is_list, attribute
+      FROM (SELECT cand_id, text, {t} t, attribute FROM {rows})"""
 
 
 def missing(source: str = "refs", extra: str = "") -> str:
@@ -121,7 +124,8 @@ ISSUES = f"""iss AS (SELECT key, locale, list_sort(list_filter(list_distinct({to
   list_sort(list_filter(list_distinct({tokens('tv')}), lambda x: NOT list_contains({tokens('sv')}, x))) extra FROM pairs)"""
 SCOPED = "scoped AS (SELECT * FROM refs WHERE file_path LIKE '%.vue'), "
 GAPS = "gaps AS (SELECT l.locale, k.key FROM (SELECT DISTINCT locale FROM cat) l, (SELECT DISTINCT key FROM cat) k WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.locale = l.locale AND c.key = k.key))"
-PATTERN_ROWS = "pats AS (SELECT 'settings.*.label' pattern, unnest(['upload', 'share', 'retry']) v UNION ALL SELECT 'auth.*', unnest(['title', 'error.note']) UNION ALL SELECT 'common.save', ''), ex AS (SELECT DISTINCT pattern, replace(pattern, '*', v) key FROM pats)"
+PATTERN_ROWS = """ex AS (SELECT DISTINCT pattern, replace(pattern, '*', v) key FROM (SELECT pattern, unnest(vs) v FROM (VALUES ('settings.*.label', ['upload', 'share', 'retry']),
+  ('auth.*', ['title', 'error.note']), ('common.save', []::VARCHAR[]), ('common.cancel', ['now', 'later'])) p(pattern, vs)))"""
 EDITS = "ed AS (SELECT l_orderkey file, (l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey)::BIGINT id, (l_linenumber * 10)::BIGINT s, (l_linenumber * 10 + max(l_quantity))::BIGINT e, max(l_returnflag) r FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 LENT = f"""lent AS (SELECT key, locale, lender reused_from, lent reused FROM (SELECT r.key, r.locale, c.locale lender, c.value lent,
   row_number() OVER (PARTITION BY r.key, r.locale ORDER BY (c.locale = split_part(c.locale, '-', 1))::int, c.locale) rn
@@ -132,7 +136,7 @@ PLAN = f"""plan AS (SELECT s.key, l.locale, s.value source_value, t.value existi
   LEFT JOIN lent ON lent.key = s.key AND lent.locale = l.locale WHERE NOT {blank('s.value')} AND NOT {meaningful('t.value')})"""
 ACTIONS = f"""act AS (SELECT u.key, u.locale, CASE WHEN {blank('u.new')} THEN 'skip-empty' WHEN c.value = u.new THEN 'unchanged' WHEN {meaningful('c.value')} THEN 'skip-existing' ELSE 'write' END action
   FROM (SELECT key, target_locale locale, max(translated_value) new FROM csv_rows WHERE key IS NOT NULL AND target_locale IS NOT NULL GROUP BY ALL) u LEFT JOIN cat c ON c.key = u.key AND c.locale = u.locale)"""
-FRAGMENTS = "fr AS (SELECT cand_id, text FROM scan_candidates WHERE kind IN ('jsx-expression', 'call-expression') AND text IS NOT NULL)"
+FRAGMENTS = "fr AS (SELECT cand_id, text FROM scan_candidates WHERE text IS NOT NULL)"
 DUPLICATES = f"dup AS (SELECT locale, lower({trim('value')}) folded, count(*) n_keys, arg_min(value, ord) AS v, min(key) first_key FROM cat WHERE length(value) >= 3 GROUP BY ALL HAVING count(*) > 1)"
 ITEMS = f"""{missing()}, {UNUSED}, {PAIRS}, {ISSUES}, items AS (
   SELECT 'missing-key' kind, CASE WHEN fallback IS NOT NULL THEN 'warn' ELSE 'error' END severity, key, NULL::VARCHAR locale FROM mk
@@ -142,6 +146,28 @@ ITEMS = f"""{missing()}, {UNUSED}, {PAIRS}, {ISSUES}, items AS (
   UNION ALL SELECT DISTINCT 'suspicious-key', 'warn', key, NULL FROM refs WHERE ({suspicion('key')}) IS NOT NULL)"""
 
 
+# The catalog after adding what is missing, dropping what is unused, and seeding the other locales.
+VALUE_OF = "coalesce(fallback, recovered, nullif(made, ''), key)"
+
+
+def applied(value_words: str) -> str:
+    made = f"array_to_string(list_filter(ws, lambda w, i: i = 1 OR lower(ws[i - 1]) <> lower(w)), ' ')"
+    return f"""{missing()}, {UNUSED}, rec AS (SELECT key, recovered FROM (SELECT m.key, u.value recovered, row_number() OVER (PARTITION BY m.key ORDER BY length(u.key) DESC, u.key DESC) rn
+      FROM mk m JOIN un u ON u.locale = 'en' AND u.value <> '' AND u.key <> m.key AND contains('.' || m.key || '.', '.' || u.key || '.')) WHERE rn = 1),
+      wd AS (SELECT key, list_transform({value_words}, lambda w: CASE WHEN len(w) > 1 AND w = upper(w) THEN w ELSE upper(w[1]) || lower(w[2:]) END) ws FROM mk),
+      new AS (SELECT 'en' locale, mk.key, {VALUE_OF} AS value FROM mk LEFT JOIN rec USING (key) JOIN (SELECT key, {made} made FROM wd) USING (key)),
+      merged AS (SELECT locale, key, value FROM cat c WHERE NOT EXISTS (SELECT 1 FROM un u WHERE u.locale = c.locale AND u.key = c.key AND NOT u.untranslated) AND (locale, key) NOT IN (SELECT (locale, key) FROM new)
+        UNION ALL SELECT * FROM new),
+      done AS (SELECT * FROM merged UNION ALL SELECT l.locale, m.key, '' FROM (SELECT DISTINCT locale FROM merged WHERE locale <> 'en') l, (SELECT key FROM merged WHERE locale = 'en') m
+        WHERE NOT EXISTS (SELECT 1 FROM merged x WHERE x.locale = l.locale AND x.key = m.key))"""
+
+
+def mapping() -> str:
+    fix = f"CASE reason WHEN 'single-word-no-namespace' THEN 'common.' || lower(key) WHEN 'trailing-punctuation' THEN regexp_replace(key, '[:?!]+$', '') ELSE {normalized('key', '-')} END"
+    return f"""{CATALOG}, named AS (SELECT DISTINCT key, {suspicion('key')} reason FROM refs WHERE key IS NOT NULL),
+      mp AS (SELECT key from_key, {fix} to_key FROM named WHERE reason IS NOT NULL UNION SELECT key, replace(key, '_', '-') FROM cat WHERE contains(key, '_'))"""
+
+
 def generated(style: str) -> str:
     safe = collapse(rf"regexp_replace(regexp_replace({trim('text')}, '[(\[{{<]+\s*$', ''), '^\s*[)\]}}>]+', '')")
     low = f"lower({safe})"
@@ -162,7 +188,7 @@ def slug(x: str) -> str:
 DIGEST = f"substring(sha1({collapse('text')} || '|' || kind || '|' || coalesce(context, '') || '|'), 1, 6)"
 
 
-def p3() -> str:
+def p3(out: str = "SELECT line_id, reason FROM r WHERE reason IS NOT NULL") -> str:
     bad_text = "[\\x{FFFD}\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}-\\x{9F}]"
     field = lambda n: f"""(CASE WHEN list_position(names, '{n}') > 0 THEN list_extract(fields, list_position(names, '{n}')) END)"""
     split = r"""regexp_extract_all(d || rec, '(?s)' || d || '("(?:[^"]|"")*"|[^"' || d || ']*)', 1)"""
@@ -171,12 +197,12 @@ def p3() -> str:
     return f"""WITH h AS (SELECT file_name, regexp_replace(rtrim_cr, '^\\x{{FEFF}}', '') raw FROM (SELECT file_name, regexp_replace(arg_min(raw, line_id), '\\r$', '') rtrim_cr FROM csv_lines WHERE line_no = 1 AND raw IS NOT NULL GROUP BY file_name)),
       hd AS (SELECT file_name, raw, CASE WHEN contains(raw, chr(9)) THEN chr(9) WHEN contains(raw, ';') THEN ';' ELSE ',' END d FROM h),
       hn AS (SELECT file_name, d, list_transform(string_split(raw, d), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) names FROM hd),
-      b AS (SELECT line_id, regexp_replace(raw, '\\r$', '') rec, d, names FROM csv_lines JOIN hn USING (file_name) WHERE line_no <> 1 AND NOT {blank('raw')}),
-      f AS (SELECT line_id, names, {whole} ok, {unquote.format(split)} fields FROM b),
-      v AS (SELECT line_id, ok, len(fields) = len(names) counted, {trim(field('key'))} k, lower(replace({trim(field('targetlocale'))}, '_', '-')) loc, {field('translatedvalue')} tv FROM f),
-      r AS (SELECT line_id, CASE WHEN NOT ok THEN 'quoting' WHEN NOT counted THEN 'column_count' WHEN NOT regexp_full_match(k, '[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*') OR loc NOT IN (SELECT lower(locale) FROM locales)
+      b AS (SELECT line_id, file_name, line_no, regexp_replace(raw, '\\r$', '') rec, d, names FROM csv_lines JOIN hn USING (file_name) WHERE line_no <> 1 AND NOT {blank('raw')}),
+      f AS (SELECT line_id, file_name, line_no, names, {whole} ok, {unquote.format(split)} fields FROM b),
+      v AS (SELECT line_id, file_name, line_no, {field('sourcevalue')} sv, ok, len(fields) = len(names) counted, {trim(field('key'))} k, lower(replace({trim(field('targetlocale'))}, '_', '-')) loc, {field('translatedvalue')} tv FROM f),
+      r AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN NOT counted THEN 'column_count' WHEN NOT regexp_full_match(k, '[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*') OR loc NOT IN (SELECT lower(locale) FROM locales)
         OR regexp_matches(tv, '{bad_text}') OR {trim('tv')} IN {any_of(SPREADSHEET_ERRORS)} THEN 'invalid_value' END reason FROM v)
-      SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+      {out}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -196,9 +222,9 @@ def oracle_sql() -> dict[str, str]:
     scope = f"list_filter(list_transform(string_split(regexp_replace(file_path, '\\.[^/.]+$', ''), '/'), lambda s: {slug('s')}), lambda s, i: s <> '' AND s <> 'index' AND NOT (i = 1 AND s = 'src'))"
     four = f"array_to_string(list_slice(list_filter(string_split({slug(collapse('text'))}, '-'), lambda w: w <> ''), 1, 4), '-')"
     fixed = ".replace"
-    expr = trim("text")
-    return {
+    return oracles_source.oracle_sql() | {
         "p3_found": p3(),
+        "p3_loaded": p3("SELECT line_id, file_name, line_no, k AS key, sv AS source_value, (SELECT min(locale) FROM locales WHERE lower(replace(locale, '_', '-')) = loc) target_locale, tv AS translated_value FROM r WHERE reason IS NULL"),
         "suspicious_keys": f"SELECT * FROM ({by_key(suspicion('key') + ' reason')}) WHERE reason IS NOT NULL",
         "key_format": by_key("regexp_matches(key, '^[a-zA-Z0-9._-]+$') valid"),
         "convention_check": by_key(f"{conv(keys.CONVENTIONS['kebab-case'])} kebab, {conv(keys.CONVENTIONS['snake_case'])} snake, {conv(keys.CONVENTIONS['camelCase'])} camel"),
@@ -210,22 +236,18 @@ def oracle_sql() -> dict[str, str]:
         "generate_key_snake": generated("snake"),
         "generate_key_kebab": generated("kebab"),
         "generate_key_camel": generated("camel"),
-        "text_hash": """SELECT cand_id, lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS hash FROM (SELECT cand_id,
-          list_reduce(list_concat([0::BIGINT], list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END::BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) h
-          FROM scan_candidates WHERE text IS NOT NULL)""",
         "key_digest": f"SELECT cand_id, {DIGEST} digest FROM scan_candidates WHERE text IS NOT NULL",
         "key_full": f"""SELECT cand_id, concat_ws('.', 'app', nullif(array_to_string(list_slice({scope}, -4, -1), '.'), ''), nullif({slug('context')}, ''), nullif({four}, ''), {DIGEST}) made FROM scan_candidates WHERE text IS NOT NULL""",
         "naming_votes": f"WITH {CATALOG} SELECT locale, " + ", ".join(f"count(*) FILTER (WHERE {naming} = '{f}') n_{f}" for f in ("kebab", "camel", "snake", "neutral")) + " FROM cat GROUP BY locale",
         "text_filter": f"SELECT cand_id, reason FROM ({skip_reason()})",
+        "text_filter_attributes": f"WITH {oracles_source.ATTRIBUTES} SELECT cand_id, attribute, text AS value, reason FROM ({skip_reason('(SELECT cand_id, v AS text, attribute FROM a)')})",
         "css_class_list": f"SELECT cand_id, is_list FROM (SELECT cand_id, is_list FROM ({skip_reason().replace(trim('text') + ' t', 'text t')}) WHERE text IS NOT NULL)",
-        "sql_prefix": f"""SELECT cand_id, prefix FROM (SELECT cand_id, text, CASE WHEN w <> '' AND (w = upper(w) OR regexp_matches(text, '[=*''"]')) THEN regexp_replace(left(text, strpos(text, w) - 1), '\\s+$', '') ELSE text END prefix
-          FROM (SELECT cand_id, text, regexp_extract(text, {q('(?i)' + texts.SQL_WORDS)}, 1) w FROM scan_candidates WHERE text IS NOT NULL)) WHERE prefix <> text""",
         "pattern_detect": f"SELECT * FROM (SELECT cand_id, {case(0)} pattern, {case(1)} category, {case(2)} confidence FROM scan_candidates WHERE text IS NOT NULL) WHERE pattern IS NOT NULL",
         "pattern_detect_all": f"SELECT * FROM (SELECT cand_id, {all_patterns} patterns FROM scan_candidates WHERE text IS NOT NULL) WHERE patterns <> ''",
         "confidence_bucket": f"""SELECT cand_id, CASE WHEN skip_reason IS NOT NULL THEN 'skip' WHEN coalesce(forced, false) THEN 'review' WHEN r < 0.5 THEN 'skip' WHEN r >= 0.8 THEN 'high' ELSE 'review' END bucket,
           CASE WHEN skip_reason IS NOT NULL THEN 0.0 WHEN coalesce(forced, false) THEN 0.5 ELSE r END::DOUBLE score FROM (SELECT *, {rated} r FROM scan_candidates WHERE text IS NOT NULL)""",
         "skip_reason_topk": f"SELECT reason, count(*) n FROM ({skip_reason()}) WHERE reason IS NOT NULL GROUP BY reason ORDER BY n DESC, reason LIMIT 5",
-        "pseudo_localize": f"WITH {CATALOG} SELECT key, '[xx] ' || translate(value, {q(texts.ACCENTS[0])}, {q(texts.ACCENTS[1])}) pseudo FROM cat WHERE locale = 'en'",
+        "pseudo_localize": f"WITH {CATALOG} SELECT locale, key, '[' || locale || '] ' || translate(value, {q(texts.ACCENTS[0])}, {q(texts.ACCENTS[1])}) pseudo FROM cat",
         "extract_placeholders": f"WITH {CATALOG} SELECT locale, key, array_to_string({ordered_distinct(tokens('value'))}, ',') tokens FROM cat",
         "placeholder_issues": f"WITH {CATALOG}, {SRC}, {PAIRS}, {ISSUES} SELECT key, locale, array_to_string(gone, ',') missing, array_to_string(extra, ',') extra FROM iss WHERE len(gone) > 0 OR len(extra) > 0",
         "csv_placeholder_checks": f"SELECT row_id, array_to_string(gone, ',') missing FROM (SELECT row_id, list_sort(list_filter(list_distinct({tokens('source_value')}), lambda x: NOT list_contains({tokens('translated_value')}, x))) gone FROM csv_rows WHERE source_value IS NOT NULL AND translated_value IS NOT NULL) WHERE len(gone) > 0",
@@ -260,17 +282,32 @@ def oracle_sql() -> dict[str, str]:
         "locale_audit": f"""WITH {CATALOG}, {GAPS}, {DUPLICATES} SELECT c.locale, count(*) n_keys, count(*) FILTER (WHERE {blank('c.value')}) n_blank, (SELECT count(*) FROM dup WHERE dup.locale = c.locale) n_duplicate_groups, (SELECT count(*) FROM gaps WHERE gaps.locale = c.locale) n_missing FROM cat c GROUP BY c.locale""",
         "key_equals_value": f"""WITH {CATALOG} SELECT locale, key, CASE WHEN same AND (reason IS NULL OR reason = 'single-word-no-namespace') THEN 'key-equals-value' ELSE reason END reason FROM (SELECT *, {suspicion('key')} reason,
           NOT contains(key, '.') AND (key = value OR trim(regexp_replace(lower(key), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))) same FROM cat) WHERE reason IS NOT NULL OR same""",
+        "audit_key_value": f"""WITH {CATALOG}, {RBK} SELECT c.key, c.value AS value, coalesce(first_file, 'catalog') file_path, coalesce(first_line, 0) line FROM cat c LEFT JOIN rbk USING (key) WHERE c.locale = 'en' AND NOT contains(c.key, '.')
+          AND (c.key = value OR trim(regexp_replace(lower(c.key), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))) AND coalesce({suspicion('c.key')}, 'single-word-no-namespace') = 'single-word-no-namespace'""",
+        "applied_catalog": f"WITH {applied(value_words)} SELECT locale, key, value FROM done",
+        "locale_preview": f"""WITH {applied(value_words)} SELECT locale, count(*) FILTER (WHERE o IS NULL) added, count(*) FILTER (WHERE n IS NULL) removed FROM (SELECT coalesce(c.locale, d.locale) locale, c.key o, d.key n FROM cat c FULL JOIN done d ON c.locale = d.locale AND c.key = d.key)
+          WHERE o IS NULL OR n IS NULL GROUP BY locale""",
+        "rename_preview": f"""WITH {mapping()} SELECT from_key, to_key, l.locale, f.key IS NULL missing, f.key IS NOT NULL AND t.key IS NOT NULL AS duplicate FROM mp CROSS JOIN (SELECT DISTINCT locale FROM cat) l
+          LEFT JOIN cat f ON f.locale = l.locale AND f.key = from_key LEFT JOIN cat t ON t.locale = l.locale AND t.key = to_key WHERE f.key IS NOT NULL OR t.key IS NOT NULL""",
+        "renamed_catalog": f"""WITH {mapping()} SELECT locale, CASE WHEN outcome = 'renamed' THEN to_key ELSE key END AS key, value, outcome FROM (SELECT c.locale, c.key, c.value, to_key,
+          CASE WHEN to_key IS NULL OR to_key = c.key THEN 'unchanged' WHEN (c.locale, to_key) IN (SELECT (locale, key) FROM cat) THEN 'duplicate' ELSE 'renamed' END outcome FROM cat c LEFT JOIN mp ON from_key = c.key)""",
+        "naming_convention": f"""WITH RECURSIVE {CATALOG}, f AS (SELECT locale, naming, row_number() OVER (PARTITION BY locale ORDER BY key) n FROM (SELECT locale, key, {naming} naming FROM cat) WHERE naming <> 'none'),
+          w AS (SELECT locale, 0::BIGINT n, 0 k, 0 c, 0 s FROM (SELECT DISTINCT locale FROM f) UNION ALL
+            SELECT locale, n, k + (v = 'kebab')::INT, c + (v = 'camel')::INT, s + (v = 'snake')::INT FROM (SELECT w.locale, f.n, k, c, s,
+              CASE WHEN naming <> 'neutral' THEN naming WHEN k >= c AND k >= s THEN 'kebab' WHEN c >= s THEN 'camel' ELSE 'snake' END v FROM w JOIN f ON f.locale = w.locale AND f.n = w.n + 1))
+          SELECT locale, CASE WHEN k >= c AND k >= s THEN 'kebab-case' WHEN c >= s THEN 'camelCase' ELSE 'snake_case' END AS "convention" FROM (SELECT *, row_number() OVER (PARTITION BY locale ORDER BY n DESC) r FROM w) WHERE r = 1""",
+        "incremental_refs": """WITH a AS (SELECT file_path, count(*) n, list_sort(list_distinct(list((key, line, col_no)))) l FROM refs GROUP BY 1) SELECT file_path, CASE WHEN n = len(l) THEN 'reuse' ELSE 'parse' END AS action FROM a""",
+        "plan_chunks": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key, locale, (row_number() OVER (PARTITION BY locale ORDER BY key) - 1) // 25 AS chunk FROM plan",
         "translation_plan": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT * FROM plan",
         "plan_totals": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT locale, count(*) n_tasks, sum(length(source_value))::BIGINT n_chars, count(*) FILTER (WHERE existing IS NULL) n_missing, count(existing) n_existing FROM plan GROUP BY ROLLUP (locale)",
         "reuse_suggestion": f"WITH {CATALOG}, {LENT} SELECT * FROM lent",
-        "plan_chunks": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT locale, ceil(count(*) / 25)::BIGINT n_chunks, count(*) n_tasks FROM plan GROUP BY locale",
         "csv_export": f"""WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key || ',en,' || CASE WHEN regexp_matches(source_value, '[,"\\r\\n]') THEN '"' || replace(source_value, '"', '""') || '"' ELSE source_value END || ',' || locale || ',' record FROM plan""",
         "write_actions": f"WITH {CATALOG}, {ACTIONS} SELECT * FROM act",
         "write_totals": f"WITH {CATALOG}, {ACTIONS} SELECT locale, count(*) attempted, count(*) FILTER (WHERE action = 'write') written, count(*) FILTER (WHERE action = 'skip-empty') empty_skipped, count(*) FILTER (WHERE action IN ('skip-existing', 'unchanged')) skipped FROM act GROUP BY locale",
         "value_matrix": f"""WITH {CATALOG} SELECT key, count(*)::INT n_locales, string_agg(locale || '=' || CASE WHEN length(value) > 50 THEN substring(value, 1, 47) || '...' ELSE value END, ' | ' ORDER BY locale) preview FROM cat GROUP BY key""",
         "legacy_values": f"WITH {CATALOG}, {SRC} SELECT r.ord cand_id, s.value AS value, 'trimmed' matched FROM refs r JOIN src s ON r.key = s.key",
-        "rename_occurrences": f"""WITH {CATALOG}, m AS (SELECT DISTINCT value from_key FROM cat WHERE locale = 'en'), t AS (SELECT text, {collapse('text')} folded FROM scan_candidates WHERE text IS NOT NULL)
-          SELECT from_key, (SELECT count(*) FROM t WHERE text = from_key) n_exact, (SELECT count(*) FROM t WHERE folded = {collapse('from_key')}) - (SELECT count(*) FROM t WHERE text = from_key) n_normalised FROM m""",
+        "rename_occurrences": f"""WITH {CATALOG}, m AS (SELECT DISTINCT value from_key FROM cat), t AS (SELECT text, {collapse('text')} folded FROM scan_candidates WHERE text IS NOT NULL)
+          SELECT from_key, coalesce(e.n, 0) n_exact, coalesce(l.n, 0) - coalesce(e.n, 0) n_normalised FROM m LEFT JOIN (SELECT text, count(*) n FROM t GROUP BY 1) e ON e.text = from_key LEFT JOIN (SELECT folded, count(*) n FROM t GROUP BY 1) l ON l.folded = {collapse('from_key')}""",
         "prefix_collisions": f"""WITH u AS (SELECT locale, key FROM locale_catalog UNION SELECT locale, split_part(key, '.', 1) FROM locale_catalog) SELECT a.locale, a.key, count(*) descendants FROM u a JOIN u b ON a.locale = b.locale AND starts_with(b.key, a.key || '.') GROUP BY ALL""",
         "duplicate_status": "SELECT cand_id, CASE WHEN cand_id = first_id THEN 'pending' ELSE 'duplicate' END status, first_id FROM (SELECT cand_id, min(cand_id) OVER (PARTITION BY text_hash) first_id FROM scan_candidates WHERE text_hash IS NOT NULL)",
         "candidate_dedupe": "SELECT file_path, line, col_no, max(cand_id) cand_id, arg_max(coalesce(text, chr(1)), cand_id) AS text FROM scan_candidates GROUP BY file_path, line, col_no".replace("arg_max(coalesce(text, chr(1)), cand_id) AS text", "nullif(arg_max(coalesce(text, chr(1)), cand_id), chr(1)) AS text"),
@@ -278,20 +315,11 @@ def oracle_sql() -> dict[str, str]:
         "edit_conflicts": f"""WITH {EDITS} SELECT * FROM (SELECT a.file, a.id id_a, b.id id_b, CASE WHEN a.s = b.s AND a.e = b.e THEN 'duplicate' WHEN a.s >= b.s AND a.e <= b.e OR b.s >= a.s AND b.e <= a.e THEN 'containment' WHEN a.s < b.e AND b.s < a.e THEN 'overlap' END kind FROM ed a JOIN ed b ON a.file = b.file AND a.id < b.id) WHERE kind IS NOT NULL""",
         "edit_plan": f"""WITH {EDITS} SELECT file, id, s AS "start", e AS "end", r AS replacement FROM ed a WHERE NOT EXISTS (SELECT 1 FROM ed b WHERE a.file = b.file AND a.id <> b.id AND a.s >= b.s AND a.e <= b.e AND NOT (a.s = b.s AND a.e = b.e))""",
         "rollback_offsets": f"""WITH {EDITS} SELECT file, id, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY file ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT "offset" FROM ed""",
-        "vue_expr_class": f"""WITH {FRAGMENTS} SELECT cand_id, CASE WHEN regexp_matches(e, '(''[^''\\n]*''|"[^"\\n]*"|`[^`]*`)\\s*\\+|\\+\\s*(''|"|`)') THEN 'concat' WHEN regexp_matches(e, '^(''[^''\\n]*''|"[^"\\n]*")$') THEN 'literal'
-          WHEN regexp_matches(e, '^`[^`]*`$') THEN 'template' WHEN regexp_matches(e, '\\?[^:]+:') THEN 'conditional' WHEN regexp_matches(e, '\\|\\||\\?\\?|&&') THEN 'logical' ELSE 'dynamic' END "class" FROM (SELECT cand_id, {expr} e FROM fr)""",
-        "html_fragments": f"""SELECT DISTINCT cand_id, line_no, fragment FROM (SELECT cand_id, line_no, {trim('raw')} fragment FROM (SELECT cand_id, (i - 1)::INT line_no, unnest(list_distinct(regexp_extract_all(ls[i], '>([^<>{{}}]+)<', 1))) raw
-          FROM (SELECT cand_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT cand_id, string_split(text, chr(10)) ls FROM scan_candidates WHERE contains(text, '<'))))) WHERE regexp_matches(fragment, '\\pL')""",
         "html_attributes": """SELECT cand_id, split_part(p, '=', 1) attribute, substring(p, strpos(p, '=') + 2, length(p) - strpos(p, '=') - 2) AS value, lower(split_part(p, '=', 1)) IN ('alt', 'aria-label', 'aria-description', 'caption', 'helper-text', 'label', 'placeholder', 'title', 'tooltip') translatable
           FROM (SELECT cand_id, unnest(list_distinct(regexp_extract_all(text, '\\s([A-Za-z][\\w:-]*="[^"<>]*")', 1))) p FROM scan_candidates WHERE contains(text, '="'))""",
-        "fallback_literals": rf"""WITH {FRAGMENTS} SELECT cand_id, regexp_extract(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''', 1) AS key, regexp_extract(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''', 2) fallback FROM fr
-          WHERE regexp_matches(text, '(?:^|[^\w$.])t\(\s*''([^''\n]*)''\s*,\s*''((?:[^''\\\n]|\\.)*)''')""",
         "template_syntax": "SELECT doc_id, len(regexp_extract_all(text, '\\{\\{'))::INT n_open, len(regexp_extract_all(text, '\\}\\}'))::INT n_close FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\{\\{')) <> len(regexp_extract_all(text, '\\}\\}'))",
         "interpolations": "SELECT cand_id, (i - 1)::INT pos, v[i].name AS name, v[i].expression AS expression, '{{' || v[i].name || '}}' placeholder FROM (SELECT cand_id, interpolation.variables v, unnest(range(1, len(interpolation.variables) + 1)) i FROM scan_candidates WHERE interpolation IS NOT NULL)",
         "html_strings": r"SELECT cand_id, regexp_matches(text, '</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|\bt\(') is_html FROM scan_candidates WHERE text IS NOT NULL",
-        "expression_reasons": rf"""WITH {FRAGMENTS} SELECT * FROM (SELECT cand_id, CASE WHEN regexp_matches(t, '^\{{[\s\S]*"[\w-]+"\s*:[\s\S]*\}}$') THEN 'json' WHEN regexp_matches(t, '^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)\s') THEN 'sql'
-          WHEN regexp_matches(t, '^[YMDHhmsyd]{{1,4}}(?:[-/:. ][YMDHhmsyd]{{1,4}})+$') THEN 'format' WHEN regexp_matches(t, '^\+?[\d\s().-]{{7,}}$') THEN 'phone' WHEN regexp_matches(t, '^/[^/]+/[gimsuy]*$') THEN 'regex' WHEN regexp_matches(t, '^\$?t\(') THEN 'call' END reason
-          FROM (SELECT cand_id, {trim('text')} t FROM fr)) WHERE reason IS NOT NULL""",
         "snippets": rf"""WITH {FRAGMENTS} SELECT cand_id, regexp_replace(regexp_replace(text, '[\s{{}}]+', '', 'g'), '[`"]', '''', 'g') snippet, CASE WHEN length(text) > 50 THEN substring(text, 1, 47) || '...' ELSE text END preview FROM fr""",
         "literal_patterns": by_key(r"""'^' || regexp_replace(key, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') || '$' AS pattern"""),
         "matched_files": r"SELECT DISTINCT file_path FROM scan_candidates WHERE (regexp_matches(file_path, '^src/([^/]+/)*[^/]*\.(tsx|vue)$') OR regexp_matches(file_path, '^([^/]*/)*[^/]*\.ts$')) AND NOT starts_with(file_path, 'src/legacy/')",
@@ -305,8 +333,6 @@ def oracle_sql() -> dict[str, str]:
           SELECT key, proposed, reason, CASE WHEN proposed IN (SELECT key FROM cat) THEN 'existing' WHEN key <> min(key) OVER (PARTITION BY proposed) THEN 'repeated' END AS conflict FROM m""",
         "cache_hit_rate": "SELECT event_type kind, count(*) FILTER (WHERE value > 50) n_hits, count(*) FILTER (WHERE value <= 50) n_misses, count(*) FILTER (WHERE value > 50) / count(value) hit_rate FROM events GROUP BY 1",
         "framework_confidence": "SELECT framework, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'uncertain' END AS level FROM (SELECT event_type || user_id framework, least(round(sum(round(value / 1000, 3)), 6), 1.0) confidence FROM events GROUP BY 1)",
-        "file_fingerprints": "SELECT file_path, count(*)::VARCHAR n_references FROM refs GROUP BY 1",
-        "incremental_refs": "SELECT CASE WHEN n = o THEN 'reuse' ELSE 'parse' END AS action, count(*) n_files FROM (SELECT file_path, count(*) n, count(DISTINCT (key, line, col_no)) o FROM refs GROUP BY 1) GROUP BY 1",
         "debounce_sessions": """SELECT "trigger", min(ts) started, max(ts) + INTERVAL 10 MINUTE ended, count(*) n_events FROM (SELECT *, sum(new) OVER (PARTITION BY "trigger" ORDER BY ts, event_id) s FROM (SELECT event_type "trigger", ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END new FROM events)) GROUP BY "trigger", s""",
         "circuit_breaker": """SELECT stream, count(*) FILTER (WHERE n >= 3) n_openings FROM (SELECT stream, island, count(*) n FROM (SELECT user_id stream, value < 40 failed, sum(CASE WHEN value < 40 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) island FROM events) WHERE failed GROUP BY 1, 2) GROUP BY 1""",
     }

@@ -18,7 +18,7 @@ from lexiloom.streaming import changes
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Configuration of the registered queries.
-DYNAMIC_PATTERNS = (("settings.*.label", ("upload", "share", "retry")), ("auth.*", ("title", "error.note")), ("common.save", ()))
+DYNAMIC_PATTERNS = (("settings.*.label", ("upload", "share", "retry")), ("auth.*", ("title", "error.note")), ("common.save", ()), ("common.cancel", ("now", "later")))
 INCLUDE, EXCLUDE = ("src/**/*.{tsx,vue}", "*.ts"), ("src/legacy/**",)
 GLOBS = ("settings.**", "*.confirm*.*", "auth.ti?le.*")
 
@@ -46,7 +46,8 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fragments(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "scan_candidates", "cand_id", "kind", "text").where(F.col("kind").isin("jsx-expression", "call-expression"))
+    """Every candidate's text, whatever its kind."""
+    return table(s, d, "scan_candidates", "cand_id", "text")
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -129,8 +130,8 @@ def queries() -> dict[str, Query]:
         "pattern_detect_all": _by_text(lambda t: {"patterns": _joined(texts.detected_patterns(t))}, "patterns <> ''"),
         "confidence_bucket": lambda s, d: rollup.buckets(_candidates(s, d)),
         "skip_reason_topk": lambda s, d: rollup.skip_reason_topk(spread(table(s, d, "scan_candidates", "text"))),
-        "html_decode": _by_text(lambda t: {"decoded": texts.decoded(F.concat(F.lit("&lt;b&gt;&#65;&#x1F600;"), t, F.lit("&amp;nbsp;&hellip;")))}),
-        "pseudo_localize": lambda s, d: _catalog(s, d).where("locale = 'en'").select("key", texts.pseudo_localized(F.col("value"), F.lit("xx")).alias("pseudo")),
+        "html_decode": _by_text(lambda t: {"decoded": texts.decoded(t)}),
+        "pseudo_localize": lambda s, d: _catalog(s, d).select("locale", "key", texts.pseudo_localized(F.col("value"), F.col("locale")).alias("pseudo")),
         # Placeholders
         "extract_placeholders": lambda s, d: _catalog(s, d).select("locale", "key", _joined(placeholders.extract(F.col("value"))).alias("tokens")),
         "placeholder_issues": lambda s, d: sync.placeholder_issues(_catalog(s, d)),
@@ -151,7 +152,7 @@ def queries() -> dict[str, Query]:
         "key_gaps": lambda s, d: sync.key_gaps(_catalog(s, d)),
         "seed_targets": lambda s, d: sync.seeded_targets(_catalog(s, d), seed="[TODO]"),
         "scoped_sync": lambda s, d: sync.missing_keys(sync.scoped(_refs(s, d), _refs(s, d).where(expressions.path_matches(F.col("file_path"), ["**/*.vue"]))), _catalog(s, d)),
-        "applied_catalog": lambda s, d: _changed_catalog(s, d).groupBy("locale").agg(F.count("*").alias("n_keys")),
+        "applied_catalog": lambda s, d: _changed_catalog(s, d),
         "locale_diff": lambda s, d: sync.locale_diff(_catalog(s, d), translate.written(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
         "locale_preview": lambda s, d: sync.locale_preview(_catalog(s, d), _changed_catalog(s, d)),
         "actionable_items": lambda s, d: rollup.actionable_items(_refs(s, d), _catalog(s, d)),
@@ -179,8 +180,8 @@ def queries() -> dict[str, Query]:
         # Renames and candidates
         "rename_proposals": lambda s, d: rename.proposals(_refs(s, d).unionByName(_refs(s, d).withColumn("key", F.concat(F.lit("Save The Report "), F.col("col_no").cast("string")))), _catalog(s, d)),
         "rename_preview": lambda s, d: rename.rename_preview(_mappings(s, d), _catalog(s, d)),
-        "rename_occurrences": lambda s, d: rename.occurrences(_catalog(s, d).where("locale = 'en'").select(F.col("value").alias("from_key")).distinct(), _candidates(s, d)),
-        "renamed_catalog": lambda s, d: rename.renamed(_catalog(s, d), _mappings(s, d)).groupBy("locale", "outcome").agg(F.count("*").alias("n")),
+        "rename_occurrences": lambda s, d: rename.occurrences(_catalog(s, d).select(F.col("value").alias("from_key")).distinct(), _candidates(s, d)),
+        "renamed_catalog": lambda s, d: rename.renamed(_catalog(s, d), _mappings(s, d)),
         "prefix_collisions": lambda s, d: rename.prefix_collisions(catalog(table(s, d, "locale_catalog", "locale", "key", "value", "ord").withColumn("key", F.substring_index("key", ".", 1)).unionByName(table(s, d, "locale_catalog", "locale", "key", "value", "ord")))),
         "duplicate_status": lambda s, d: rename.duplicate_status(_candidates(s, d)),
         "candidate_dedupe": lambda s, d: rename.candidate_dedupe(_candidates(s, d)),
@@ -199,11 +200,13 @@ def queries() -> dict[str, Query]:
         "template_syntax": lambda s, d: extract.template_syntax_issues(table(s, d, "documents", "doc_id", "text")),
         "interpolations": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")),
         "attribute_rules": lambda s, d: extract.html_attributes(_texts(s, d)).select("attribute").distinct().select("attribute", expressions.is_translatable_attribute(F.col("attribute")).alias("translatable")),
+        "text_filter_attributes": lambda s, d: extract.html_attributes(_texts(s, d)).select("cand_id", "attribute", "value", texts.skip_reason(F.col("value"), attribute=F.col("attribute")).alias("reason")),
         "html_strings": _by_text(lambda t: {"is_html": expressions.is_html(t)}),
-        "expression_reasons": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.expression_reason(F.col("text")).alias("reason")).where("reason is not null"),
+        "expression_reasons": lambda s, d: _texts(s, d).select("cand_id", expressions.expression_reason(F.col("text")).alias("reason"), expressions.template_reason(F.col("text")).alias("template_reason")).where("reason is not null or template_reason is not null"),
+        "concat_split": lambda s, d: extract.concatenations(spread(_fragments(s, d))),
         "snippets": lambda s, d: _fragments(s, d).where("text is not null").select("cand_id", expressions.snippet(F.col("text")).alias("snippet"), expressions.preview(F.col("text")).alias("preview")),
         "literal_patterns": _by_key(lambda k: {"pattern": expressions.literal_pattern(k)}),
-        "assumed_patterns": lambda s, d: extract.template_parts(_fragments(s, d)).where("is_param").select("cand_id", "template", "pos", expressions.assumption(F.concat(F.lit("`a..${"), F.col("part"), F.lit("}.b` || 'c'"))).alias("pattern")),
+        "assumed_patterns": lambda s, d: extract.templates(_fragments(s, d)).where(F.col("body").contains("${")).select("cand_id", "template", expressions.assumption(F.col("body")).alias("pattern")),
         "matched_files": lambda s, d: project.matched_files(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
         "pattern_matches": lambda s, d: project.pattern_matches(table(s, d, "scan_candidates", "file_path"), list(INCLUDE), list(EXCLUDE)),
         "translation_usage": lambda s, d: project.translation_usage(table(s, d, "scan_candidates", "file_path", "text")),
@@ -212,8 +215,8 @@ def queries() -> dict[str, Query]:
         # Rollups of events, incremental work
         "cache_hit_rate": lambda s, d: rollup.hit_rates(_events(s, d).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("hit"))),
         "framework_confidence": lambda s, d: rollup.framework_confidence(_events(s, d).select(F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("framework"), F.round(F.col("value") / 1000, 3).alias("weight"))),
-        "file_fingerprints": lambda s, d: changes.file_fingerprints(_refs(s, d)).select("file_path", F.split_part("fingerprint", F.lit(":"), F.lit(1)).alias("n_references")),
-        "incremental_refs": lambda s, d: changes.incremental(changes.file_fingerprints(_refs(s, d)), changes.file_fingerprints(_refs(s, d).select("file_path", "key", "line", "col_no").distinct())).groupBy("action").agg(F.count("*").alias("n_files")),
+        "file_fingerprints": lambda s, d: changes.file_fingerprints(_refs(s, d)),
+        "incremental_refs": lambda s, d: changes.incremental(changes.file_fingerprints(_refs(s, d)), changes.file_fingerprints(_refs(s, d).select("file_path", "key", "line", "col_no").distinct())).select("file_path", "action"),
         "debounce_sessions": lambda s, d: changes.debounced(_events(s, d).select(F.col("event_type").alias("trigger"), "ts")),
         "circuit_breaker": lambda s, d: changes.breaker(_events(s, d).select(F.col("user_id").alias("stream"), "ts", F.col("event_id").alias("ord"), (F.col("value") < 40).alias("failed"))),
     }
