@@ -85,10 +85,34 @@ def html_fragments(documents: DataFrame, text_col: str = "text", id_col: str = "
     return kept.where(F.regexp_replace("fragment", r"\{[^{}]*\}", "").rlike(r"\p{L}")).distinct()
 
 
+def expression_literals(expression: Column) -> Column:
+    """The texts in an expression: a template without its holes, else the quoted literals, trimmed and without blank ones."""
+    template = trim_all(F.regexp_replace(F.replace(expression, F.lit("`"), F.lit("")), r"\$\{[^}]*\}", ""))
+    quoted = F.transform(F.regexp_extract_all(expression, F.lit(r"""('[^"']*'|"[^"']*")"""), F.lit(1)), lambda x: trim_all(x.substr(F.lit(2), F.length(x) - 2)))
+    return F.filter(F.when(expression.contains("`"), F.array(template)).otherwise(quoted), lambda x: x != "")
+
+
+def bound_attributes(documents: DataFrame, text_col: str = "text", id_col: str = "cand_id") -> DataFrame:
+    """id, attribute, expression, literal of attributes whose value is an expression (`:title="…"`, `v-bind:title="…"`, `title={…}`)."""
+    forms = (r"""\s(?:v-bind)?:([A-Za-z][\w-]*)\s*=\s*"([^"<>]*)\"""", r"""\s([A-Za-z][\w-]*)\s*=\s*\{([^{}<>]*)\}""")
+    found = lambda p: F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, p, 1).alias("attribute"), F.regexp_extract(x, p, 2).alias("expression")))
+    both = F.concat(*[found(p) for p in forms])
+    rows = documents.where(F.col(text_col).contains("=")).select(id_col, F.explode(F.array_distinct(both)).alias("a")).select(id_col, "a.*")
+    return rows.select(id_col, "attribute", "expression", F.explode(F.array_distinct(expression_literals(F.col("expression")))).alias("literal"))
+
+
+def variable_name(c: Column, index: int = 0) -> Column:
+    """An identifier itself, the last property, the singular of an indexed list (or its name and `Item`), else `varN`."""
+    e = trim_all(c)
+    prop, listed = F.regexp_extract(e, r"\.([A-Za-z_$][\w$]*)\z", 1), F.regexp_extract(e, r"^([A-Za-z_$][\w$]*)\[", 1)
+    one = F.when(listed.endswith("s"), listed.substr(F.lit(1), F.length(listed) - 1)).otherwise(F.concat(listed, F.lit("Item")))
+    return F.when(e.rlike(r"^[A-Za-z_$][\w$]*\z"), e).when(prop != "", prop).when(listed != "", one).when(e.isNotNull(), f"var{index + 1}")
+
+
 def html_attributes(documents: DataFrame, text_col: str = "text", id_col: str = "cand_id") -> DataFrame:
-    """id, attribute, value of all quoted attributes inside tags, with whether it's for people."""
-    pairs = F.regexp_extract_all(text_col, F.lit(r"""\s([A-Za-z][\w:-]*="[^"<>]*")"""), F.lit(1))
-    rows = documents.where(F.col(text_col).contains('="')).select(id_col, F.explode(F.array_distinct(pairs)).alias("pair"))
+    """id, attribute, value of all quoted attributes inside tags, with whether it's for people. Either quote may be used."""
+    pairs = F.concat(*[F.regexp_extract_all(text_col, F.lit(p), F.lit(1)) for p in (r"""\s([A-Za-z][\w:-]*="[^"<>]*")""", r"""\s([A-Za-z][\w:-]*='[^'<>]*')""")])
+    rows = documents.where(F.col(text_col).contains("=")).select(id_col, F.explode(F.array_distinct(pairs)).alias("pair"))
     name = F.split_part("pair", F.lit("="), F.lit(1))
     value = F.expr("substring(pair, instr(pair, '=') + 2, length(pair) - instr(pair, '=') - 2)")
     return rows.select(id_col, name.alias("attribute"), value.alias("value"), F.lower(name).isin(*TRANSLATABLE_ATTRIBUTES).alias("translatable"))
@@ -178,9 +202,19 @@ def concatenations(fragments: DataFrame, style: str = "i18next") -> DataFrame:
 
 
 def template_syntax_issues(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_open, n_close of texts whose mustaches don't pair up."""
-    opened, closed = F.regexp_count(text_col, F.lit(r"\{\{")), F.regexp_count(text_col, F.lit(r"\}\}"))
-    return documents.where(F.col(text_col).isNotNull()).select(id_col, opened.alias("n_open"), closed.alias("n_close")).where("n_open <> n_close")
+    """id, n_open, n_close, first_unexpected, n_unclosed of texts whose mustaches don't pair up.
+
+    Read line by line: an end without a beginning is unexpected, after which the balance starts anew; `first_unexpected` is
+    its line (from 1), null without one, and `n_unclosed` the balance after the last line.
+    """
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    held = documents.where(F.col(text_col).contains("{{") | F.col(text_col).contains("}}"))
+    # Only the lines' balances are folded.
+    steps = F.transform(F.split(text_col, "\n"), lambda x: count(x, r"\{\{") - count(x, r"\}\}"))
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("balance"), F.lit(None).cast("int").alias("first"))
+    step = lambda s, d: F.struct((s["line"] + 1).alias("line"), F.greatest(s["balance"] + d, F.lit(0)).alias("balance"), F.when(s["first"].isNull() & (s["balance"] + d < 0), s["line"] + 1).otherwise(s["first"]).alias("first"))
+    rows = held.select(id_col, count(text_col, r"\{\{").alias("n_open"), count(text_col, r"\}\}").alias("n_close"), F.aggregate(steps, start, step).alias("s"))
+    return rows.select(id_col, "n_open", "n_close", F.col("s.first").alias("first_unexpected"), F.col("s.balance").alias("n_unclosed")).where("n_open <> n_close or first_unexpected is not null or n_unclosed > 0")
 
 
 def interpolations(candidates: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import expressions, globs
 
-EXAMPLES = 5
-# Header fields of a cache in the order in which they are compared, with the reason each gives.
-HEADER = (("version", "version-mismatch"), ("identifier", "identifier-changed"), ("config_hash", "config-changed"), ("tool_version", "tool-changed"), ("parser_signature", "parser-changed"))
+# Header fields of a cache in the order in which they are compared, the reason each gives, and whether it must be there.
+HEADER = (("version", "version", True), ("identifier", "translationIdentifier", True), ("config_hash", "config", False), ("tool_version", "toolVersion", False), ("parser_signature", "parserSignature", False), ("parsers", "parserAvailability", False))
 
 
 def matched_files(files: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
@@ -59,10 +58,12 @@ def dependencies(manifests: DataFrame) -> DataFrame:
 def invalidation_reasons(cached: DataFrame, current: dict[str, str]) -> DataFrame:
     """identifier, reasons: why each cached header (one column per field) doesn't match the current one; '' if it does.
 
-    A field that the cached header lacks isn't compared.
+    A version or identifier that the cached header lacks doesn't match; other fields are compared only where both have them.
     """
-    tests = [F.when(F.col(c).isNotNull() & (F.col(c) != F.lit(current[c])), F.lit(r)) for c, r in HEADER]
-    return cached.select("identifier", F.concat_ws(",", *tests).alias("reasons"))
+    other = {c: ~F.col(c).eqNullSafe(F.lit(current[c])) if needed else F.col(c) != F.lit(current[c]) for c, _, needed in HEADER if needed or current.get(c) is not None}
+    tests = [F.when(other[c], F.lit(r)) for c, r, _ in HEADER if c in other and c in cached.columns]
+    keep = [c for c in cached.columns if c not in {h[0] for h in HEADER} or c == "identifier"]
+    return cached.select(*keep, F.concat_ws(",", *tests).alias("reasons"))
 
 
 def source_language(catalog: DataFrame) -> DataFrame:

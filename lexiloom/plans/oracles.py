@@ -315,9 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "edit_conflicts": f"""WITH {EDITS} SELECT * FROM (SELECT a.file, a.id id_a, b.id id_b, CASE WHEN a.s = b.s AND a.e = b.e THEN 'duplicate' WHEN a.s >= b.s AND a.e <= b.e OR b.s >= a.s AND b.e <= a.e THEN 'containment' WHEN a.s < b.e AND b.s < a.e THEN 'overlap' END kind FROM ed a JOIN ed b ON a.file = b.file AND a.id < b.id) WHERE kind IS NOT NULL""",
         "edit_plan": f"""WITH {EDITS} SELECT file, id, s AS "start", e AS "end", r AS replacement FROM ed a WHERE NOT EXISTS (SELECT 1 FROM ed b WHERE a.file = b.file AND a.id <> b.id AND a.s >= b.s AND a.e <= b.e AND NOT (a.s = b.s AND a.e = b.e))""",
         "rollback_offsets": f"""WITH {EDITS} SELECT file, id, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY file ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT "offset" FROM ed""",
-        "html_attributes": """SELECT cand_id, split_part(p, '=', 1) attribute, substring(p, strpos(p, '=') + 2, length(p) - strpos(p, '=') - 2) AS value, lower(split_part(p, '=', 1)) IN ('alt', 'aria-label', 'aria-description', 'caption', 'helper-text', 'label', 'placeholder', 'title', 'tooltip') translatable
-          FROM (SELECT cand_id, unnest(list_distinct(regexp_extract_all(text, '\\s([A-Za-z][\\w:-]*="[^"<>]*")', 1))) p FROM scan_candidates WHERE contains(text, '="'))""",
-        "template_syntax": "SELECT doc_id, len(regexp_extract_all(text, '\\{\\{'))::INT n_open, len(regexp_extract_all(text, '\\}\\}'))::INT n_close FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\\{\\{')) <> len(regexp_extract_all(text, '\\}\\}'))",
+        "html_attributes": f"WITH {oracles_source.ATTRIBUTES} SELECT cand_id, attribute, v AS value, lower(attribute) IN ('alt', 'aria-label', 'aria-description', 'caption', 'helper-text', 'label', 'placeholder', 'title', 'tooltip') translatable FROM a",
         "interpolations": "SELECT cand_id, (i - 1)::INT pos, v[i].name AS name, v[i].expression AS expression, '{{' || v[i].name || '}}' placeholder FROM (SELECT cand_id, interpolation.variables v, unnest(range(1, len(interpolation.variables) + 1)) i FROM scan_candidates WHERE interpolation IS NOT NULL)",
         "html_strings": r"SELECT cand_id, regexp_matches(text, '</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|\bt\(') is_html FROM scan_candidates WHERE text IS NOT NULL",
         "snippets": rf"""WITH {FRAGMENTS} SELECT cand_id, regexp_replace(regexp_replace(text, '[\s{{}}]+', '', 'g'), '[`"]', '''', 'g') snippet, CASE WHEN length(text) > 50 THEN substring(text, 1, 47) || '...' ELSE text END preview FROM fr""",

@@ -88,7 +88,7 @@ def decoded(x: str) -> str:
     return out
 
 
-ATTRIBUTES = r"""a AS (SELECT cand_id, split_part(p, '=', 1) attribute, substring(p, strpos(p, '=') + 2, length(p) - strpos(p, '=') - 2) AS v FROM (SELECT cand_id, unnest(list_distinct(regexp_extract_all(text, '\s([A-Za-z][\w:-]*="[^"<>]*")', 1))) p FROM scan_candidates WHERE contains(text, '="')))"""
+ATTRIBUTES = r"""a AS (SELECT cand_id, split_part(p, '=', 1) attribute, substring(p, strpos(p, '=') + 2, length(p) - strpos(p, '=') - 2) AS v FROM (SELECT cand_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '\s([A-Za-z][\w:-]*="[^"<>]*")', 1), regexp_extract_all(text, '\s([A-Za-z][\w:-]*=''[^''<>]*'')', 1)))) p FROM scan_candidates))"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.functions import expressions, keys, placeholders, texts
-from lexiloom.operators import edits, extract, project, quality, rejects, rename, rollup, sync, translate
-from lexiloom.plans import oracles
+from lexiloom.functions import config, expressions, keys, placeholders, texts
+from lexiloom.operators import calls, edits, extract, project, quality, rejects, rename, report, rollup, sync, translate
+from lexiloom.plans import oracles, oracles_report
 from lexiloom.session import spread
 from lexiloom.sources.relations import catalog, references_by_key
+from lexiloom.sources import catalog_files
 from lexiloom.sources.tables import table
+from lexiloom.storage import run_folder
 from lexiloom.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +100,43 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events", "event_id", "ts", "user_id", "event_type", "value")
 
 
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return rollup.actionable_items(_refs(s, d), _catalog(s, d))
+
+
+def _doubled(items: DataFrame) -> DataFrame:
+    """Findings with a second, lesser telling of those that are errors."""
+    return items.unionByName(items.where("severity = 'error'").withColumn("severity", F.lit("info")))
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    return calls.scanned(_fragments(s, d))
+
+
+def _file_patterns(s: SparkSession, d: str) -> DataFrame:
+    return project.pattern_matches(table(s, d, "scan_candidates", "file_path"), [*INCLUDE, "/lib/*.js"], list(EXCLUDE))
+
+
+def _settings(s: SparkSession, d: str) -> DataFrame:
+    """Values of every sort: paths, keys, labels and texts."""
+    parts = [table(s, d, t, c).select(F.col(c).alias("value")) for t, c in (("refs", "file_path"), ("refs", "key"), ("import_rows", "target_locale"), ("import_rows", "translated_value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("value is not null").distinct()
+
+
+def _headers(s: SparkSession, d: str) -> DataFrame:
+    """Headers of caches as they may be found: fields absent, old or current."""
+    u = F.col("user_id")
+    found = lambda keep, c: F.when(keep, c)
+    return _events(s, d).select("event_id", found(u % 5 != 0, (u % 3).cast("string")).alias("version"), found(u % 7 != 0, F.lit("t")).alias("identifier"), found(u % 4 != 0, F.concat(F.lit("c"), (u % 2).cast("string"))).alias("config_hash"), found(F.col("event_type") != "view", F.lit("v2")).alias("tool_version"))
+
+
+def _through_files(s: SparkSession, d: str) -> DataFrame:
+    """The catalog after being written as one document per locale and read again."""
+    folder = f"{run_folder(s)}/catalog-files-{uuid.uuid4().hex}"
+    catalog_files.write_catalogs(_catalog(s, d), folder, nested=False)
+    return catalog_files.read_catalogs(s, folder).select("locale", "key", "value")
+
+
 def _pattern_columns(t: Column) -> dict[str, Column]:
     p = texts.detected_pattern(t)
     return {"pattern": p["name"], "category": p["category"], "confidence": p["confidence"]}
@@ -212,6 +252,43 @@ def queries() -> dict[str, Query]:
         "translation_usage": lambda s, d: project.translation_usage(table(s, d, "scan_candidates", "file_path", "text")),
         "file_extensions": lambda s, d: project.extensions(_refs(s, d)),
         "source_language": lambda s, d: project.source_language(_catalog(s, d)),
+        # Calls by the lexer
+        "call_positions": lambda s, d: calls.references(calls.scanned(_fragments(s, d).where(~F.col("text").contains("`")))),
+        "dynamic_keys": lambda s, d: calls.dynamic_keys(_calls(s, d)),
+        "member_calls": lambda s, d: calls.scanned(_fragments(s, d), ("t", "$t"), members=True),
+        "whitelist_suggestions": lambda s, d: calls.whitelist_suggestions(calls.dynamic_keys(_calls(s, d))),
+        "bound_attributes": lambda s, d: extract.bound_attributes(_fragments(s, d)),
+        "static_paths": _by_text(lambda t: {"path": config.static_path(t)}),
+        "without_openers": _by_text(lambda t: {"bare": expressions.without_openers(t)}),
+        "variable_names": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")).select("cand_id", "pos", extract.variable_name(F.col("expression")).alias("name")),
+        "key_components": _by_key(lambda k: {"component": expressions.is_component(k, F.lit("title"))}),
+        "key_collisions": lambda s, d: report.resolved_keys(table(s, d, "scan_candidates", "suggested_key").select(F.col("suggested_key").alias("key")), _catalog(s, d)),
+        # Reports
+        "exit_code": lambda s, d: report.strict_exit(_items(s, d)),
+        "drift_stats": lambda s, d: report.drift_stats(_items(s, d)),
+        "health": lambda s, d: report.health(_items(s, d)),
+        "unique_items": lambda s, d: report.unique_items(_doubled(_items(s, d))),
+        "file_issues": lambda s, d: report.file_issues(_refs(s, d), _catalog(s, d)),
+        "coverage": lambda s, d: report.coverage(_catalog(s, d)),
+        "quality_report": lambda s, d: report.quality_report(_catalog(s, d)),
+        "equal_catalogs": lambda s, d: report.equal_catalogs(_catalog(s, d), translate.written(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
+        "shape_guess": lambda s, d: report.shape_guess(_catalog(s, d)),
+        "pattern_advice": lambda s, d: report.pattern_advice(_file_patterns(s, d)),
+        "requested_locales": lambda s, d: report.requested_locales(_catalog(s, d), ["de", "ja", "xx"]),
+        "report_json": lambda s, d: report.as_json(_items(s, d)),
+        "report_markdown": lambda s, d: report.markdown_summary(rollup.items_by_kind(_items(s, d))),
+        "newest_crawls": lambda s, d: report.newest(table(s, d, "documents", "doc_id", "project").where("project is not null").groupBy("project").agg(F.max("doc_id").alias("last")), "last"),
+        # Configuration values, command lines, places
+        "config_safety": lambda s, d: _settings(s, d).select("value", config.is_unsafe(F.col("value")).alias("unsafe"), *[config.is_like(F.col("value"), p).alias(n) for n, p in (("language_tag", config.LANGUAGE_TAG), ("identifier", config.IDENTIFIER), ("namespace", config.NAMESPACE))], config.path_problem(F.col("value")).alias("path_problem")),
+        "config_values": lambda s, d: table(s, d, "import_rows", "imp_id", "translated_value").where("translated_value is not null").select("imp_id", config.value_kind(F.col("translated_value")).alias("kind"), config.plain_value(F.col("translated_value")).alias("plain"), F.array_join(config.string_list(F.col("translated_value")), "|").alias("listed"), F.array_join(config.path_parts(F.col("translated_value")), "/").alias("path")),
+        "positive_integers": lambda s, d: _refs(s, d).select("key").unionByName(_refs(s, d).select(F.concat(F.lit("n."), F.col("line").cast("string")).alias("key"))).distinct().select("key", config.positive_integer(keys.last_segment(F.col("key"))).alias("n"), config.clamped(keys.last_segment(F.col("key"))).alias("clamped")),
+        "command_words": _by_text(lambda t: {"words": F.array_join(config.command_tokens(t), "\x1f")}),
+        "small_signs": _by_text(lambda t: {"entity": config.is_like(t, config.HTML_ENTITY), "hex_colour": config.is_like(t, config.HEX_COLOUR), "repeated": t.rlike(r"^([^\p{L}\d\s])\1+\z")}),
+        "text_places": lambda s, d: _texts(s, d).withColumn("at", F.expr("instr(text, \"'\") - 1")).where("at >= 0").select("cand_id", config.line_of(F.col("text"), F.col("at")).alias("line"), config.column_of(F.col("text"), F.col("at")).alias("col")),
+        "normal_locales": lambda s, d: table(s, d, "import_rows", "target_locale").where("target_locale is not null").distinct().select(F.col("target_locale").alias("label"), translate.normalized_locale(F.col("target_locale")).alias("locale")),
+        "event_ages": lambda s, d: _events(s, d).select("event_id", config.relative_age(F.col("ts"), _events(s, d).agg(F.max("ts").alias("m")).scalar()).alias("age")),
+        "cache_reasons": lambda s, d: project.invalidation_reasons(_headers(s, d), {"version": "1", "identifier": "t", "config_hash": "c0", "tool_version": "v2"}).select("event_id", "reasons"),
+        "catalog_files": _through_files,
         # Rollups of events, incremental work
         "cache_hit_rate": lambda s, d: rollup.hit_rates(_events(s, d).select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("hit"))),
         "framework_confidence": lambda s, d: rollup.framework_confidence(_events(s, d).select(F.concat(F.col("event_type"), F.col("user_id").cast("string")).alias("framework"), F.round(F.col("value") / 1000, 3).alias("weight"))),
@@ -223,4 +300,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | oracles_report.oracle_sql()

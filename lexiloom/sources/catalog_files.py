@@ -70,7 +70,7 @@ def read_catalogs(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["locale", "key", "value", "ord", "problem"])
 
     try:
-        files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], CATALOG)
     return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, CATALOG)
@@ -101,6 +101,23 @@ def catalog_texts(catalog: DataFrame, nested: bool = True) -> DataFrame:
     return catalog.select("locale", "key", "value", "ord").groupBy("locale").applyInPandas(one, "locale string, text string")
 
 
+def write_catalogs(catalog: DataFrame, folder: str, nested: bool = True) -> None:
+    """One `<locale>.json` per locale, keys sorted; written by the executors, a locale's document at a time."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for locale, text in zip(b.column("locale").to_pylist(), b.column("text").to_pylist()):
+                with fs.open_output_stream(f"{root}/{locale}.json") as out:
+                    out.write(text.encode())
+            yield b.select(["locale"])
+
+    from pyarrow import fs as arrow_fs
+
+    fs, root = arrow_fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    catalog_texts(catalog, nested).mapInArrow(store, "locale string").count()
+
+
 def unified_diffs(before: DataFrame, after: DataFrame) -> DataFrame:
     """locale, patch, n_changed of every locale whose document changed."""
     b = catalog_texts(before, nested=False).withColumnRenamed("text", "old")
@@ -128,7 +145,7 @@ def write_handoff(rows: DataFrame, path: str) -> None:
 
 def read_rename_map(spark: SparkSession, path: str) -> DataFrame:
     """from_key, to_key of a JSON object, or of lines `"a" = "b"` with `#` comments."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     as_map = F.from_json("value", "map<string,string>")
     objects = text.where(F.trim("value").startswith("{")).select(F.explode(as_map).alias("from_key", "to_key"))
     lines = text.where(~F.trim("value").startswith("{")).select(F.explode(F.split("value", r"\r?\n")).alias("l"))
