@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BIN = 64
+# Characters of a file whose edits are ordered together.
+BLOCK = 4096
 
 
 def _binned(edits: DataFrame, bin_width: int, suffix: str) -> DataFrame:
@@ -41,22 +43,34 @@ def conflicts(edits: DataFrame, bin_width: int = BIN) -> DataFrame:
     return _pairs(edits, bin_width).withColumn("kind", kind).where("kind is not null").select("file", "id_a", "id_b", "kind")
 
 
-def planned(edits: DataFrame, bin_width: int = BIN) -> DataFrame:
-    """The edits that aren't strictly contained in another one of their file; equal ranges are kept."""
-    pairs = _pairs(edits, bin_width)
-    strict = ~((F.col("start_a") == F.col("start_b")) & (F.col("end_a") == F.col("end_b")))
-    inner = pairs.where(strict & _inside("a", "b")).select("file", F.col("id_a").alias("id")).unionByName(pairs.where(strict & _inside("b", "a")).select("file", F.col("id_b").alias("id"))).distinct()
-    return edits.join(inner, ["file", "id"], "left_anti")
+def planned(edits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The edits that aren't strictly contained in another one of their file; equal ranges are kept.
+
+    In order of start, and of the longer one among equal starts, a range is contained just where a range before it ends no
+    earlier. The greatest end so far is a running maximum inside blocks of a file, to which the greatest end of the blocks
+    before is carried; so no pairs are made, and a file of very many edits is spread over its blocks.
+    """
+    ranges = edits.where("start is not null and end is not null").select("file", "start", "end").distinct().withColumn("block", F.floor(F.col("start") / block).cast("long"))
+    before = Window.unboundedPreceding, -1
+    tops = ranges.groupBy("file", "block").agg(F.max("end").alias("top"))
+    carried = tops.select("file", "block", F.max("top").over(Window.partitionBy("file").orderBy("block").rowsBetween(*before)).alias("carried"))
+    own = F.max("end").over(Window.partitionBy("file", "block").orderBy("start", F.desc("end")).rowsBetween(*before))
+    inner = ranges.withColumn("own", own).join(carried, ["file", "block"]).where(F.greatest("own", "carried") >= F.col("end"))
+    return edits.join(inner.select("file", "start", "end"), ["file", "start", "end"], "left_anti").select(*edits.columns)
 
 
-def rollback_offsets(edits: DataFrame) -> DataFrame:
+def rollback_offsets(edits: DataFrame, block: int = BLOCK) -> DataFrame:
     """file, id, offset: how far each edit's start has moved once all edits before it are applied.
 
-    A running sum per file; a file is one source text and bounded as such.
+    A running sum inside blocks of a file, to which the sums of the blocks before are added.
     """
-    w = Window.partitionBy("file").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.length("replacement") - (F.col("end") - F.col("start"))
-    return edits.withColumn("delta", delta).select("file", "id", F.coalesce(F.sum("delta").over(w), F.lit(0)).cast("long").alias("offset"))
+    rows = edits.select("file", "id", "start", delta.alias("delta"), F.floor(F.col("start") / block).cast("long").alias("block"))
+    before = Window.unboundedPreceding, -1
+    sums = rows.groupBy("file", "block").agg(F.sum("delta").alias("total"))
+    carried = sums.select("file", "block", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(*before)), F.lit(0)).alias("carried"))
+    own = F.coalesce(F.sum("delta").over(Window.partitionBy("file", "block").orderBy("start", "id").rowsBetween(*before)), F.lit(0))
+    return rows.withColumn("own", own).join(carried, ["file", "block"]).select("file", "id", (F.col("own") + F.col("carried")).cast("long").alias("offset"))
 
 
 def applied(texts: DataFrame, edits: DataFrame) -> DataFrame:

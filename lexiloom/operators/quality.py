@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import keys
 from lexiloom.functions.whitespace import is_blank, trim_all
 from lexiloom.operators.sync import locale_consistency
+from lexiloom.skew import attach
 from lexiloom.storage import materialize
 
 CONVENTIONS = ("kebab-case", "camelCase", "snake_case")
@@ -31,8 +32,8 @@ def duplicate_values(catalog: DataFrame, least: int = 3) -> DataFrame:
 def duplicate_members(catalog: DataFrame, least: int = 3) -> DataFrame:
     """locale, key, group_key: every key of a duplicate group with the group's first key."""
     rows = catalog.where(F.length("value") >= least).withColumn("folded", F.lower(trim_all(F.col("value"))))
-    heads = rows.groupBy("locale", "folded").agg(F.min("key").alias("group_key"), F.count("*").alias("n")).where("n > 1").select("locale", "folded", "group_key")
-    return rows.join(heads, ["locale", "folded"]).select("locale", "key", "group_key")
+    heads = rows.groupBy("locale", "folded").agg(F.min("key").alias("group_key"), F.count("*").alias("n")).where("n > 1")
+    return attach(rows, heads, ["locale", "folded"], "key").select("locale", "key", "group_key")
 
 
 def distinct_keys(catalog: DataFrame) -> DataFrame:

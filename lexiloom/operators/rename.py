@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import keys
 from lexiloom.functions.whitespace import collapse
+from lexiloom.skew import attach
 
 
 def proposals(refs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def renamed(catalog: DataFrame, mappings: DataFrame) -> DataFrame:
 def duplicate_status(candidates: DataFrame) -> DataFrame:
     """cand_id, status, first_id: the first candidate of each text hash is pending, later ones duplicates; keys in use aren't looked up."""
     rows = candidates.where("text_hash is not null")
-    first = rows.groupBy("text_hash").agg(F.min("cand_id").alias("first_id"))
-    return rows.join(first, "text_hash").select("cand_id", F.when(F.col("cand_id") == F.col("first_id"), "pending").otherwise("duplicate").alias("status"), "first_id")
+    first = rows.groupBy("text_hash").agg(F.min("cand_id").alias("first_id"), F.count("*").alias("n"))
+    return attach(rows.select("cand_id", "text_hash"), first, ["text_hash"], "cand_id").select("cand_id", F.when(F.col("cand_id") == F.col("first_id"), "pending").otherwise("duplicate").alias("status"), "first_id")
 
 
 def candidate_dedupe(candidates: DataFrame) -> DataFrame:

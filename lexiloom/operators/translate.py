@@ -36,14 +36,15 @@ def reuse_suggestions(catalog: DataFrame) -> DataFrame:
 
     Siblings come in order of their code before the base language.
     """
-    tagged = catalog.withColumn("base", F.split_part("locale", F.lit("-"), F.lit(1)))
-    lenders = tagged.where(is_meaningful(F.col("value"))).select("key", "base", F.col("locale").alias("lender"), F.col("value").alias("lent"))
-    # A language's locales are few: a key meets its siblings in one array of bounded size.
-    offers = lenders.groupBy("key", "base").agg(F.array_sort(F.collect_list(F.struct((F.col("lender") == F.col("base")).alias("is_base"), "lender", "lent"))).alias("offers"))
-    regional = tagged.select("base", "locale").where(F.col("locale") != F.col("base")).distinct()
-    rows = offers.join(regional, "base")
-    first = F.get(F.filter("offers", lambda o: o["lender"] != F.col("locale")), F.lit(0))
-    return rows.withColumn("first", first).where("first is not null").select("key", "locale", F.col("first.lender").alias("reused_from"), F.col("first.lent").alias("reused"))
+    base = lambda c: F.split_part(c, F.lit("-"), F.lit(1))
+    # A key's values are as many as there are locales, so everything happens inside of one row per key: nothing is joined.
+    offer = F.struct((F.col("locale") == base(F.col("locale"))).alias("is_base"), F.col("locale").alias("lender"), F.col("value").alias("lent"))
+    offers = catalog.where(is_meaningful(F.col("value"))).groupBy("key").agg(F.array_sort(F.collect_list(offer)).alias("offers"))
+    regions = every_locale(catalog.where(F.col("locale").contains("-")))
+    rows = offers.select("key", "offers", F.explode(regions).alias("locale"))
+    first = F.get(F.filter("offers", lambda o: (base(o["lender"]) == base(F.col("locale"))) & (o["lender"] != F.col("locale"))), F.lit(0))
+    rows = rows.withColumn("first", first).where("first is not null")
+    return rows.select("key", "locale", F.col("first.lender").alias("reused_from"), F.col("first.lent").alias("reused"))
 
 
 def plan_totals(tasks: DataFrame) -> DataFrame:

@@ -49,3 +49,29 @@ def test_apply(spark):
     assert {tuple(r) for r in edits.applied(texts, es).collect()} == {("a", "bye all"), ("b", "same")}
     assert {(r.id, r.offset) for r in edits.rollback_offsets(es).collect()} == {(1, 0), (2, -2)}
     assert edits.conflicts(es.where("false")).collect() == []
+
+
+def test_plan_and_offsets_against_plain_counting(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        start = rng.randrange(0, 300)
+        rows.append((rng.choice("ab"), i, start, start + rng.choice([-3, 0, 0, 5, 20, 90]), "x" * rng.randrange(4)))
+    df = spark.createDataFrame(rows + rows[:1] * 0, "file string, id long, start long, end long, replacement string")
+    kept = {r[1] for r in rows if not any(o[0] == r[0] and o[2] <= r[2] and o[3] >= r[3] and (o[2], o[3]) != (r[2], r[3]) for o in rows)}
+    assert {r.id for r in edits.planned(df, block=16).collect()} == kept
+    want = {r[1]: sum(len(o[4]) - (o[3] - o[2]) for o in rows if o[0] == r[0] and (o[2], o[1]) < (r[2], r[1])) for r in rows}
+    assert {r.id: r.offset for r in edits.rollback_offsets(df, block=16).collect()} == want
+
+
+def test_attach_spreads_large_groups(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom import skew
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)] + [(901, None)], "id long, k string")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    got = skew.attach(rows, groups, ["k"], "id", salt_rows=50)
+    assert got.count() == 900 and {r.first for r in got.where("k = 'hot'").collect()} == {1} and got.columns == ["k", "id", "first"]
