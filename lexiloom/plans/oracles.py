@@ -38,6 +38,8 @@ def matches(x: str, pattern: str) -> str:
 
 
 CATALOG = "cat AS (SELECT locale, key, value, ord FROM (SELECT *, row_number() OVER (PARTITION BY locale, key ORDER BY ord DESC) rn FROM locale_catalog) WHERE rn = 1)"
+BY_TEXT = "(SELECT locale, key, value, ord FROM locale_catalog UNION ALL SELECT 'en', replace(lower(text), ' ', '-'), text, cand_id FROM scan_candidates WHERE length(text) < 30 AND NOT contains(text, '.'))"
+HANDED = "(SELECT target_locale locale, key, translated_value AS value, row_id ord FROM csv_rows WHERE target_locale IS NOT NULL AND translated_value IS NOT NULL)"
 KEYS = "ks AS (SELECT key FROM locale_catalog UNION SELECT key FROM refs UNION SELECT key FROM csv_rows UNION SELECT suggested_key FROM scan_candidates WHERE suggested_key IS NOT NULL)"
 RBK = "rbk AS (SELECT key, count(*) n_references, arg_min(file_path, ord) first_file, arg_min(line, ord) first_line, arg_min(fallback_literal, ord) FILTER (WHERE fallback_literal IS NOT NULL) fallback FROM refs GROUP BY key)"
 SRC = "src AS (SELECT key, value FROM cat WHERE locale = 'en')"
@@ -257,8 +259,8 @@ def oracle_sql() -> dict[str, str]:
         "unused_keys": f"WITH {CATALOG}, {SRC}, {UNUSED} SELECT key, string_agg(locale, ',' ORDER BY locale) locales, count(*) n_locales FROM un WHERE NOT untranslated GROUP BY key",
         "untranslated_keys": f"WITH {CATALOG}, {SRC}, {UNUSED} SELECT key, string_agg(locale, ',' ORDER BY locale) locales, count(*) n_locales FROM un WHERE untranslated GROUP BY key",
         "empty_values": f"WITH {CATALOG}, {RBK} SELECT c.key, c.locale, {empty_reason('c.value')} reason, r.fallback FROM cat c LEFT JOIN rbk r ON r.key = c.key WHERE c.locale <> 'en' AND ({empty_reason('c.value')}) IS NOT NULL",
-        "suspicious_refs": f"SELECT * FROM (SELECT key, file_path, line, col_no, {suspicion('key')} reason FROM refs) WHERE reason IS NOT NULL",
-        "recover_value": f"""WITH {missing()}, {UNUSED} SELECT key, from_key, recovered FROM (SELECT m.key, u.key from_key, u.value recovered, row_number() OVER (PARTITION BY m.key ORDER BY length(u.key) DESC, u.key DESC) rn
+        "suspicious_refs": f"SELECT * FROM (SELECT key, file_path, line, col_no, {suspicion('key')} reason FROM (SELECT coalesce(fallback_literal, key) AS key, file_path, line, col_no FROM refs)) WHERE reason IS NOT NULL",
+        "recover_value": f"""WITH {missing('below', "below AS (SELECT * REPLACE ('app.' || key AS key) FROM refs), ")}, {UNUSED.replace('FROM refs', 'FROM below')} SELECT key, from_key, recovered FROM (SELECT m.key, u.key from_key, u.value recovered, row_number() OVER (PARTITION BY m.key ORDER BY length(u.key) DESC, u.key DESC) rn
           FROM mk m JOIN un u ON u.locale = 'en' AND u.value <> '' AND u.key <> m.key AND contains('.' || m.key || '.', '.' || u.key || '.')) WHERE rn = 1""",
         "expand_dynamic": f"WITH {PATTERN_ROWS} SELECT * FROM ex",
         "dynamic_coverage": f"WITH {CATALOG}, {PATTERN_ROWS} SELECT e.pattern, l.locale, count(*) n_missing FROM ex e CROSS JOIN (SELECT DISTINCT locale FROM cat) l WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.locale = l.locale AND c.key = e.key) GROUP BY ALL",
@@ -274,15 +276,15 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, CASE WHEN n_error > 0 THEN 'error' WHEN n_warn > 0 THEN 'warn' WHEN n_info > 0 THEN 'info' ELSE 'none' END dominant, CASE WHEN n_error > 0 THEN 11 WHEN n_warn > 0 THEN 10 ELSE 0 END exit_code FROM c""",
         "duplicate_values": f"WITH {CATALOG}, {DUPLICATES} SELECT locale, v AS value, n_keys, first_key FROM dup",
         "duplicate_members": f"WITH {CATALOG}, {DUPLICATES} SELECT c.locale, c.key, d.first_key group_key FROM cat c JOIN dup d ON c.locale = d.locale AND lower({trim('c.value')}) = d.folded WHERE length(c.value) >= 3",
-        "orphaned_namespaces": f"WITH {CATALOG} SELECT split_part(key, '.', 1) namespace, count(*) n_keys FROM (SELECT DISTINCT key FROM cat WHERE contains(key, '.')) GROUP BY 1 HAVING count(*) <= 2",
-        "inconsistent_prefixes": f"""WITH {CATALOG}, r AS (SELECT lower(split_part(key, '.', 1)) root FROM (SELECT DISTINCT key FROM cat WHERE contains(key, '.'))), p AS (SELECT unnest([{", ".join(q(a) for a, _ in ABBREVIATIONS)}]) a, unnest([{", ".join(q(f) for _, f in ABBREVIATIONS)}]) f)
+        "orphaned_namespaces": f"WITH {CATALOG} SELECT split_part(key, '.', 1) namespace, count(*) n_keys FROM (SELECT DISTINCT {LAST} || '.' || key AS key FROM cat) GROUP BY 1 HAVING count(*) <= 2",
+        "inconsistent_prefixes": f"""WITH {CATALOG}, r AS (SELECT lower(split_part(key, '.', 1)) root FROM (SELECT key FROM cat WHERE contains(key, '.') UNION SELECT regexp_replace(key, '^editor[.]', 'authentication.') FROM cat WHERE contains(key, '.'))), p AS (SELECT unnest([{", ".join(q(a) for a, _ in ABBREVIATIONS)}]) a, unnest([{", ".join(q(f) for _, f in ABBREVIATIONS)}]) f)
           SELECT * FROM (SELECT a abbreviation, f AS "full", (SELECT count(*) FROM r WHERE root = a) n_abbreviated, (SELECT count(*) FROM r WHERE root = f) n_full, CASE WHEN (SELECT count(*) FROM r WHERE root = a) > (SELECT count(*) FROM r WHERE root = f) THEN a ELSE f END suggestion FROM p) WHERE n_abbreviated > 0 AND n_full > 0""",
         "namespace_case_variants": f"WITH {KEYS} SELECT lower(ns) namespace, string_agg(ns, ',' ORDER BY ns) variants FROM (SELECT DISTINCT split_part(key, '.', 1) ns FROM ks WHERE contains(key, '.')) GROUP BY 1 HAVING count(*) > 1",
         "locale_consistency": f"WITH {CATALOG}, {GAPS} SELECT locale, count(*) n_missing, min(key) first_missing FROM gaps GROUP BY locale",
         "locale_audit": f"""WITH {CATALOG}, {GAPS}, {DUPLICATES} SELECT c.locale, count(*) n_keys, count(*) FILTER (WHERE {blank('c.value')}) n_blank, (SELECT count(*) FROM dup WHERE dup.locale = c.locale) n_duplicate_groups, (SELECT count(*) FROM gaps WHERE gaps.locale = c.locale) n_missing FROM cat c GROUP BY c.locale""",
-        "key_equals_value": f"""WITH {CATALOG} SELECT locale, key, CASE WHEN same AND (reason IS NULL OR reason = 'single-word-no-namespace') THEN 'key-equals-value' ELSE reason END reason FROM (SELECT *, {suspicion('key')} reason,
+        "key_equals_value": f"""WITH {CATALOG.replace("locale_catalog", BY_TEXT)} SELECT locale, key, CASE WHEN same AND (reason IS NULL OR reason = 'single-word-no-namespace') THEN 'key-equals-value' ELSE reason END reason FROM (SELECT *, {suspicion('key')} reason,
           NOT contains(key, '.') AND (key = value OR trim(regexp_replace(lower(key), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))) same FROM cat) WHERE reason IS NOT NULL OR same""",
-        "audit_key_value": f"""WITH {CATALOG}, {RBK} SELECT c.key, c.value AS value, coalesce(first_file, 'catalog') file_path, coalesce(first_line, 0) line FROM cat c LEFT JOIN rbk USING (key) WHERE c.locale = 'en' AND NOT contains(c.key, '.')
+        "audit_key_value": f"""WITH {CATALOG.replace("locale_catalog", BY_TEXT)}, {RBK} SELECT c.key, c.value AS value, coalesce(first_file, 'catalog') file_path, coalesce(first_line, 0) line FROM cat c LEFT JOIN rbk USING (key) WHERE c.locale = 'en' AND NOT contains(c.key, '.')
           AND (c.key = value OR trim(regexp_replace(lower(c.key), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))) AND coalesce({suspicion('c.key')}, 'single-word-no-namespace') = 'single-word-no-namespace'""",
         "applied_catalog": f"WITH {applied(value_words)} SELECT locale, key, value FROM done",
         "locale_preview": f"""WITH {applied(value_words)} SELECT locale, count(*) FILTER (WHERE o IS NULL) added, count(*) FILTER (WHERE n IS NULL) removed FROM (SELECT coalesce(c.locale, d.locale) locale, c.key o, d.key n FROM cat c FULL JOIN done d ON c.locale = d.locale AND c.key = d.key)
@@ -300,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "plan_chunks": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key, locale, (row_number() OVER (PARTITION BY locale ORDER BY key) - 1) // 25 AS chunk FROM plan",
         "translation_plan": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT * FROM plan",
         "plan_totals": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT locale, count(*) n_tasks, sum(length(source_value))::BIGINT n_chars, count(*) FILTER (WHERE existing IS NULL) n_missing, count(existing) n_existing FROM plan GROUP BY ROLLUP (locale)",
-        "reuse_suggestion": f"WITH {CATALOG}, {LENT} SELECT * FROM lent",
+        "reuse_suggestion": f"WITH {CATALOG.replace('locale_catalog', HANDED)}, {LENT} SELECT * FROM lent",
         "csv_export": f"""WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key || ',en,' || CASE WHEN regexp_matches(source_value, '[,"\\r\\n]') THEN '"' || replace(source_value, '"', '""') || '"' ELSE source_value END || ',' || locale || ',' record FROM plan""",
         "write_actions": f"WITH {CATALOG}, {ACTIONS} SELECT * FROM act",
         "write_totals": f"WITH {CATALOG}, {ACTIONS} SELECT locale, count(*) attempted, count(*) FILTER (WHERE action = 'write') written, count(*) FILTER (WHERE action = 'skip-empty') empty_skipped, count(*) FILTER (WHERE action IN ('skip-existing', 'unchanged')) skipped FROM act GROUP BY locale",

@@ -96,9 +96,9 @@ def oracle_sql() -> dict[str, str]:
         "catalog_files": f"WITH {CATALOG} SELECT locale, key, value FROM cat",
         "normal_locales": f"SELECT DISTINCT target_locale AS label, lower(replace({trim('target_locale')}, '_', '-')) AS locale FROM import_rows WHERE target_locale IS NOT NULL",
         "key_components": f"WITH {KEYS} SELECT key, regexp_matches('.' || key || '.', '^[.]?.*[.]' || x || '[.]') AND regexp_matches(key, '(^|[.])' || x || '([.]|$)') AND strpos(key, x) > 0 AND key <> x AND (strpos(key, x) = 1 OR key[strpos(key, x) - 1] = '.') AND (strpos(key, x) + length(x) - 1 = length(key) OR key[strpos(key, x) + length(x)] = '.') AS component FROM (SELECT key, 'title' x FROM ks)",
-        "template_syntax": r"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\{\{')) - len(regexp_extract_all(x, '\}\}'))) ds, len(regexp_extract_all(text, '\{\{'))::INT n_open, len(regexp_extract_all(text, '\}\}'))::INT n_close FROM documents WHERE contains(text, '{{') OR contains(text, '}}')),
+        "template_syntax": r"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\{\{')) - len(regexp_extract_all(x, '\}\}'))) ds, len(regexp_extract_all(text, '\{\{'))::INT n_open, len(regexp_extract_all(text, '\}\}'))::INT n_close FROM (SELECT row_id doc_id, translated_value AS text FROM csv_rows) WHERE contains(text, '{{') OR contains(text, '}}')),
           w AS (SELECT doc_id, 0 i, 0::BIGINT b, NULL::INT f FROM d UNION ALL SELECT w.doc_id, i + 1, greatest(b + ds[i + 1], 0), CASE WHEN f IS NULL AND b + ds[i + 1] < 0 THEN i + 1 ELSE f END FROM w JOIN d USING (doc_id) WHERE i < len(ds))
-          SELECT d.doc_id, n_open, n_close, f AS first_unexpected, b::INT AS n_unclosed FROM d JOIN w ON w.doc_id = d.doc_id AND i = len(ds) WHERE n_open <> n_close OR f IS NOT NULL OR b > 0""",
+          SELECT d.doc_id AS row_id, n_open, n_close, f AS first_unexpected, b::INT AS n_unclosed FROM d JOIN w ON w.doc_id = d.doc_id AND i = len(ds) WHERE n_open <> n_close OR f IS NOT NULL OR b > 0""",
     }
 
 

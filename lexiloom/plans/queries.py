@@ -38,6 +38,19 @@ def _refs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "refs", "key", "file_path", "line", "col_no", "fallback_literal", "ord")
 
 
+def _named_by_text(s: SparkSession, d: str) -> DataFrame:
+    """The catalog and source keys made of short texts, as they come about where texts are used for keys."""
+    short = table(s, d, "scan_candidates", "cand_id", "text").where((F.length("text") < 30) & ~F.col("text").contains("."))
+    made = short.select(F.lit("en").alias("locale"), F.replace(F.lower("text"), F.lit(" "), F.lit("-")).alias("key"), F.col("text").alias("value"), F.col("cand_id").alias("ord"))
+    return catalog(table(s, d, "locale_catalog", "locale", "key", "value", "ord").unionByName(made))
+
+
+def _handed_over(s: SparkSession, d: str) -> DataFrame:
+    """The hand-off rows as a catalog of many regional locales."""
+    rows = table(s, d, "csv_rows", "row_id", "key", "target_locale", "translated_value").where("target_locale is not null and translated_value is not null")
+    return catalog(rows.select(F.col("target_locale").alias("locale"), "key", F.col("translated_value").alias("value"), F.col("row_id").alias("ord")))
+
+
 def _keys(s: SparkSession, d: str) -> DataFrame:
     """Every distinct key of the catalogs, the references and the hand-off rows."""
     parts = [table(s, d, t, c).select(F.col(c).alias("key")) for t, c in (("locale_catalog", "key"), ("refs", "key"), ("csv_rows", "key"), ("scan_candidates", "suggested_key"))]
@@ -183,9 +196,9 @@ def queries() -> dict[str, Query]:
         "unused_keys": lambda s, d: sync.unused_keys(_refs(s, d), _catalog(s, d)),
         "untranslated_keys": lambda s, d: sync.untranslated_keys(_refs(s, d), _catalog(s, d)),
         "empty_values": lambda s, d: sync.empty_values(_refs(s, d), _catalog(s, d)),
-        "suspicious_refs": lambda s, d: sync.suspicious_refs(_refs(s, d)),
-        "audit_key_value": lambda s, d: sync.key_value_audit(_refs(s, d), _catalog(s, d)),
-        "recover_value": lambda s, d: sync.recovered_values(_refs(s, d), _catalog(s, d)),
+        "suspicious_refs": lambda s, d: sync.suspicious_refs(_refs(s, d).withColumn("key", F.coalesce("fallback_literal", "key"))),
+        "audit_key_value": lambda s, d: sync.key_value_audit(_refs(s, d), _named_by_text(s, d)),
+        "recover_value": lambda s, d: sync.recovered_values(_refs(s, d).withColumn("key", F.concat(F.lit("app."), F.col("key"))), _catalog(s, d)),
         "expand_dynamic": lambda s, d: sync.expanded_keys(_patterns(s)),
         "dynamic_coverage": lambda s, d: sync.dynamic_coverage(_patterns(s), _catalog(s, d)),
         "glob_assumed": lambda s, d: sync.glob_assumed_keys(_catalog(s, d), list(GLOBS)),
@@ -199,18 +212,18 @@ def queries() -> dict[str, Query]:
         "items_by_kind": lambda s, d: rollup.items_by_kind(rollup.actionable_items(_refs(s, d), _catalog(s, d))),
         "severity_counts": lambda s, d: rollup.severity_counts(rollup.actionable_items(_refs(s, d), _catalog(s, d))),
         # Quality
-        "key_equals_value": lambda s, d: _catalog(s, d).select("locale", "key", keys.suspicion_with_value(F.col("key"), F.col("value")).alias("reason")).where("reason is not null"),
+        "key_equals_value": lambda s, d: _named_by_text(s, d).select("locale", "key", keys.suspicion_with_value(F.col("key"), F.col("value")).alias("reason")).where("reason is not null"),
         "duplicate_values": lambda s, d: quality.duplicate_values(_catalog(s, d)),
         "duplicate_members": lambda s, d: quality.duplicate_members(_catalog(s, d)),
-        "orphaned_namespaces": lambda s, d: quality.orphaned_namespaces(_catalog(s, d)),
-        "inconsistent_prefixes": lambda s, d: quality.inconsistent_prefixes(_catalog(s, d)),
+        "orphaned_namespaces": lambda s, d: quality.orphaned_namespaces(_catalog(s, d).withColumn("key", F.concat(keys.last_segment(F.col("key")), F.lit("."), F.col("key")))),
+        "inconsistent_prefixes": lambda s, d: quality.inconsistent_prefixes(_catalog(s, d).unionByName(_catalog(s, d).withColumn("key", F.regexp_replace("key", r"^editor\.", "authentication.")))),
         "namespace_case_variants": lambda s, d: quality.namespace_case_variants(_keys(s, d)),
         "locale_consistency": lambda s, d: sync.locale_consistency(_catalog(s, d)),
         "locale_audit": lambda s, d: quality.audit_totals(_catalog(s, d)),
         # Translation
         "translation_plan": lambda s, d: translate.plan(_catalog(s, d)),
         "plan_totals": lambda s, d: translate.plan_totals(translate.plan(_catalog(s, d))),
-        "reuse_suggestion": lambda s, d: translate.reuse_suggestions(_catalog(s, d)),
+        "reuse_suggestion": lambda s, d: translate.reuse_suggestions(_handed_over(s, d)),
         "plan_chunks": lambda s, d: translate.chunked(translate.plan(_catalog(s, d))),
         "csv_export": lambda s, d: translate.csv_records(translate.exported(translate.plan(_catalog(s, d)))),
         "write_actions": lambda s, d: translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value")),
@@ -237,7 +250,7 @@ def queries() -> dict[str, Query]:
         "html_attributes": lambda s, d: extract.html_attributes(_texts(s, d)),
         "vue_expr_class": lambda s, d: extract.expressions(_fragments(s, d)),
         "template_split": lambda s, d: extract.template_parts(_fragments(s, d)),
-        "template_syntax": lambda s, d: extract.template_syntax_issues(table(s, d, "documents", "doc_id", "text")),
+        "template_syntax": lambda s, d: extract.template_syntax_issues(table(s, d, "csv_rows", "row_id", "translated_value"), "translated_value", "row_id"),
         "interpolations": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")),
         "attribute_rules": lambda s, d: extract.html_attributes(_texts(s, d)).select("attribute").distinct().select("attribute", expressions.is_translatable_attribute(F.col("attribute")).alias("translatable")),
         "text_filter_attributes": lambda s, d: extract.html_attributes(_texts(s, d)).select("cand_id", "attribute", "value", texts.skip_reason(F.col("value"), attribute=F.col("attribute")).alias("reason")),
