@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.session import broadcast_if_small
+from lexiloom.storage import materialize
+
 GAP = "10 minutes"
 FAILURES = 3
 
@@ -67,3 +70,22 @@ def breaker_stream(outcomes: DataFrame, failures: int = FAILURES) -> DataFrame:
         yield pd.DataFrame({"stream": [key[0]], "open": [count >= failures], "n_failures": [count]})
 
     return outcomes.groupBy("stream").applyInPandasWithState(step, "stream string, open boolean, n_failures long", "count long", "update", "NoTimeout")
+
+
+def text_fingerprints(texts: DataFrame) -> DataFrame:
+    """file_path, fingerprint of the texts of each file: order-free sums over digests, so a large file is pre-aggregated."""
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("cand_id").cast("string"), "text")), 1, 10), 16, 10).cast("long")
+    return texts.groupBy("file_path").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(row).cast("string")).alias("fingerprint"))
+
+
+def refreshed(texts: DataFrame, cached_rows: DataFrame, cached_prints: DataFrame, extract: Callable[[DataFrame], DataFrame], header_matches: bool = True) -> DataFrame:
+    """What `extract` finds in `texts` (file_path and more), computed for new and changed files only.
+
+    Rows of files that haven't changed come from the cache, rows of files that are gone are dropped. Both sides are chosen
+    by semi-joins with the list of files; texts of unchanged files are read for their fingerprint alone.
+    """
+    actions = materialize(incremental(text_fingerprints(texts), cached_prints, header_matches).where("file_path is not null"), "actions")
+    listed = broadcast_if_small(actions)
+    of = lambda action: listed.where(F.col("action") == action).select("file_path")
+    fresh = extract(texts.join(of("parse"), "file_path", "left_semi"))
+    return cached_rows.join(of("reuse"), "file_path", "left_semi").select(*fresh.columns).unionByName(fresh)

@@ -41,3 +41,18 @@ def test_incremental(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "file_path string, fingerprint string")
     assert {tuple(r) for r in changes.incremental(new, old).collect()} == {("a", "reuse"), ("b", "parse"), ("c", "parse"), ("d", "drop")}
     assert {r.action for r in changes.incremental(new, old, header_matches=False).collect()} == {"parse", "drop"}
+
+
+def test_refreshed_equals_cold(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.streaming import changes
+
+    old = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "b", "y"), (4, "gone", "z")], "cand_id long, file_path string, text string")
+    new = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "b", "changed"), (5, "new", "w")], old.schema)
+    seen = []
+    extract = lambda df: seen.append(df) or df.select("file_path", "cand_id", F.upper("text").alias("u"))
+    got = changes.refreshed(new, extract(old), changes.text_fingerprints(old), extract)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, new.select("file_path", "cand_id", F.upper("text")).collect()), key=str)
+    assert {r.file_path for r in seen[-1].collect()} == {"b", "new"}
+    assert changes.refreshed(new.where("false"), extract(old), changes.text_fingerprints(old), extract).collect() == []
