@@ -126,10 +126,16 @@ def labelled_sample(documents: DataFrame, *, size: int = SAMPLE_DOCUMENTS, per_l
 def training_sentences(sample: list[tuple[int, str, str]]) -> tuple[list[str], np.ndarray]:
     """Distinct cleaned sentences of three words or more (eight letters in Japanese) with the class most documents give them."""
     votes: dict[str, np.ndarray] = {}
+    cleaned: dict[str, str] = {}  # sentences recur in many texts
+    parted: dict[str, list[str]] = {}
     for _, lang, text in sample:
         k = LANGUAGES.index(lang)
-        for s in sentences(text):
-            c = clean(without_asides(s))
+        if text not in parted:
+            parted[text] = sentences(text)
+        for s in parted[text]:
+            c = cleaned.get(s)
+            if c is None:
+                c = cleaned[s] = clean(without_asides(s))
             if c.count(" ") >= 2 or lang == "ja" and len(c) >= 8 and not c.isascii():
                 votes.setdefault(c, np.zeros(len(LANGUAGES)))[k] += 1
     per_class = np.maximum(1.0, sum(votes.values(), np.zeros(len(LANGUAGES))))

@@ -166,7 +166,7 @@ def end_likelihoods(rows: DataFrame, ends: DataFrame) -> DataFrame:
     Texts that hold a context and texts that end with it are counted over all responses, so each judged text is among them
     and is subtracted. An end in a hyphen or dots of its own says nothing about where texts end: it counts as held only.
     """
-    tails = materialize(ends.where("tail != ''").groupBy("tail", "dressed").agg(F.count("*").alias("n")), "tails")
+    tails = ends.where("tail != ''").groupBy("tail", "dressed").agg(F.count("*").alias("n"))
     contexts = materialize(tails.mapInArrow(_contexts, "tail string, dressed boolean, n long, context_length int, h long"), "contexts")
     words = contexts.groupBy(F.expr(f"cast(shiftright(h, 6) & {END_WORDS - 1} as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("word")).toArrow()
     bitmap = np.zeros(END_WORDS, np.uint64)
