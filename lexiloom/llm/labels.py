@@ -161,23 +161,29 @@ def train(documents: DataFrame) -> LanguageModel | None:
 
 
 def segments(model: LanguageModel, texts: list[str | None]) -> list[list[tuple[str, int, float]]]:
-    """For each text its maximal runs of sentences in one language: (language, sentences, confidence)."""
+    """For each text its maximal runs of sentences in one language: (language, sentences, confidence).
+
+    The confidence is the calibrated probability of the language, averaged over the run's sentences by their letters.
+    """
     parts = [[c for c in (ngrams.clean(ngrams.without_asides(s)) for s in ngrams.sentences(t)) if sum(x.isalpha() for x in c) >= MIN_LETTERS] if t else [] for t in texts]
     flat = [c for p in parts for c in p]
     if not flat:
         return [[] for _ in texts]
-    logp = np.maximum(model.log_probabilities(flat), -12.0)
-    # A sentence of one or two words, or one of few letters, says little about the language.
+    calibrated = model.log_probabilities(flat)
+    # For the path alone: one sentence decides no more than so much, and one of few words or letters less.
     trust = np.array([min(1.0, (c.count(" ") + 1) / 4 if c.isascii() or c.count(" ") > 2 else len(c) / 8) for c in flat])
-    logp = logp * trust[:, None]
+    weight = np.array([len(c) for c in flat], float)
+    logp, p_of = np.maximum(calibrated, -12.0) * trust[:, None], np.exp(calibrated)
     out, at = [], 0
     for p in parts:
-        out.append(_runs(logp[at : at + len(p)]) if p else [])
+        own = slice(at, at + len(p))
+        out.append([(LANGUAGES[k], b - a, float(np.average(p_of[own][a:b, k], weights=weight[own][a:b]))) for k, a, b in _runs(logp[own])] if p else [])
         at += len(p)
     return out
 
 
-def _runs(logp: np.ndarray) -> list[tuple[str, int, float]]:
+def _runs(logp: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best path as runs of one language: (language, first sentence, end)."""
     n = len(logp)
     best, back = logp[0].copy(), np.zeros((n, logp.shape[1]), np.int64)
     own = np.arange(logp.shape[1])
@@ -193,9 +199,7 @@ def _runs(logp: np.ndarray) -> list[tuple[str, int, float]]:
     out, start = [], 0
     for i in range(1, n + 1):
         if i == n or path[i] != path[start]:
-            s = logp[start:i].sum(axis=0)
-            s = np.exp(s - s.max())
-            out.append((LANGUAGES[path[start]], i - start, float(s[path[start]] / s.sum())))
+            out.append((path[start], start, i))
             start = i
     return out
 
@@ -206,13 +210,14 @@ def label_language(label: Column) -> Column:
     return F.when(code.isin(*LANGUAGES), code)
 
 
-SCHEMA = "id long, seg_no int, n_segments int, lang string, n_sentences int, confidence double"
+SCHEMA = "id long, label string, seg_no int, n_segments int, lang string, n_sentences int, confidence double"
 
 
-def identified(rows: DataFrame, id_col: str, text_col: str, documents: DataFrame) -> DataFrame:
-    """id, seg_no, n_segments, lang, n_sentences, confidence.
+def identified(rows: DataFrame, id_col: str, text_col: str, documents: DataFrame, label: Column | None = None) -> DataFrame:
+    """id, label, seg_no, n_segments, lang, n_sentences, confidence.
 
-    seg_no is 0 for a text in one language; the segments of a mixed text count from 1 in reading order.
+    seg_no is 0 for a text in one language; the segments of a mixed text count from 1 in reading order. The label travels
+    with the id through the operator, so nothing is joined back.
     """
     spark = rows.sparkSession
     fitted = spark.sparkContext.broadcast(train(documents))
@@ -220,16 +225,16 @@ def identified(rows: DataFrame, id_col: str, text_col: str, documents: DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted.value
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
             found = segments(model, b.column("text").to_pylist()) if model else []
-            for i, segs in zip(b.column("id").to_pylist(), found):
-                for k, (lang, n, p) in enumerate(segs):
-                    for c, v in zip(cols, (i, k + 1 if len(segs) > 1 else 0, len(segs), lang, n, p), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "seg_no", "n_segments", "lang", "n_sentences", "confidence"])
+            at = [i for i, segs in enumerate(found) for _ in segs]
+            rest = list(zip(*[(k + 1 if len(segs) > 1 else 0, len(segs), *s) for segs in found for k, s in enumerate(segs)])) or [()] * 5
+            own = b.select(["id", "label"]).take(pa.array(at, pa.int64()))
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, t) for c, t in zip(rest, kinds, strict=True)]], names=["id", "label", "seg_no", "n_segments", "lang", "n_sentences", "confidence"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").transform(spread).mapInArrow(run, SCHEMA)
+    label = F.lit(None).cast("string") if label is None else label
+    kept = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(text_col).alias("text"))
+    return spread(kept).mapInArrow(run, SCHEMA)
 
 
 def languages(rows: DataFrame, documents: DataFrame) -> DataFrame:
@@ -238,27 +243,7 @@ def languages(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def relabelled(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """imp_id, seg_no, lang: texts whose label is missing or wrong, and all segments of mixed texts.
-
-    The label travels with the id through the operator, so nothing is joined back.
-    """
-    spoken = label_language(F.col("target_locale"))
-    code = F.coalesce(F.array_position(F.array(*map(F.lit, LANGUAGES)), spoken), F.lit(0))
-    tagged = rows.select(F.col("imp_id").cast("long").alias("imp_id"), code.cast("int").alias("code"), "translated_value")
-    spark = rows.sparkSession
-    fitted = spark.sparkContext.broadcast(train(documents))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fitted.value
-        for b in batches:
-            ids, segs_no, langs = [], [], []
-            found = segments(model, b.column("translated_value").to_pylist()) if model else []
-            for i, label, segs in zip(b.column("imp_id").to_pylist(), b.column("code").to_pylist(), found):
-                if len(segs) == 1 and (not label or LANGUAGES[label - 1] != segs[0][0]):
-                    ids.append(i), segs_no.append(0), langs.append(segs[0][0])
-                elif len(segs) > 1:
-                    for k, s in enumerate(segs):
-                        ids.append(i), segs_no.append(k + 1), langs.append(s[0])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(segs_no, pa.int32()), pa.array(langs, pa.string())], names=["imp_id", "seg_no", "lang"])
-
-    return spread(tagged.where("translated_value is not null")).mapInArrow(run, "imp_id long, seg_no int, lang string")
+    """imp_id, seg_no, lang: texts whose label is missing or wrong, and all segments of mixed texts."""
+    found = identified(rows, "imp_id", "translated_value", documents, label_language(F.col("target_locale")))
+    wrong = (F.col("n_segments") > 1) | ~F.col("label").eqNullSafe(F.col("lang"))
+    return found.where(wrong).select(F.col("id").alias("imp_id"), "seg_no", "lang")

@@ -30,6 +30,20 @@ def test_held_out_accuracy():
     assert (nb.log_posteriors(held).argmax(axis=1) == classes[::5]).mean() > 0.97
 
 
+def test_confidence_is_calibrated():
+    """Half of each sentence is taken away, so that many can't be told; confidence must still match accuracy."""
+    rng = np.random.default_rng(2)
+    sentences, classes = ngrams.training_sentences([(i, lang, t) for i, lang, t in documents()])
+    short = [s[k : k + 6] for s, k in ((s, int(rng.integers(0, max(1, len(s) - 6)))) for s in sentences)]
+    train = np.arange(len(short)) % 2 == 0
+    model = labels.fit([s for s, t in zip(short, train) if t], classes[train])
+    logp = model.log_probabilities([s for s, t in zip(short, train) if not t])
+    confidence, right = np.exp(logp.max(axis=1)), logp.argmax(axis=1) == classes[~train]
+    assert 0.5 < right.mean() < 1 and abs(confidence.mean() - right.mean()) < 0.08
+    whole = labels.segments(model, [lines("de")[0] + " " + lines("de")[1], "", None])
+    assert whole[0][0][0] == "de" and 0 < whole[0][0][2] <= 1 and whole[1:] == [[], []]
+
+
 def test_labels(spark, docs):
     text = {k: lines(k)[5] for k in PARTS}
     rows = [(1, "de", text["de"], "e"), (2, "fr_CA", text["de"], "e"), (3, None, text["fr"], "e"), (4, "en", text["en"] + " " + text["es"] + " / " + text["en"], "e"), (5, "de", None, "e"), (6, "de", "", "e"), (7, "en", "API-204", "e"), (8, "xx", "{{count}}", "e"), (9, "DE-at", text["de"] * 300, "e"), (10, "und", text["ja"], "e"), (1, "de", text["de"], "e")]
