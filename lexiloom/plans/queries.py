@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import config, expressions, keys, placeholders, texts
-from lexiloom.operators import calls, edits, extract, project, quality, rejects, rename, report, rollup, sync, translate
+from lexiloom.operators import calls, edits, extract, markup, project, quality, rejects, rename, report, rollup, sync, translate
 from lexiloom.plans import oracles, oracles_report
 from lexiloom.session import spread
 from lexiloom.sources.relations import catalog, references_by_key
@@ -113,6 +113,10 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events", "event_id", "ts", "user_id", "event_type", "value")
 
 
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "scan_candidates", "cand_id", "file_path", "text")
+
+
 def _items(s: SparkSession, d: str) -> DataFrame:
     return rollup.actionable_items(_refs(s, d), _catalog(s, d))
 
@@ -276,6 +280,11 @@ def queries() -> dict[str, Query]:
         "variable_names": lambda s, d: extract.interpolations(table(s, d, "scan_candidates", "cand_id", "interpolation")).select("cand_id", "pos", extract.variable_name(F.col("expression")).alias("name")),
         "key_components": _by_key(lambda k: {"component": expressions.is_component(k, F.lit("title"))}),
         "key_collisions": lambda s, d: report.resolved_keys(table(s, d, "scan_candidates", "suggested_key").select(F.col("suggested_key").alias("key")), _catalog(s, d)),
+        # Mark-up of components: what is extracted, under which key, and the sources rewritten
+        "markup_candidates": lambda s, d: markup.candidates(_sources(s, d)),
+        "transform_plan": lambda s, d: markup.planned(_sources(s, d), _catalog(s, d)),
+        "transform_status": lambda s, d: markup.status_counts(markup.planned(_sources(s, d), _catalog(s, d))),
+        "rewritten_sources": lambda s, d: markup.rewritten(_sources(s, d), markup.planned(_sources(s, d), _catalog(s, d))),
         # Reports
         "exit_code": lambda s, d: report.strict_exit(_items(s, d)),
         "drift_stats": lambda s, d: report.drift_stats(_items(s, d)),
