@@ -303,6 +303,7 @@ def oracle_sql() -> dict[str, str]:
         "translation_plan": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT * FROM plan",
         "plan_totals": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT locale, count(*) n_tasks, sum(length(source_value))::BIGINT n_chars, count(*) FILTER (WHERE existing IS NULL) n_missing, count(existing) n_existing FROM plan GROUP BY ROLLUP (locale)",
         "reuse_suggestion": f"WITH {CATALOG.replace('locale_catalog', HANDED)}, {LENT} SELECT * FROM lent",
+        "executed_plan": f"WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key, locale, '[' || locale || '] ' || translate(source_value, {q(texts.ACCENTS[0])}, {q(texts.ACCENTS[1])}) translated, NULL::VARCHAR error FROM plan",
         "csv_export": f"""WITH {CATALOG}, {SRC}, {LENT}, {PLAN} SELECT key || ',en,' || CASE WHEN regexp_matches(source_value, '[,"\\r\\n]') THEN '"' || replace(source_value, '"', '""') || '"' ELSE source_value END || ',' || locale || ',' record FROM plan""",
         "write_actions": f"WITH {CATALOG}, {ACTIONS} SELECT * FROM act",
         "write_totals": f"WITH {CATALOG}, {ACTIONS} SELECT locale, count(*) attempted, count(*) FILTER (WHERE action = 'write') written, count(*) FILTER (WHERE action = 'skip-empty') empty_skipped, count(*) FILTER (WHERE action IN ('skip-existing', 'unchanged')) skipped FROM act GROUP BY locale",

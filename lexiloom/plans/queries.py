@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import config, expressions, keys, placeholders, texts
-from lexiloom.operators import calls, edits, extract, markup, project, quality, rejects, rename, report, rollup, sync, translate
+from lexiloom.operators import calls, edits, extract, markup, project, quality, rejects, rename, report, rollup, sync, translate, translators
 from lexiloom.plans import oracles, oracles_report
 from lexiloom.session import spread
 from lexiloom.sources.relations import catalog, references_by_key
@@ -229,6 +229,7 @@ def queries() -> dict[str, Query]:
         "plan_totals": lambda s, d: translate.plan_totals(translate.plan(_catalog(s, d))),
         "reuse_suggestion": lambda s, d: translate.reuse_suggestions(_handed_over(s, d)),
         "plan_chunks": lambda s, d: translate.chunked(translate.plan(_catalog(s, d))),
+        "executed_plan": lambda s, d: translators.executed(translate.plan(_catalog(s, d)), translators.load("pseudo")),
         "csv_export": lambda s, d: translate.csv_records(translate.exported(translate.plan(_catalog(s, d)))),
         "write_actions": lambda s, d: translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value")),
         "write_totals": lambda s, d: translate.write_totals(translate.write_actions(_catalog(s, d), table(s, d, "csv_rows", "key", "target_locale", "translated_value"))),
