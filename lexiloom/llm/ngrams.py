@@ -16,6 +16,8 @@ SAMPLE_DOCUMENTS = 3000
 SAMPLE_PER_LANGUAGE = 300
 LONGEST_SAMPLED = 20_000
 CHUNK_CHARS = 250_000
+# Sums of table rows are taken over fewer characters, which stay in the cache.
+SUMMED_CHARS = 50_000
 
 _DROPPED = re.compile(r"https?://\S+|\{\{[^{}]*\}\}|\$\{[^{}]*\}|`[^`\n]*+`|<[^<>\n]++>|&[a-z]+;|%[sd]|\S+@\S+|\b[a-z][\w-]*(?:\.[a-z][\w-]*)+\b|[a-z]*[-_.]?\d[\da-z._-]*")
 # No text without one of these holds anything to drop.
@@ -72,12 +74,12 @@ def hashes(cp: np.ndarray, order: int, bits: int) -> np.ndarray:
     return out
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded length; a longer text stands alone and is still handled whole."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t) + 3
-        if size >= CHUNK_CHARS:
+        if size >= most:
             yield start, texts[start : i + 1]
             start, size = i + 1, 0
     if start < len(texts):
@@ -88,17 +90,21 @@ def summed(tables: dict[int, np.ndarray], bits: int, texts: list[str]) -> tuple[
     """For each (cleaned) text the sum of its n-grams' rows over all tables, and the number of n-grams."""
     width = next(iter(tables.values())).shape[1]
     out, counts = np.zeros((len(texts), width)), np.zeros(len(texts))
-    for start, part in chunks(texts):
+    for start, part in chunks(texts, SUMMED_CHARS):
         cp, owner = codes(part)
+        own = slice(start, start + len(part))
+        # Rows of all orders are added up where their n-grams start, so that each text is summed once.
+        at_start = np.zeros((len(cp), width), next(iter(tables.values())).dtype)
         for order, table in tables.items():
             h = hashes(cp, order, bits)
-            at = np.flatnonzero(h >= 0)
-            if not len(at):
+            if not len(h):
                 continue
-            who = owner[at]
-            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            out[start + who[first]] += np.add.reduceat(table[h[at]], first, axis=0)
-            counts[start : start + len(part)] += np.bincount(who, minlength=len(part))
+            rows = table.take(np.maximum(h, 0), axis=0)
+            rows[h < 0] = 0
+            at_start[: len(h)] += rows
+            counts[own] += np.bincount(owner[: len(h)][h >= 0], minlength=len(part))
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        out[own] = np.add.reduceat(at_start, first, axis=0)
     return out, counts
 
 
