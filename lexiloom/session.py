@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "lexiloom", master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
@@ -35,9 +37,25 @@ def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcasting only if it has at most `limit` rows; otherwise returns it as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: its texts as they are, nested values as JSON, anything else as 16."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = F.octet_length(c)
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            size = F.octet_length(F.to_json(c))
+        else:
+            size = F.lit(16)
+        out = out + F.coalesce(size, F.lit(0))
+    return out
+
+
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Marks `df` for broadcasting only if it has at most `limit` rows of `most` bytes together; otherwise returns it as it is."""
+    n, size = df.limit(limit + 1).agg(F.count("*"), F.sum(row_bytes(df))).first()
+    return F.broadcast(df) if n <= limit and (size or 0) <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -28,3 +28,12 @@ def test_tables_are_deleted(spark):
     storage.release(spark)
     assert not os.path.exists(folder)
     assert storage.materialize(spark.range(2), "x").count() == 2
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    from lexiloom.session import broadcast_if_small
+
+    df = spark.createDataFrame([(i, "é" * 50, [i] * 3) for i in range(20)], "id long, text string, list array<int>")
+    marked = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
+    assert marked(broadcast_if_small(df)) and not marked(broadcast_if_small(df, limit=19)) and not marked(broadcast_if_small(df, most=2000))
+    assert marked(broadcast_if_small(df.where("false")))
