@@ -29,15 +29,21 @@ class NaiveBayes:
 
 
 def fit(sentences: list[str], classes: np.ndarray) -> NaiveBayes:
+    counts: list[dict[int, np.ndarray]] = []
+    for k in range(len(LANGUAGES)):
+        own = [s for s, c in zip(sentences, classes, strict=True) if c == k]
+        cp, _ = ngrams.codes(own)
+        h = {order: ngrams.hashes(cp, order, BITS) for order in ORDERS}
+        counts.append({order: np.bincount(x[x >= 0], minlength=1 << BITS) for order, x in h.items()})
+    return of_counts(counts)
+
+
+def of_counts(by_language: list[dict[int, np.ndarray]]) -> NaiveBayes:
+    """The model of each language's counts of n-grams by order."""
     tables = {}
     for order in ORDERS:
-        counts = np.zeros((1 << BITS, len(LANGUAGES)))
-        for k in range(len(LANGUAGES)):
-            own = [s for s, c in zip(sentences, classes, strict=True) if c == k]
-            if own:
-                h = ngrams.hashes(ngrams.codes(own)[0], order, BITS)
-                counts[:, k] = np.bincount(h[h >= 0], minlength=1 << BITS)
-        # A language without a single sentence in the sample can't win by smoothing alone.
+        counts = np.stack([c[order] for c in by_language], axis=1).astype(float)
+        # A language without a single sentence can't win by smoothing alone.
         total = counts.sum(axis=0)
         p = (counts + SMOOTHING) / (total + SMOOTHING * (1 << BITS))
         tables[order] = np.where(total > 0, np.log(p), np.log(1e-9)).astype(np.float32)

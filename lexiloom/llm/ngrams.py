@@ -1,4 +1,4 @@
-"""Character n-grams of whole batches at once, hashed into dense tables; sentences; the labelled sample all models share."""
+"""Character n-grams of whole batches at once, hashed into dense tables; sentences; a labelled sample."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja")
-# Bounds of the labelled sample every model is trained on.
+# Bounds of the labelled sample problem 4's model is trained on.
 SAMPLE_DOCUMENTS = 3000
 SAMPLE_PER_LANGUAGE = 300
 LONGEST_SAMPLED = 20_000
@@ -62,10 +62,15 @@ def hashes(cp: np.ndarray, order: int, bits: int) -> np.ndarray:
     n = len(cp) - order + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    h = np.full(n, np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
+    return hashed([cp[k : k + n] for k in range(order)], bits)
+
+
+def hashed(characters: list[np.ndarray], bits: int) -> np.ndarray:
+    """The hashes of n-grams given by their first characters, their second ones and so on; those that hold a 0 have -1."""
+    n = len(characters[0])
+    h = np.full(n, np.uint64(len(characters) * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
     ok = np.ones(n, bool)
-    for k in range(order):
-        c = cp[k : k + n]
+    for c in characters:
         h = (h ^ c.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
         ok &= c != 0
